@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.session import small_side
+from tidemark.session import cut_lineage, small_side
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -310,7 +310,7 @@ def to_instants(
     chosen = context.groupBy("f", "change").applyInPandas(
         _choose_switch, f"__tm_key {dict(readings.dtypes)[key]}, __tm_fold long"
     )
-    chosen = small_side(chosen)
+    chosen = small_side(cut_lineage(chosen))  # written once, counted and joined
     return placed.join(chosen, F.col(key) == F.col("__tm_key"), "left").select(
         *kept, F.coalesce("__tm_fold", "__tm_i.first").alias(out)
     )
