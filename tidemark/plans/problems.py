@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import regular_grid, timestamps
+from tidemark.operators import regular_grid, spatial, timestamps
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -44,4 +44,31 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.withColumnRenamed("source", "station_ref")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_instants, p4_found, p4_grid)}
+NEAR_M = 25.0
+
+
+def _located_gauges(spark: SparkSession, d: str) -> DataFrame:
+    """Each gauge's location with the polygon that holds it, one row per gauge, location and polygon."""
+    rows = table(spark, d, "catchment_level_shortlist").select("station_id", "latitude", "longitude", "subcatchment_id")
+    classes = spatial.point_classes(rows, "station_id", "latitude", "longitude")
+    tree = spatial.fit_quadtree(classes, NEAR_M)
+    held = spatial.holding_regions(classes, table(spark, d, "subcatchments"), tree, "subcatchment_id", "rings")
+    gauges = rows.filter(F.col("station_id").isNotNull()).distinct()
+    return gauges.join(held, (F.col("latitude") + 0.0 == F.col("lat")) & (F.col("longitude") + 0.0 == F.col("lon")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "catchment_level_shortlist").select("station_id", "latitude", "longitude")
+    near = spatial.near_pairs(rows, "station_id", "latitude", "longitude", NEAR_M)
+    wrong = _located_gauges(spark, d).filter(~F.col("subcatchment_id").eqNullSafe(F.col("region")))
+    return near.select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(
+        wrong.select(F.lit("region").alias("kind"), F.col("station_id").alias("key_a"), F.col("region").alias("key_b")).distinct()
+    )
+
+
+def p1_regions(spark: SparkSession, d: str) -> DataFrame:
+    """For each gauge with coordinates the polygon that holds it."""
+    return _located_gauges(spark, d).select("station_id", F.col("region").alias("subcatchment_id")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p4_found, p4_grid)}
