@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import regular_grid, spatial, timestamps
+from tidemark.operators import implausible, regular_grid, spatial, timestamps
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -23,6 +23,14 @@ def p2_instants(spark: SparkSession, d: str) -> DataFrame:
     return all_.select("reading_id", F.floor(F.col("utc_us") / 1000).cast("bigint").alias("utc_ms"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "antecedent_labels").select("station_id", "label_date", "mean_level", "standardized_anomaly", "quality_code")
+    cases = implausible.flag_implausible(
+        rows, "station_id", "label_date", "mean_level", "standardized_anomaly", "quality_code", LEVEL_LOW, LEVEL_HIGH
+    )
+    return cases.select("station_id", F.date_format("label_date", "yyyy-MM-dd").alias("label_date"), "field_name")
+
+
 def _quarters(spark: SparkSession, d: str) -> DataFrame:
     readings = table(spark, d, "gauge_readings").select(
         "reading_id", "file_id", "line_no", "station_ref", "datetime", "value", "ingested_at"
@@ -71,4 +79,4 @@ def p1_regions(spark: SparkSession, d: str) -> DataFrame:
     return _located_gauges(spark, d).select("station_id", F.col("region").alias("subcatchment_id")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p4_found, p4_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid)}
