@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import implausible, regular_grid, spatial, timestamps
+from tidemark.operators import drift, implausible, regular_grid, rolling, spatial, timestamps
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -79,4 +79,36 @@ def p1_regions(spark: SparkSession, d: str) -> DataFrame:
     return _located_gauges(spark, d).select("station_id", F.col("region").alias("subcatchment_id")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid)}
+PERIODS = [7, 30]
+
+
+def _trailing(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "antecedent_labels").select("station_id", "label_date", "mean_level", "recession_rate_7d")
+    return rolling.trailing_totals(
+        rows, "station_id", "label_date", {"mm": ("mean_level", 1e-3), "um": ("recession_rate_7d", 1e-6)}, PERIODS
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _trailing(spark, d).filter("not has_mm").select(
+        "station_id", F.date_format("label_date", "yyyy-MM-dd").alias("label_date"),
+        F.col("n_mm_7").alias("n_7"), F.col("total_mm_7").alias("total_7_mm"),
+        F.col("n_mm_30").alias("n_30"), F.col("total_mm_30").alias("total_30_mm"), F.col("total_um_30").alias("slope_30_um"),
+    )
+
+
+def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """All days with totals and averages over both periods."""
+    return _trailing(spark, d)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.layout_changes(table(spark, d, "raw_gauge_lines"), table(spark, d, "gauge_files"))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    """All landed lines in one schema, with rescued fields."""
+    return drift.consistent_table(table(spark, d, "raw_gauge_lines"), table(spark, d, "gauge_files"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table)}
