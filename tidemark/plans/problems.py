@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, implausible, regular_grid, rolling, spatial, timestamps
+from tidemark.operators import drift, implausible, profile, regular_grid, rolling, spatial, timestamps
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -111,4 +111,34 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "raw_gauge_lines"), table(spark, d, "gauge_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table)}
+AUDITS = {
+    "catchment_level_shortlist": [
+        profile.Audit("sentinel_era_completeness_pct", 0.0, 100.0, 2),
+        profile.Audit("sentinel_era_max_gap_days", 0.0, "sentinel_era_span_days", 2),
+    ],
+    "antecedent_labels": [profile.Audit("baseflow_index", 0.0, 1.0, 4)],
+}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_loads(spark, d, profile.odd_loads).select(
+        "table_name", F.col("column").alias("column_name"), F.col("load").cast("bigint").alias("load_no"), "finding"
+    )
+
+
+def p7_loads(spark: SparkSession, d: str, then=lambda x: x) -> DataFrame:
+    """The audited columns, load by load."""
+    parts = []
+    for name, audits in AUDITS.items():
+        loads = profile.load_profile(profile.value_counts(spark, f"{d}/{name}.parquet", "load_no", audits))
+        parts.append(then(loads).withColumn("table_name", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def p7_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of both tables."""
+    parts = [profile.column_profile(spark, f"{d}/{name}.parquet").withColumn("table_name", F.lit(name)) for name in AUDITS]
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p7_found, p7_loads, p7_profile)}
