@@ -32,11 +32,11 @@ NAMES = {
     "es": ["spa", "spanish"], "pt": ["por", "portuguese"], "pl": ["pol", "polish"], "ru": ["rus", "russian"],
 }
 LANGS = list(NAMES)
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 6_000, 1_500, 14_000
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 8_000, 1_500, 16_000
 WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 32, (2, 3, 4, 5)
 PENALTY = 3.0
 WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
-SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+|\s+\|\s+")
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s|&nbsp;|<[^<>]{0,200}>)+(?:[|/•*-]\s+)?|\n+|\s+[|/•]\s+|<(?:br|p|/p)\b[^<>]{0,80}>")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-zA-Z]{2,8};|&#\d+;|https?://\S+|[​-‏﻿­]")
 QUOTED = re.compile(r"[–(]*\s*(?:“[^“”]{1,80}”|«[^«»]{1,80}»|„[^„“”]{1,80}[“”]|\"[^\"]{1,80}\")\)?")
 BROKEN = re.compile(r"[ÃÂÄÅÐÑ][\u0080-¿Œ-Ÿ–-›€™]")
@@ -68,7 +68,7 @@ def repaired(text: str) -> str:
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """Start, end and votable content of each sentence with words."""
     out, start = [], 0
-    for end, nxt in [*((m.start() if text[m.start() : m.end()].strip(" \t\r\n|") == "" else m.end(), m.end()) for m in SENTENCE.finditer(text)), (len(text), len(text))]:
+    for end, nxt in [*((m.start(), m.end()) for m in SENTENCE.finditer(text)), (len(text), len(text))]:
         raw = text[start:end]
         if raw.strip():
             clean = MARKUP.sub("", html.unescape(MARKUP.sub(lambda m: " " if m[0][0] in "<&h" else "", raw))).replace("\xa0", " ")
@@ -191,7 +191,7 @@ def train_network(documents: DataFrame, key: str = "doc_id", text: str = "text",
     net.train(x, y[owner], 2)
     agrees = net.sentence_scores(texts).argmax(1) == y
     keep = agrees[owner]
-    net.train(x[keep], y[owner][keep], 2, rate=2e-3, seed=2)
+    net.train(x[keep], y[owner][keep], 3, rate=3e-3, seed=2)
     return net
 
 
