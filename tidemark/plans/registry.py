@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import problems
+from tidemark.plans import problems, series
 
 FLAGSHIP = "p4_found"
-QUERIES = dict(problems.QUERIES)
-ORACLE: dict[str, str] = {}
+QUERIES = problems.QUERIES | series.QUERIES
+ORACLE: dict[str, str] = dict(series.ORACLE)
