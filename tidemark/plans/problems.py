@@ -142,3 +142,46 @@ def p7_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p7_found, p7_loads, p7_profile)}
+
+# SQL for the problems that SQL can state; the others are tested against brute force.
+ORACLE = {
+    "p1_found": """WITH g AS (SELECT DISTINCT station_id AS k, latitude AS y, longitude AS x, subcatchment_id AS s FROM catchment_level_shortlist
+  WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
+p AS (SELECT DISTINCT k, y, x, CAST(floor(CASE WHEN isnan(y) THEN 0 ELSE y END * 2000) AS BIGINT) AS c FROM g),
+n AS (SELECT a.k AS a, b.k AS b FROM p a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM p) b ON a.c = b.cc AND a.k < b.k AND abs(a.x - b.x) < 0.01
+  WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25),
+r AS (SELECT subcatchment_id AS id, bbox, unnest(rings) AS ring FROM subcatchments),
+e AS (SELECT id, bbox, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM r, unnest(range(1, len(ring))) AS u(i)),
+h AS (SELECT g.k, g.s, g.x, g.y, e.id FROM g JOIN e ON g.x BETWEEN e.bbox.xmin AND e.bbox.xmax AND g.y BETWEEN e.bbox.ymin AND e.bbox.ymax
+  WHERE (e.y0 > g.y) <> (e.y1 > g.y) AND g.x < (e.x1 - e.x0) * (g.y - e.y0) / (e.y1 - e.y0) + e.x0 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT 'near' AS kind, a AS key_a, b AS key_b FROM n UNION SELECT 'region', k, id FROM h WHERE s IS DISTINCT FROM id""",
+    "p5_found": """WITH d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN isfinite(mean_level) THEN mean_level END) AS v, max(CASE WHEN isfinite(recession_rate_7d) THEN recession_rate_7d END) AS r
+  FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT s, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY s), x AS (SELECT c.s, c.t, v, r FROM c LEFT JOIN d USING (s, t)),
+w AS (SELECT s, t, v, count(v) OVER a AS n7, sum(round(v * 1000)) OVER a AS t7, count(v) OVER b AS n30, sum(round(v * 1000)) OVER b AS t30, sum(round(r * 1e6)) OVER b AS sl FROM x
+  WINDOW a AS (PARTITION BY s ORDER BY t ROWS 6 PRECEDING), b AS (PARTITION BY s ORDER BY t ROWS 29 PRECEDING))
+SELECT s AS station_id, CAST(t AS VARCHAR) AS label_date, n7 AS n_7, CAST(coalesce(t7, 0) AS BIGINT) AS total_7_mm, n30 AS n_30, CAST(coalesce(t30, 0) AS BIGINT) AS total_30_mm, CAST(coalesce(sl, 0) AS BIGINT) AS slope_30_um FROM w WHERE v IS NULL""",
+    "p6_found": r"""WITH l AS (SELECT file_id, line_no, rtrim(ltrim(line, chr(65279)), chr(13) || chr(10) || ' ') AS t FROM raw_gauge_lines WHERE line IS NOT NULL),
+m AS (SELECT * FROM l WHERE trim(t) <> '' AND t NOT LIKE '#%'), h AS (SELECT file_id, arg_min(t, line_no) AS hd, min(line_no) AS no FROM m GROUP BY 1),
+k AS (SELECT file_id, hd, no, CASE WHEN contains(hd, ';') THEN ';' ELSE ',' END AS dl FROM h),
+c AS (SELECT k.file_id, i AS pos, trim(string_split(hd, dl)[i]) AS nm, no, hd, dl FROM k, unnest(range(1, len(string_split(hd, dl)) + 1)) AS u(i)),
+f AS (SELECT *, regexp_replace(lower(nm), '[\s_\-]+', '', 'g') AS pl, CASE WHEN regexp_replace(lower(nm), '[\s_\-]+', '', 'g') IN ('qualitycode', 'qc', 'qcode', 'qflag', 'grade', 'codequal') THEN 'quality_code'
+  WHEN regexp_replace(lower(nm), '[\s_\-]+', '', 'g') IN ('qualityok', 'ok', 'valid', 'usableyn', 'passed', 'isgood') THEN 'quality_ok' END AS fld FROM c),
+v AS (SELECT f.file_id, f.fld, any_value(f.pl) AS pl, max(CASE WHEN regexp_full_match(x, '[+-]?\d+') THEN 0 WHEN regexp_full_match(x, '[+-]?(\d+\.\d*|\.\d+)') THEN 1 WHEN lower(x) IN ('true', 'false') THEN 2 WHEN x <> '' THEN 3 END) AS kd
+  FROM f LEFT JOIN (SELECT m.file_id, m.line_no, m.t FROM m) m ON m.file_id = f.file_id AND m.line_no > f.no AND m.t <> f.hd, LATERAL (SELECT nullif(trim(string_split(m.t, f.dl)[f.pos]), '') AS x) WHERE fld IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT g.station_ref, g.seq_no, g.file_id, lag(g.file_id) OVER (PARTITION BY g.station_ref ORDER BY g.seq_no, g.file_id) AS was FROM gauge_files g WHERE g.file_id IN (SELECT file_id FROM k)),
+z AS (SELECT o.file_id, q.fld, a.pl AS pa, b.pl AS pb, a.kd AS ka, b.kd AS kb FROM o CROSS JOIN (VALUES ('quality_code'), ('quality_ok')) q(fld) LEFT JOIN v a ON a.file_id = o.file_id AND a.fld = q.fld LEFT JOIN v b ON b.file_id = o.was AND b.fld = q.fld WHERE o.was IS NOT NULL)
+SELECT file_id, fld AS field_name, 'added' AS change FROM z WHERE pa IS NOT NULL AND pb IS NULL UNION ALL SELECT file_id, fld, 'removed' FROM z WHERE pa IS NULL AND pb IS NOT NULL
+UNION ALL SELECT file_id, fld, 'renamed' FROM z WHERE pa <> pb UNION ALL SELECT file_id, fld, 'retyped' FROM z WHERE ka <> kb""",
+}
+_LOADS = """SELECT '{t}' AS tn, '{c}' AS cn, load_no AS l, CASE WHEN NOT isnan({c}) THEN {c} END AS v, coalesce(NOT isnan({c}) AND {c} >= 0 AND {c} <= {hi}, false) AS ok, {dec} AS dec FROM {t}"""
+_ALL = " UNION ALL ".join(
+    _LOADS.format(t=t, c=a.column, hi=a.high, dec=a.decimals) for t, audits in AUDITS.items() for a in audits
+)
+ORACLE["p7_found"] = f"""WITH x AS ({_ALL}), s AS (SELECT tn, cn, l, count(*) AS n, count_if(v IS NULL) / count(*) AS sh, count(DISTINCT v) AS dn, count_if(v IS NOT NULL AND NOT ok) AS bad, count_if(ok AND round(v * pow(10, dec)) / pow(10, dec) <> v) AS rough FROM x GROUP BY 1, 2, 3),
+m AS (SELECT *, sh - median(sh) OVER w > 0.2 AS nul, dn < 0.5 * median(dn) OVER w AS few FROM s WINDOW w AS (PARTITION BY tn, cn)),
+u AS (SELECT tn, cn, l, v, count(*) AS n FROM x WHERE ok GROUP BY ALL), pts AS (SELECT DISTINCT cn, v FROM u), ld AS (SELECT cn, l, sum(n) AS tot FROM u GROUP BY 1, 2), al AS (SELECT cn, sum(tot) AS al FROM ld GROUP BY 1),
+g AS (SELECT p.cn, ld.l, p.v, ld.tot, al.al, coalesce(u.n, 0) AS n, sum(coalesce(u.n, 0)) OVER (PARTITION BY p.cn, ld.l ORDER BY p.v) AS own FROM pts p JOIN ld USING (cn) JOIN al USING (cn) LEFT JOIN u ON u.cn = p.cn AND u.l = ld.l AND u.v = p.v),
+k AS (SELECT *, sum(own) OVER (PARTITION BY cn, v) AS everyone FROM g), ks AS (SELECT cn, l, max(abs(own / tot - (everyone - own) / (al - tot))) AS d FROM k GROUP BY 1, 2),
+r AS (SELECT m.*, coalesce(ks.d, 0) > 0.4 AS sft FROM m LEFT JOIN ks USING (cn, l))
+SELECT tn AS table_name, cn AS column_name, CAST(l AS BIGINT) AS load_no, f AS finding FROM r, unnest([CASE WHEN nul THEN 'nulls' END, CASE WHEN bad > 0 THEN 'range' END, CASE WHEN rough > 0 THEN 'pattern' END, CASE WHEN NOT nul AND few THEN 'distinct' END, CASE WHEN NOT nul AND sft THEN 'shift' END]) AS q(f) WHERE f IS NOT NULL"""
