@@ -37,9 +37,9 @@ WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 48, (2, 3, 4, 5)
 DROPOUT = 0.3
 PENALTY = 4.0
 WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
-SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s|&nbsp;|<[^<>]{0,200}>)+(?:[|/•*-]\s+)?|\n+|\s+[|/•]\s+|<(?:br|p|/p)\b[^<>]{0,80}>")
+SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s|&nbsp;|<[^<>]{0,200}>)+(?:[|/•*-]\s+)?|\n+|(?<!\s)\s+[|/•]\s+|<(?:br|p|/p)\b[^<>]{0,80}>")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-zA-Z]{2,8};|&#\d+;|https?://\S+|[​-‏﻿­]")
-QUOTED = re.compile(r"[–(]*\s*(?:“[^“”]{1,80}”|«[^«»]{1,80}»|„[^„“”]{1,80}[“”]|\"[^\"]{1,80}\")\)?")
+QUOTED = re.compile(r"“[^“”]{1,80}”|«[^«»]{1,80}»|„[^„“”]{1,80}[“”]|\"[^\"]{1,80}\"")
 BROKEN = re.compile(r"[ÃÂÄÅÐÑ][\u0080-¿Œ-Ÿ–-›€™]")
 
 

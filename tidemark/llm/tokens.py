@@ -54,12 +54,16 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
-def encode_texts(texts: pa.Array, ranks: str = RANKS) -> list[list[int]]:
+def encode_texts(texts: pa.Array, ranks: str = RANKS) -> list[np.ndarray]:
+    """ids of each text as an array of its own; no list of Python integers is held for a batch."""
     enc = encoding(ranks)
-    return [
-        [] if not t else enc.encode_ordinary(t) if len(t) <= PIECE_CHARS else [i for p in safe_pieces(t) for i in enc.encode_ordinary(p)]
-        for t in texts.to_pylist()
-    ]
+    none = np.zeros(0, "int32")
+
+    def one(t: str) -> np.ndarray:
+        parts = [enc.encode_to_numpy(p, disallowed_special=()).astype("int32") for p in safe_pieces(t)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    return [one(t.as_py()) if t.is_valid and len(t.as_py()) else none for t in texts]
 
 
 def encode(text: str | Column, ranks: str = RANKS) -> Column:
@@ -68,8 +72,8 @@ def encode(text: str | Column, ranks: str = RANKS) -> Column:
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
         lists = encode_texts(texts, ranks)
-        ends = np.cumsum([0, *map(len, lists)], dtype="int32")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter((i for x in lists for i in x), "int32", int(ends[-1]))))
+        ends = np.cumsum([0, *map(len, lists)]).astype("int32")
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, "int32")))
 
     return ids(text)
 
