@@ -30,6 +30,8 @@ EARTH_M = 6_371_008.8
 SAMPLE_POINTS = 20_000
 ROWS_PER_LEAF = 8_000
 MAX_DEPTH = 26
+#: Beyond this latitude points visit every leaf of their latitudes.
+POLAR = 89.0
 FANOUT = 16
 
 
@@ -87,7 +89,7 @@ def _leaf_of(starts: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray
 def fit_quadtree(points: DataFrame, radius_m: float) -> np.ndarray:
     """Quadtree over a sample of points(lat, lon); the driver gets SAMPLE_POINTS rows or so, whatever the input."""
     facts = points.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("north")).first()
-    n, north = facts["n"], min(facts["north"] or 0.0, 89.0)
+    n, north = facts["n"], min(facts["north"] or 0.0, POLAR)
     share = min(1.0, SAMPLE_POINTS / max(1, n))
     sample = points.select("lat", "lon")
     sample = sample if share == 1.0 else sample.filter(F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -147,6 +149,7 @@ def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> Dat
     """class_a < class_b and metres between locations less than radius_m apart."""
     reach = math.degrees(radius_m / EARTH_M) * 1.001
     key_type = dict(classes.dtypes)["class_key"]
+    boxes = leaf_boxes(starts)
 
     def spread(batches):
         for pdf in batches:
@@ -160,12 +163,18 @@ def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> Dat
             at.sort(axis=1)
             new = np.column_stack([np.ones(len(at), bool), np.diff(at, axis=1) != 0])
             row, col = np.nonzero(new)
-            yield pdf.iloc[row].assign(leaf=at[row, col], native=home[row] == at[row, col])
+            leaf = at[row, col]
+            if len(polar := np.nonzero(np.abs(lat) + reach > POLAR)[0]):  # there a search box may span every longitude
+                r, k = np.nonzero((boxes[None, :, 1] <= lat[polar, None] + reach) & (boxes[None, :, 3] >= lat[polar, None] - reach))
+                rest = ~np.isin(row, polar)
+                row, leaf = np.concatenate([row[rest], polar[r]]), np.concatenate([leaf[rest], k])
+            yield pdf.iloc[row].assign(leaf=leaf, native=home[row] == leaf)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         lat, lon, keys = (pdf[c].to_numpy() for c in ("lat", "lon", "class_key"))
         native = np.nonzero(pdf["native"].to_numpy())[0]
-        wide = np.minimum(360.0, reach / np.maximum(np.cos(np.radians(np.minimum(89.99, np.abs(lat) + reach))), 1e-6))
+        wide = reach / np.maximum(np.cos(np.radians(np.minimum(89.99, np.abs(lat) + reach))), 1e-6)
+        wide[np.abs(lat) + reach > POLAR] = 360.0
         base = lon[0] if len(lon) else 0.0
         x = (lon - base + 180) % 360 - 180  # across the date line neighbours stay neighbours
         tree = RTree(np.column_stack([x, lat, x, lat]))

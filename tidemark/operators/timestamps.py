@@ -253,7 +253,7 @@ def _choose_switch(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per file and backward change: the switch of offset that violates the recording order least.
 
     Rows before the switch keep the first instant, rows from it on the second; clock times that occur
-    once bind it. Cost: instants that do not increase, then the distance of each step from the usual one.
+    once bind it. Cost: instants that do not increase, then the steps that differ from the usual one.
     """
     pdf = pdf.sort_values(["line", "first", "k"], kind="stable")
     first, second, past = (pdf[c].to_numpy() for c in ("first", "second", "past"))
@@ -262,9 +262,10 @@ def _choose_switch(pdf: pd.DataFrame) -> pd.DataFrame:
     hi = int(np.min(np.nonzero(~twice & past)[0], initial=n))
     if hi < lo:  # lines out of order bind it both ways: the cost alone decides
         lo, hi = 0, n
-    once = np.diff(first[~twice])
-    usual = float(np.median(once[once > 0])) if (once > 0).any() else 0.0
-    cost = lambda step: (step <= 0) * 1e6 + np.minimum(np.abs(step - usual) / HOUR, 1e3)
+    steps = np.diff(first)
+    usual = float(np.median(steps[steps > 0])) if (steps > 0).any() else 0.0
+    # one long hole is likelier than two shorter ones, hence the root
+    cost = lambda step: (step <= 0) * 1e6 + np.sqrt(np.abs(step - usual) / HOUR)
     before = np.concatenate([[0.0], np.cumsum(cost(np.diff(first)))])
     after = np.concatenate([np.cumsum(cost(np.diff(second))[::-1])[::-1], [0.0]])
     ks = np.arange(lo, hi + 1)
