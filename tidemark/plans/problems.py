@@ -178,7 +178,7 @@ _LOADS = """SELECT '{t}' AS tn, '{c}' AS cn, load_no AS l, CASE WHEN NOT isnan({
 _ALL = " UNION ALL ".join(
     _LOADS.format(t=t, c=a.column, hi=a.high, dec=a.decimals) for t, audits in AUDITS.items() for a in audits
 )
-ORACLE["p7_found"] = f"""WITH x AS ({_ALL}), s AS (SELECT tn, cn, l, count(*) AS n, count_if(v IS NULL) / count(*) AS sh, count(DISTINCT v) AS dn, count_if(v IS NOT NULL AND NOT ok) AS bad, count_if(ok AND round(v * pow(10, dec)) / pow(10, dec) <> v) AS rough FROM x GROUP BY 1, 2, 3),
+ORACLE["p7_found"] = f"""WITH x AS ({_ALL}), s AS (SELECT tn, cn, l, count(*) AS n, count(*) FILTER (WHERE v IS NULL) / count(*) AS sh, count(DISTINCT v) AS dn, count(*) FILTER (WHERE v IS NOT NULL AND NOT ok) AS bad, count_if(ok AND round(v * pow(10, dec)) / pow(10, dec) <> v) AS rough FROM x GROUP BY 1, 2, 3),
 m AS (SELECT *, sh - median(sh) OVER w > 0.2 AS nul, dn < 0.5 * median(dn) OVER w AS few FROM s WINDOW w AS (PARTITION BY tn, cn)),
 u AS (SELECT tn, cn, l, v, count(*) AS n FROM x WHERE ok GROUP BY ALL), pts AS (SELECT DISTINCT cn, v FROM u), ld AS (SELECT cn, l, sum(n) AS tot FROM u GROUP BY 1, 2), al AS (SELECT cn, sum(tot) AS al FROM ld GROUP BY 1),
 g AS (SELECT p.cn, ld.l, p.v, ld.tot, al.al, coalesce(u.n, 0) AS n, sum(coalesce(u.n, 0)) OVER (PARTITION BY p.cn, ld.l ORDER BY p.v) AS own FROM pts p JOIN ld USING (cn) JOIN al USING (cn) LEFT JOIN u ON u.cn = p.cn AND u.l = ld.l AND u.v = p.v),

@@ -46,7 +46,7 @@ sp AS (SELECT station_id, unnest(range(min(bin_s), max(bin_s) + 1, {step})) AS b
 g AS (SELECT sp.station_id, sp.bin_s, coalesce(b.value, {empty}) AS value, coalesce(b.n, 0) AS n FROM sp LEFT JOIN b USING (station_id, bin_s))"""
 
 
-@add(f"WITH {READ} SELECT station_id, count(*) AS n, count(ts) AS timed, count(value) AS valued, count_if(quality_ok) AS ok, count_if(flag) AS flagged FROM t GROUP BY 1")
+@add(f"WITH {READ} SELECT station_id, count(*) AS n, count(ts) AS timed, count(value) AS valued, count(*) FILTER (WHERE quality_ok) AS ok, count(*) FILTER (WHERE flag) AS flagged FROM t GROUP BY 1")
 def typed_readings(spark, d):
     r = _readings(spark, d)
     return r.groupBy("station_id").agg(
@@ -54,7 +54,7 @@ def typed_readings(spark, d):
     )
 
 
-@add(f"WITH {READ} SELECT station_id, count(*) AS n_rows, min(s) AS first_s, max(s) AS last_s, {near('100.0 * count_if(value IS NULL) / count(*)', 1)} AS missing_pct, {near('avg(value)', 3)} AS mean_value FROM t WHERE ts IS NOT NULL GROUP BY 1")
+@add(f"WITH {READ} SELECT station_id, count(*) AS n_rows, min(s) AS first_s, max(s) AS last_s, {near('100.0 * count(*) FILTER (WHERE value IS NULL) / count(*)', 1)} AS missing_pct, {near('avg(value)', 3)} AS mean_value FROM t WHERE ts IS NOT NULL GROUP BY 1")
 def download_summary(spark, d):
     s = S.epoch_s("ts")
     got = _readings(spark, d).filter("ts is not null").groupBy("station_id").agg(
@@ -99,7 +99,7 @@ def quality_top5(spark, d):
     return S.top_codes(_readings(spark, d))
 
 
-@add(f"""WITH {READ}, p AS (SELECT station_id, count(*) AS total_rows, count_if(ts IS NULL) AS n_bad_timestamps FROM t GROUP BY 1),
+@add(f"""WITH {READ}, p AS (SELECT station_id, count(*) AS total_rows, count(*) FILTER (WHERE ts IS NULL) AS n_bad_timestamps FROM t GROUP BY 1),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id, s ORDER BY reading_id) AS k FROM t WHERE s >= {ERA_S}) WHERE k = 1),
 w AS (SELECT *, s - lag(s) OVER (PARTITION BY station_id ORDER BY s) AS step, CASE WHEN value IS NOT NULL THEN s - last_value(CASE WHEN value IS NOT NULL THEN s END IGNORE NULLS)
   OVER (PARTITION BY station_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS hole FROM f),
@@ -214,8 +214,8 @@ def stuck_run(spark, d):
  CASE WHEN NOT isnan(level_percentile) THEN level_percentile END AS p, CASE WHEN NOT isnan(mean_level) THEN mean_level END AS l FROM antecedent_labels)
 SELECT station_id, count(*) AS n_rows, count(DISTINCT label_date) AS n_days, CAST(min(label_date) AS VARCHAR) AS date_min, CAST(max(label_date) AS VARCHAR) AS date_max,
  max(label_date) - min(label_date) + 1 - count(DISTINCT label_date) AS n_missing_days, {near('min(l)')} AS level_min, {near('max(l)')} AS level_max,
- count_if(p < 0 OR p > 100) AS percentile_out, count_if(b < -1e-6 OR b > 1 + 1e-6) AS baseflow_out, {near('100.0 * count_if(b IS NULL) / count(*)', 1)} AS baseflow_nan_pct,
- count_if(abs(z) > 8) AS anomaly_extremes, count_if(days_since_last_peak = 0) AS n_peaks,
+ count(*) FILTER (WHERE p < 0 OR p > 100) AS percentile_out, count(*) FILTER (WHERE b < -1e-6 OR b > 1 + 1e-6) AS baseflow_out, {near('100.0 * count(*) FILTER (WHERE b IS NULL) / count(*)', 1)} AS baseflow_nan_pct,
+ count(*) FILTER (WHERE abs(z) > 8) AS anomaly_extremes, count(*) FILTER (WHERE days_since_last_peak = 0) AS n_peaks,
  CAST(arg_max(label_date, CASE WHEN z IS NOT NULL THEN {{'a': abs(z), 'b': -epoch(label_date)}} END) AS VARCHAR) AS extreme_date, CASE WHEN isinf(max(abs(z))) THEN NULL ELSE {near('max(abs(z))')} END AS anomaly_max_abs FROM x WHERE station_id IS NOT NULL GROUP BY 1""")
 def label_qa(spark, d):
     got = L.label_quality(table(spark, d, "antecedent_labels"))
