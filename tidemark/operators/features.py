@@ -95,3 +95,43 @@ def gram(vectors: DataFrame, group: list[str], v: str) -> DataFrame:
     """Mean products of vector elements i <= j per group, by partial sums; n times d squared additions, no row leaves its task."""
     pairs = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(F.col(v), i + 1, F.size(v)), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x.cast("double") * y.cast("double")).alias("p")))))
     return vectors.filter(usable_vector(v)).select(*group, F.inline(pairs)).groupBy(*group, "i", "j").agg(F.avg("p").alias("mean_product"), F.count("*").alias("n"))
+
+
+def principal_components(vectors: DataFrame, v: str, k: int) -> tuple[DataFrame, list[float]]:
+    """Scores of the first k components and the variances of all; the driver sees one d x d matrix, whatever the rows.
+
+    Moments are summed by Spark over element pairs; the components come back as literals of a projection.
+    """
+    import numpy as np
+
+    rows = vectors.filter(usable_vector(v))
+    means = {r["pos"]: r["m"] for r in rows.select(F.posexplode(v).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).collect()}
+    d = len(means)
+    if not d:
+        return rows.limit(0).withColumn("scores", F.array().cast("array<double>")), []
+    m = np.array([means[i] for i in range(d)])
+    cov = np.zeros((d, d))
+    for r in gram(rows, [], v).collect():
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["mean_product"] - m[r["i"]] * m[r["j"]]
+    lam, u = np.linalg.eigh(cov)
+    centre = F.array(*[F.lit(float(x)) for x in m])
+    centred = F.zip_with(v, centre, lambda x, c: x.cast("double") - c)
+    axes = [F.array(*[F.lit(float(x)) for x in u[:, d - 1 - i]]) for i in range(k)]
+    scores = [F.aggregate(F.zip_with("__c", a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for a in axes]
+    return rows.withColumn("__c", centred).withColumn("scores", F.array(*scores)).drop("__c"), lam[::-1].tolist()
+
+
+def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that only one side has, or that a side has more than once."""
+    a = left.groupBy(*keys).agg(F.count("*").alias("n_left"))
+    b = right.groupBy(*keys).agg(F.count("*").alias("n_right"))
+    both = a.join(b, keys, "full_outer").select(*keys, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+    return both.filter((F.col("n_left") != 1) | (F.col("n_right") != 1))
+
+
+def fold_wins(scores: DataFrame, matched: dict[str, str]) -> DataFrame:
+    """scores(target, model, f, rmse): folds in which a model beats its matched one, as 'wins/folds'."""
+    pairs = scores.sparkSession.createDataFrame(list(matched.items()), "model string, matched string")
+    base = scores.select("target", F.col("model").alias("matched"), "f", F.col("rmse").alias("base"))
+    both = scores.join(F.broadcast(pairs), "model").join(base, ["target", "matched", "f"])  # a registry, a row per model
+    return both.groupBy("target", "model").agg(F.concat_ws("/", F.count_if(F.col("rmse") < F.col("base")), F.count("*")).alias("wins"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.session import small_side
+
 CLOUD_CLASSES = [0, 1, 3, 8, 9, 10]
 
 
@@ -91,3 +93,49 @@ def vector_mean(vectors: DataFrame, keys: list[str], vector: str = "embedding")
     cells = vectors.select(*keys, F.posexplode(vector).alias("pos", "x")).withColumn("x", F.when(~F.isnan("x"), F.col("x").cast("double")))
     means = cells.groupBy(*keys, "pos").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     return means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("pooled"), F.max("n").alias("n_patches"))
+
+
+def standardise(cells: DataFrame, bands: DataFrame) -> DataFrame:
+    """(x - mean) / std of the cell's band, looked up by name; null, NaN and infinite results are 0.
+
+    A band without statistics raises, as a silent 0 would hide a misspelt name.
+    """
+    known = cells.join(small_side(bands), "band", "left")
+    z = (F.col("x") - F.col("band_mean")) / F.nullif(F.col("band_std"), F.lit(0.0))
+    z = F.when(F.col("band_mean").isNull(), F.raise_error(F.concat(F.lit("no statistics for band "), F.col("band"))).cast("double")).otherwise(z)
+    return known.withColumn("z", F.when(~F.isnan(z) & (F.abs(z) < float("inf")), z).otherwise(0.0)).drop("band_mean", "band_std")
+
+
+def model_input(bins: DataFrame, steps: int = 12) -> DataFrame:
+    """Fixed-width rows for a series model: scaled values (value + 25) / 25, 0 where missing, and the mask (1 = missing)."""
+    filled = F.map_from_entries(F.collect_list(F.struct("step", "value")))
+    rows = bins.filter("n > 0").groupBy("site", "target_day", "series").agg(filled.alias("m"))
+    at = F.sequence(F.lit(0), F.lit(steps - 1))
+    return rows.select(
+        "site", "target_day", "series",
+        F.transform(at, lambda k: F.coalesce((F.try_element_at("m", k) + 25) / 25, F.lit(0.0))).alias("x"),
+        F.transform(at, lambda k: F.try_element_at("m", k).isNull().cast("int")).alias("mask"),
+    )
+
+
+def gated_pool(bins: DataFrame, observed: DataFrame, min_series: int = 20, min_steps: int = 2) -> DataFrame:
+    """Per site and target day the mean over series, null unless enough series were seen on the day itself and enough are kept.
+
+    observed: site, day, series, v. A series is kept if it has min_steps filled steps.
+    """
+    per = bins.filter("n > 0").groupBy("site", "target_day", "series").agg(F.count("*").alias("steps"), F.avg("value").alias("value"))
+    on_day = observed.filter("v is not null").groupBy("site", F.col("day").alias("target_day")).agg(F.count_distinct("series").alias("seen"))
+    kept = per.filter(F.col("steps") >= min_steps).groupBy("site", "target_day").agg(
+        F.count("*").alias("n_series"), F.avg("steps").alias("mean_steps"), F.avg("value").alias("pooled")
+    )
+    all_ = per.select("site", "target_day").distinct().join(kept, ["site", "target_day"], "left").join(on_day, ["site", "target_day"], "left")
+    ok = (F.coalesce("seen", F.lit(0)) >= min_series) & (F.coalesce("n_series", F.lit(0)) >= min_series)
+    return all_.select("site", "target_day", F.coalesce("n_series", F.lit(0)).alias("n_series"), "mean_steps", F.when(ok, F.col("pooled")).alias("pooled"))
+
+
+def coordinate_groups(cube: DataFrame, digits: int = 6) -> DataFrame:
+    """Years of a site whose pixels lie at equal (rounded) coordinates share a group; only those may be joined into one series."""
+    spot = F.struct("series", F.round("x", digits), F.round("y", digits))
+    print_ = F.xxhash64(F.sort_array(F.collect_set(spot)))
+    per = cube.groupBy("site", "year").agg(print_.alias("print"), F.count_distinct("series").alias("pixels"))
+    return per.withColumn("group", F.dense_rank().over(Window.partitionBy("site").orderBy("print")))

@@ -79,18 +79,34 @@ def dedup_first(readings: DataFrame, keys: list[str], order: list[str]) -> DataF
     return readings.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
+def with_previous(rows: DataFrame, at: str, out: dict[str, Column]) -> DataFrame:
+    """Adds, for each name, the largest ``at`` before the row among the station's rows where the condition holds.
+
+    Windows reach over one station and day; what came before the day is carried over from a summary of one
+    row a station and day. So a station that holds a third of all rows is ordered day by day, in many tasks.
+    """
+    day = F.floor(F.col(at) / 86400)
+    parts = rows.withColumn("__day", day)
+    within = Window.partitionBy("station_id", "__day").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    over_days = Window.partitionBy("station_id").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    per_day = parts.groupBy("station_id", "__day").agg(*[F.max(F.when(ok, F.col(at))).alias(f"__{n}") for n, ok in out.items()])
+    carried = per_day.select("station_id", "__day", *[F.max(f"__{n}").over(over_days).alias(f"__{n}") for n in out])
+    near = parts.withColumns({n: F.max(F.when(ok, F.col(at))).over(within) for n, ok in out.items()})
+    both = near.join(carried, ["station_id", "__day"])
+    return both.withColumns({n: F.coalesce(n, f"__{n}") for n in out}).drop("__day", *[f"__{n}" for n in out])
+
+
 def availability(readings: DataFrame, era_s: int, digits: int | None = 2) -> DataFrame:
     """One row per station: record and era coverage, cadence, completeness, flags, longest gap and usability.
 
     digits: decimals of the shares and durations, rounded half to even; None leaves them as they are.
     """
     rounded = (lambda c: c) if digits is None else (lambda c: F.bround(c, digits))
-    w = Window.partitionBy("station_id").orderBy("s")
     timed = readings.withColumn("s", epoch_s("ts"))
     per = timed.groupBy("station_id").agg(F.count("*").alias("total_rows"), F.count_if(F.col("ts").isNull()).alias("n_bad_timestamps"))
     era = dedup_first(timed.filter(F.col("s") >= era_s), ["station_id", "s"], ["reading_id"])
-    valid = F.last(F.when(F.col("value").isNotNull(), F.col("s")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    steps = era.withColumns({"step": F.col("s") - F.lag("s").over(w), "hole": F.when(F.col("value").isNotNull(), F.col("s") - valid)})
+    before = with_previous(era, "s", {"last": F.lit(True), "valid": F.col("value").isNotNull()})
+    steps = before.withColumns({"step": F.col("s") - F.col("last"), "hole": F.when(F.col("value").isNotNull(), F.col("s") - F.col("valid"))})
     got = steps.groupBy("station_id").agg(
         F.min("s").alias("era_start_s"), F.max("s").alias("era_end_s"), F.count("*").alias("era_rows"), F.count("value").alias("era_values"),
         F.greatest(F.coalesce(F.median("step"), F.lit(900.0)), F.lit(1.0)).alias("cadence_s"), F.max("hole").alias("longest_s"),

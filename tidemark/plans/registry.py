@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import models, problems, series
+from tidemark.plans import checks, models, problems, series
 
 FLAGSHIP = "p4_found"
-QUERIES = problems.QUERIES | series.QUERIES | models.QUERIES
-ORACLE: dict[str, str] = problems.ORACLE | series.ORACLE | models.ORACLE
+QUERIES = problems.QUERIES | series.QUERIES | models.QUERIES | checks.QUERIES
+ORACLE: dict[str, str] = problems.ORACLE | series.ORACLE | models.ORACLE | checks.ORACLE
