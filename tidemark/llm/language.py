@@ -33,8 +33,8 @@ NAMES = {
 }
 LANGS = list(NAMES)
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 8_000, 1_500, 16_000
-WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 48, (2, 3, 4, 5)
-DROPOUT = 0.3
+WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 48, (3, 4, 5, 6)
+DROPOUT = 0.4
 PENALTY = 4.0
 WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s|&nbsp;|<[^<>]{0,200}>)+(?:[|/•*-]\s+)?|\n+|(?<!\s)\s+[|/•]\s+|<(?:br|p|/p)\b[^<>]{0,80}>")
@@ -197,10 +197,10 @@ def train_network(documents: DataFrame, key: str = "doc_id", text: str = "text",
     texts = [_stripped(s) if r < 0.12 else s[: int(len(s) * 0.5) + 8] if r > 0.9 else s for s, r in zip(texts, rng.random(len(texts)))]
     x, owner = windows(texts)
     net = ByteNet()
-    net.train(x, y[owner], 2)
-    for again in (2, 3):  # labels that the network all but rules out are taken for wrong
-        keep = (net.sentence_scores(texts)[np.arange(len(y)), y] > np.log(0.1))[owner]
-        net.train(x[keep], y[owner][keep], 2, rate=3e-3, seed=again)
+    net.train(x, y[owner], 2, rate=6e-3)
+    for seed, rate, least in ((2, 5e-3, 0.1), (3, 4e-3, 0.2)):  # labels that the network all but rules out are taken for wrong
+        keep = (net.sentence_scores(texts)[np.arange(len(y)), y] > np.log(least))[owner]
+        net.train(x[keep], y[owner][keep], 2, rate=rate, seed=seed)
     return net
 
 
