@@ -21,13 +21,14 @@ Defined results
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import small_side
+from tidemark.session import cut_lineage, small_side
 
 RANGES = 256
 NULL_EXCESS, DISTINCT_SHARE, SHIFT = 0.2, 0.5, 0.4
@@ -89,36 +90,44 @@ def value_counts(spark: SparkSession, path: str, load: str, audits: list[Audit])
 
     Chunks whose footer settles them (all null, of one load) enter as a count; files with others are scanned.
     """
-    foot = read_footers(spark, path, load).filter(F.col("column").isin([a.column for a in audits]))
-    per_file = foot.groupBy("path", "column").agg(F.bool_and(sufficient() & (F.col("nulls") == F.col("rows"))).alias("settled")).cache()
-    settled = foot.join(per_file.filter("settled"), ["path", "column"], "left_semi").groupBy("column", F.col("load_lo").alias("load")).agg(F.sum("rows").alias("n"))
-    types = dict(spark.read.parquet(path).dtypes)
-    none = F.lit(None).cast("double")
-    out = settled.select("column", F.col("load").cast(types[load]).alias("load"), none.alias("value"), "n", F.lit(0).cast("bigint").alias("possible_n"), F.lit(False).alias("rough"))
+    foot = cut_lineage(read_footers(spark, path, load).filter(F.col("column").isin([a.column for a in audits])))
+    whole = foot.groupBy("path", "column").agg(F.bool_and(sufficient() & (F.col("nulls") == F.col("rows"))).alias("settled")).filter("settled")
+    done: dict[str, list[str]] = {}
+    for r in whole.select("path", "column").collect():  # file names, of which the driver lists all anyway
+        done.setdefault(r["column"], []).append(r["path"])
+    table = spark.read.parquet(path)
+    types = dict(table.dtypes)
+    parts = []
     for a in audits:
-        table = spark.read.parquet(path)
-        done = [r["path"] for r in per_file.filter((F.col("column") == a.column) & F.col("settled")).collect()]  # file names only
-        if done:
-            rest = sorted(set(table.inputFiles()) - set(done))
-            if not rest:
+        rest = table
+        if a.column in done:
+            settled = foot.filter((F.col("column") == a.column) & F.col("path").isin(done[a.column])).groupBy("load_lo").agg(F.sum("rows").alias("n"))
+            parts.append(settled.select(
+                F.lit(a.column).alias("column"), F.col("load_lo").cast(types[load]).alias("load"), F.lit(None).cast("double").alias("value"), "n",
+                F.lit(0).cast("bigint").alias("possible_n"), F.lit(False).alias("rough"),
+            ))
+            left = sorted(set(table.inputFiles()) - set(done[a.column]))
+            if not left:
                 continue
-            table = spark.read.schema(table.schema).parquet(*rest)
+            rest = spark.read.schema(table.schema).parquet(*left)
         v = F.when(~F.isnan(a.column), F.col(a.column).cast("double"))
         top = F.col(a.high) if isinstance(a.high, str) else F.lit(a.high)
         fine = F.coalesce((v >= a.low) & ((v <= top) | top.isNull()) & (F.abs(v) != float("inf")), F.lit(False))
-        scale = 10.0**a.decimals
-        rough = F.coalesce(F.rint(v * scale) / scale != v, F.lit(False))
-        counted = table.select(F.col(load).alias("load"), v.alias("value"), fine.alias("fine")).groupBy("load", "value").agg(
+        counted = rest.select(F.col(load).alias("load"), v.alias("value"), fine.alias("fine")).groupBy("load", "value").agg(
             F.count("*").alias("n"), F.count_if("fine").alias("possible_n")
         )
-        v2 = F.col("value")
-        rough = F.coalesce(F.when(F.abs(v2) != float("inf"), F.rint(v2 * scale) / scale != v2), F.lit(False))
-        out = out.unionByName(counted.select(F.lit(a.column).alias("column"), "load", "value", "n", "possible_n", rough.alias("rough")))
-    return out
+        scale, w = 10.0**a.decimals, F.col("value")
+        rough = F.coalesce(F.when(F.abs(w) != float("inf"), F.rint(w * scale) / scale != w), F.lit(False))
+        parts.append(counted.select(F.lit(a.column).alias("column"), "load", "value", "n", "possible_n", rough.alias("rough")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_profile(counts: DataFrame) -> DataFrame:
-    """One row per column and load: rows, nulls, distinct values, extrema, values out of range or too fine, and shift."""
+    """One row per column and load: rows, nulls, distinct values, extrema, values out of range or too fine, and shift.
+
+    The counts are written once, as they are read several times and are a fraction of the table.
+    """
+    counts = cut_lineage(counts)
     facts = counts.groupBy("column", "load").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
         F.count("value").alias("distinct"), F.min("value").alias("least"), F.max("value").alias("most"),

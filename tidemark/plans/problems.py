@@ -120,19 +120,20 @@ AUDITS = {
 }
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_loads(spark, d, profile.odd_loads).select(
-        "table_name", F.col("column").alias("column_name"), F.col("load").cast("bigint").alias("load_no"), "finding"
-    )
+def p7_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The audited columns of both tables, load by load."""
+    counts = [
+        profile.value_counts(spark, f"{d}/{name}.parquet", "load_no", audits).withColumn("column", F.concat(F.lit(f"{name}."), "column"))
+        for name, audits in AUDITS.items()
+    ]
+    return profile.load_profile(counts[0].unionByName(counts[1]))
 
 
-def p7_loads(spark: SparkSession, d: str, then=lambda x: x) -> DataFrame:
-    """The audited columns, load by load."""
-    parts = []
-    for name, audits in AUDITS.items():
-        loads = profile.load_profile(profile.value_counts(spark, f"{d}/{name}.parquet", "load_no", audits))
-        parts.append(then(loads).withColumn("table_name", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.odd_loads(p7_loads(spark, d)).select(
+        F.split_part("column", F.lit("."), F.lit(1)).alias("table_name"), F.split_part("column", F.lit("."), F.lit(2)).alias("column_name"),
+        F.col("load").cast("bigint").alias("load_no"), "finding",
+    )
 
 
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
