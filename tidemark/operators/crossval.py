@@ -29,8 +29,9 @@ def group_folds(rows: DataFrame, by: str) -> DataFrame:
 def fold_roles(rows: DataFrame, station: str, day: str, gap_days: int) -> DataFrame:
     """Every row with every fold and its role: test, train, or purged within gap_days of the fold's test days of its station."""
     bounds = rows.groupBy(station, F.col("fold").alias("f")).agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
-    folds = rows.select(F.col("fold").alias("f")).distinct()
-    each = rows.join(F.broadcast(folds))  # folds: a handful by construction
+    last = rows.agg(F.max("fold").alias("k")).first()["k"]
+    folds = F.array(*[F.lit(k) for k in range(0 if last is None else last + 1)]).cast("array<int>")
+    each = rows.withColumn("f", F.explode(folds))
     each = each.join(bounds, [station, "f"], "left")
     near = F.col(day).between(F.date_sub("lo", gap_days), F.date_add("hi", gap_days))
     role = F.when(F.col("fold") == F.col("f"), "test").when(F.coalesce(near, F.lit(False)), "purged").otherwise("train")
@@ -63,8 +64,8 @@ def choose_alpha(x: np.ndarray, y: np.ndarray, alphas: list[float], blocks: int
     return float(alphas[int(np.argmin(sse))]) if used else float(np.median(alphas))
 
 
-def ridge_predictions(rows: DataFrame, models: DataFrame, order: list[str], alphas: list[float] | None = None) -> DataFrame:
-    """Out-of-fold predictions: rows(row_id, target, f, role, y, x) x models(model, lo, hi, pca).
+def ridge_predictions(rows: DataFrame, models: list[tuple[str, int, int, int]], order: list[str], alphas: list[float] | None = None) -> DataFrame:
+    """Out-of-fold predictions: rows(row_id, target, f, role, y, x), each for every (model, lo, hi, pca).
 
     A model reads elements lo..hi of x, standardised on the training rows, optionally its first principal
     components. The training set of one fit is one group; it must fit a task, as it must fit a solver.
@@ -89,7 +90,8 @@ def ridge_predictions(rows: DataFrame, models: DataFrame, order: list[str], alph
         return out.assign(p=p, alpha=alpha)
 
     key = dict(rows.dtypes)["row_id"]
-    fits = rows.filter("role <> 'purged' and y is not null").join(F.broadcast(models))  # a registry, a row per model
+    registry = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("model", "lo", "hi", "pca"), m)]) for m in models])
+    fits = rows.filter("role <> 'purged' and y is not null").select("*", F.inline(registry))
     return fits.groupBy("target", "model", "f").applyInPandas(fit, f"target string, model string, f int, row_id {key}, y double, p double, alpha double")
 
 

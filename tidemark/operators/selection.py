@@ -39,14 +39,12 @@ def best_per_group(rows: DataFrame, group: str, order: list) -> DataFrame:
 
 
 def standard_scores(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """z scores with population deviation; deviation 0 counts as 1, nulls score 0. One global aggregate, joined back."""
+    """z scores with population deviation; deviation 0 counts as 1, nulls score 0. Two numbers a column come to the driver."""
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
-    facts = rows.agg(*[f(finite[c]).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = rows.join(F.broadcast(facts))  # one row, by construction
-    for c in columns:
-        sd = F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
-        out = out.withColumn(f"z_{c}", F.coalesce((finite[c] - F.col(f"m_{c}")) / sd, F.lit(0.0)))
-    return out.drop(*facts.columns)
+    facts = rows.agg(*[f(finite[c]).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return rows.withColumns({
+        f"z_{c}": F.coalesce((finite[c] - F.lit(facts[f"m_{c}"])) / F.lit(facts[f"s_{c}"] or 1.0), F.lit(0.0)) for c in columns
+    })
 
 
 def farthest_points(rows: DataFrame, key: str, coords: list[str], region: str, quality: str, n: int) -> DataFrame:

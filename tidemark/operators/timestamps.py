@@ -344,15 +344,11 @@ def _with_estimates(readings, files, zones, text, file_id, ingested_at):
     per_file = known.groupBy("__tm_file", "st", "seq_no").agg(F.min("i.first").alias("u_lo"), F.max("i.first").alias("u_hi"))
     w = Window.partitionBy("st").orderBy("seq_no", "__tm_file")
     around = per_file.select("__tm_file", F.lag("u_hi").over(w).alias("left"), F.lead("u_lo").over(w).alias("right"))
-    hours = readings.sparkSession.range(-12, 15).select(
-        F.format_string("%s%02d:00", F.when(F.col("id") < 0, "-").otherwise("+"), F.abs("id")).alias("__tm_cz"),
-        (F.col("id") * 60).alias("__tm_fixed"),
-    )
-    named = zones.filter("__tm_cz is not null").select("__tm_cz", "__tm_fixed").distinct()
-    # every suspect file tries every candidate: an equi-join on a constant over two file-level tables
-    trial = spans.join(around, "__tm_file", "left").withColumn("one", F.lit(1)).join(
-        small_side(named.unionByName(hours).withColumn("one", F.lit(1))), "one"
-    )
+    # zone names are bounded by the zone database and the minutes of a day, whatever the number of files
+    named = {(r["__tm_cz"], r["__tm_fixed"]) for r in zones.filter("__tm_cz is not null").select("__tm_cz", "__tm_fixed").distinct().collect()}
+    named |= {(f"{'-' if h < 0 else '+'}{abs(h):02d}:00", h * 60) for h in range(-12, 15)}
+    candidates = F.array(*[F.struct(F.lit(z).alias("__tm_cz"), F.lit(m).cast("bigint").alias("__tm_fixed")) for z, m in sorted(named, key=str)])
+    trial = spans.join(around, "__tm_file", "left").select("*", F.inline(candidates))
     fixed = F.col("__tm_fixed") * MINUTE
     place = lambda c: F.coalesce(F.col(c) - fixed, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(c), F.col("__tm_cz"))))
     trial = trial.withColumns({"a": place("lo"), "b": place("hi")})

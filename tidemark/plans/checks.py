@@ -132,14 +132,13 @@ def quality_score(spark, d):
     from tidemark.plans.tidy import tidy
 
     rows = _short(spark, d).filter("pct is not null and gap is not null").select("station_id", "load_no", "pct", (-F.col("gap")).alias("short"))
-    n = rows.agg(F.count("*").alias("n"))
+    n = rows.count()
     for c in ("pct", "short"):
         values = rows.groupBy(c).agg(F.count("*").alias("k"))  # ranks come from counted values, a fraction of the rows
         upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
         ranks = values.withColumn(f"r_{c}", upto - (F.col("k") - 1) / 2).drop("k")
         rows = rows.join(ranks, c)
-    rows = rows.join(F.broadcast(n))  # one row
-    return tidy(rows.select("station_id", "load_no", (100 * (F.col("r_pct") + F.col("r_short")) / F.col("n")).alias("quality")), quality=3)
+    return tidy(rows.select("station_id", "load_no", (100 * (F.col("r_pct") + F.col("r_short")) / F.lit(n)).alias("quality")), quality=3)
 
 
 @add(f"""WITH {DAYS} SELECT CAST(day AS VARCHAR) AS day, {near("max(CASE WHEN right(station_id, 1) = '1' THEN value END)")} AS one, {near("max(CASE WHEN right(station_id, 1) = '2' THEN value END)")} AS two FROM d GROUP BY day""")

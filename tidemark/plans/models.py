@@ -319,7 +319,7 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = V.fold_roles(V.blocked_folds(e, "station_id", ["vec_id"], 5), "station_id", "day", 12)
     y = F.get("embedding", F.lit(63)).cast("double") + F.get("embedding", F.lit(0)).cast("double")
     rows = rows.select(F.col("vec_id").alias("row_id"), F.lit("sum").alias("target"), "f", "role", y.alias("y"), F.slice("embedding", 1, 63).alias("x"))
-    models = spark.createDataFrame([("season", 0, 2, 0), ("half", 0, 32, 0), ("all", 0, 63, 0), ("pca10", 0, 63, 10)], "model string, lo int, hi int, pca int")
+    models = [("season", 0, 2, 0), ("half", 0, 32, 0), ("all", 0, 63, 0), ("pca10", 0, 63, 10)]
     return V.ridge_predictions(rows, models, ["row_id"])
 
 
@@ -369,8 +369,8 @@ def manifest_latest(spark, d):
 SELECT unit, y, CASE WHEN s.unit IS NOT NULL THEN 'SKIP' WHEN b.unit IS NOT NULL THEN 'RESUME' ELSE 'NEW' END AS state FROM u LEFT JOIN s USING (unit, y) LEFT JOIN b USING (unit, y)""")
 def work_units(spark, d):
     j = _jobs(spark, d)
-    years = F.broadcast(j.select("y").distinct())  # a year each
-    units = table(spark, d, "customer").select(F.col("c_custkey").alias("unit")).join(years)
+    years = F.array(*[F.lit(y) for (y,) in sorted(j.select("y").distinct().collect())])  # a number a year
+    units = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"), F.explode(years).alias("y"))
     return J.classify_units(units, j.filter("status = 'DOWNLOADED'"), j, ["unit", "y"])
 
 
