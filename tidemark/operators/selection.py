@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def match_flags(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -32,10 +31,9 @@ def eligibility(rows: DataFrame, rules: dict[str, object]) -> DataFrame:
 
 
 def best_per_group(rows: DataFrame, group: str, order: list) -> DataFrame:
-    """The first row of each group in an explicit order, with the number of candidates."""
-    w = Window.partitionBy(group)
-    ranked = rows.withColumns({"candidates": F.count("*").over(w), "__r": F.row_number().over(w.orderBy(*order))})
-    return ranked.filter("__r = 1").drop("__r")
+    """The row of each group that comes first by ascending keys, with the number of candidates, by partial aggregation."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("row")
+    return rows.groupBy(F.col(group).alias("__g")).agg(first, F.count("*").alias("candidates")).select("row.*", "candidates")
 
 
 def standard_scores(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -74,9 +74,9 @@ def top_codes(readings: DataFrame, k: int = 5) -> DataFrame:
 
 
 def dedup_first(readings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an explicit order; dropDuplicates would not say which."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return readings.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    """The first row of each key in an explicit order; dropDuplicates would not say which. Repeats go before the shuffle."""
+    first = F.min_by(F.struct(*readings.columns), F.struct(*order)).alias("row")
+    return readings.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(first).select("row.*")
 
 
 def with_previous(rows: DataFrame, at: str, out: dict[str, Column]) -> DataFrame:

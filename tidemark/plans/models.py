@@ -104,7 +104,7 @@ def eligibility(spark, d):
 @add(f"""WITH {SHORT} SELECT subcatchment_id, station_id, load_no, candidates FROM (SELECT *, count(*) OVER w AS candidates, row_number() OVER (PARTITION BY subcatchment_id ORDER BY pct DESC NULLS LAST, gap ASC NULLS LAST, station_id, load_no) AS k
  FROM s WHERE subcatchment_id IS NOT NULL WINDOW w AS (PARTITION BY subcatchment_id)) WHERE k = 1""")
 def best_per_group(spark, d):
-    order = [F.col("pct").desc_nulls_last(), F.col("gap").asc_nulls_last(), F.col("station_id"), F.col("load_no")]
+    order = [F.coalesce(-F.col("pct"), F.lit(float("inf"))), F.coalesce("gap", F.lit(float("inf"))), F.col("station_id"), F.col("load_no")]
     return C.best_per_group(_short(spark, d).filter("subcatchment_id is not null"), "subcatchment_id", order).select("subcatchment_id", "station_id", "load_no", "candidates")
 
 
@@ -362,7 +362,7 @@ def status_breakdown(spark, d):
 
 @add(f"WITH {JOBS} SELECT unit, job, status FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY stamp DESC, job DESC) AS k FROM j) WHERE k = 1")
 def manifest_latest(spark, d):
-    return J.latest_state(_jobs(spark, d), ["unit"], [F.desc("at"), F.desc("job")]).select("unit", "job", "status")
+    return J.latest_state(_jobs(spark, d), ["unit"], ["at", "job"]).select("unit", "job", "status")
 
 
 @add(f"""WITH {JOBS}, u AS (SELECT c_custkey AS unit, y FROM customer, (SELECT DISTINCT y FROM j)), s AS (SELECT DISTINCT unit, y FROM j WHERE status = 'DOWNLOADED'), b AS (SELECT DISTINCT unit, y FROM j)
