@@ -67,10 +67,10 @@ def interpolate(days: DataFrame, limit: int = 3) -> DataFrame:
 def baseflow_index(days: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Share of base flow by a recursive filter run both ways over the interpolated days with values.
 
-    The filter q_i = max(0, a q_(i-1) + (1+a)/2 dx_i) is a running sum minus its running minimum after
-    scaling by a^-i, which windows can do. The scale would overflow on long records, so it is taken
-    relative to blocks of ``BLOCK`` days through logarithms of the filter state carried between them:
-    stations with more than BLOCK days go through a kernel of their own.
+    The filter q_i = max(0, a q_(i-1) + (1+a)/2 dx_i) equals a running sum less its running minimum after
+    scaling by a^-i. The scale would overflow on long records, so the kernel takes it relative to blocks of
+    days and hands the filter's state from block to block. A station has at most one row a calendar day.
+    Ten days with values or fewer give no index.
     """
     filled = interpolate(days)
     schema = "station_id string, day date, baseflow_index double"
