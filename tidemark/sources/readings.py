@@ -30,12 +30,20 @@ def plain_time(c: str) -> Column:
     return F.when(F.col(c).rlike(PLAIN), body.try_cast("timestamp_ntz"))
 
 
-def typed_readings(raw: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """reading_id, station_id, ts, value (null outside low..high), quality_code (0 where missing), quality_ok, flag."""
+def utc_time(micros: str) -> Column:
+    """UTC time without zone of microseconds since 1970, whatever the session's zone."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col(micros) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
+
+
+def typed_readings(raw: DataFrame, low: float = LOW, high: float = HIGH, ts: Column | None = None) -> DataFrame:
+    """reading_id, station_id, ts, value (null outside low..high), quality_code (0 where missing), quality_ok, flag.
+
+    Without a ``ts`` of the caller's only the two plain notations have a time.
+    """
     value = F.when(F.col("value").between(low, high), F.col("value"))
     code = F.coalesce("quality_code", F.lit(0))
     return raw.select(
-        "reading_id", "file_id", F.col("station_ref").alias("station_id"), plain_time("datetime").alias("ts"), value.alias("value"),
+        "reading_id", "file_id", F.col("station_ref").alias("station_id"), (plain_time("datetime") if ts is None else ts).alias("ts"), value.alias("value"),
         code.alias("quality_code"), (code == GOOD_CODE).alias("quality_ok"), truth("quality_ok").alias("flag"),
     )
 
