@@ -4,7 +4,7 @@ A bounded sample of the points drives a quadtree whose leaves hold like numbers
 goes to its own leaf and, as a visitor, to each leaf its search box touches; regions go to each leaf
 their bounding box touches. Inside a leaf an R-tree, bulk-loaded by sort-tile-recursive packing, yields
 candidates and exact geometry decides. A pair is reported only in the leaf of its reference point, the
-location of its smaller key, so replication never duplicates it.
+smaller location, so replication never duplicates it.
 
 Defined results
 ---------------
@@ -146,7 +146,10 @@ def point_classes(rows: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
 
 
 def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> DataFrame:
-    """class_a < class_b and metres between locations less than radius_m apart."""
+    """class_key, lat and lon of both (_a, _b) and metres of locations less than radius_m apart, each pair once.
+
+    A location is its coordinates: its smallest key may occur at other locations too.
+    """
     reach = math.degrees(radius_m / EARTH_M) * 1.001
     key_type = dict(classes.dtypes)["class_key"]
     boxes = leaf_boxes(starts)
@@ -182,17 +185,22 @@ def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> Dat
         for part in np.array_split(native, max(1, len(native) // 2048)):
             q, e = tree.probe(np.column_stack([x[part] - wide[part], lat[part] - reach, x[part] + wide[part], lat[part] + reach]))
             a = part[q]
-            later = keys[a] < keys[e]
+            later = (lat[a] < lat[e]) | ((lat[a] == lat[e]) & (lon[a] < lon[e]))
             a, e = a[later], e[later]
             m = sphere_m(lat[a], lon[a], lat[e], lon[e])
             close = m < radius_m
-            out.append(pd.DataFrame({"class_a": keys[a][close], "class_b": keys[e][close], "metres": m[close]}))
+            a, e = a[close], e[close]
+            out.append(pd.DataFrame({
+                "class_a": keys[a], "lat_a": lat[a], "lon_a": lon[a], "class_b": keys[e], "lat_b": lat[e], "lon_b": lon[e], "metres": m[close]
+            }))
         return pd.concat(out)
 
     spread_out = classes.select("class_key", "lat", "lon").mapInPandas(
         spread, f"class_key {key_type}, lat double, lon double, leaf long, native boolean"
     )
-    return spread_out.groupBy("leaf").applyInPandas(pairs, f"class_a {key_type}, class_b {key_type}, metres double")
+    return spread_out.groupBy("leaf").applyInPandas(
+        pairs, f"class_a {key_type}, lat_a double, lon_a double, class_b {key_type}, lat_b double, lon_b double, metres double"
+    )
 
 
 def near_pairs(rows: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
@@ -202,11 +210,11 @@ def near_pairs(rows: DataFrame, key: str, lat: str, lon: str, radius_m: float) -
     ).distinct()
     classes = members.groupBy("lat", "lon").agg(F.min("k").alias("class_key"), F.count("*").alias("n"))
     links = near_classes(classes, fit_quadtree(classes, radius_m), radius_m)
-    of = members.join(classes.filter("n > 1"), ["lat", "lon"]).select("class_key", "k")  # only shared spots need expansion
+    of = members.join(classes.filter("n > 1"), ["lat", "lon"]).select("lat", "lon", "k")  # only shared spots need expansion
+    a, b = (of.withColumnsRenamed({"lat": f"lat_{x}", "lon": f"lon_{x}", "k": f"k{x}"}) for x in "ab")
     end = lambda c, name: F.coalesce(F.col(name), F.col(c))
-    a, b = of.withColumnsRenamed({"class_key": "class_a", "k": "ka"}), of.withColumnsRenamed({"class_key": "class_b", "k": "kb"})
-    across = links.join(a, "class_a", "left").join(b, "class_b", "left").select(end("class_a", "ka").alias("x"), end("class_b", "kb").alias("y"))
-    within = a.withColumnRenamed("class_a", "c").join(b.withColumnRenamed("class_b", "c"), "c").select(F.col("ka").alias("x"), F.col("kb").alias("y"))
+    across = links.join(a, ["lat_a", "lon_a"], "left").join(b, ["lat_b", "lon_b"], "left").select(end("class_a", "ka").alias("x"), end("class_b", "kb").alias("y"))
+    within = of.withColumnRenamed("k", "x").join(of.withColumnRenamed("k", "y"), ["lat", "lon"]).select("x", "y")
     both = across.unionByName(within).filter(F.col("x") != F.col("y"))
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
