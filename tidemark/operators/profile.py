@@ -4,8 +4,11 @@ Footers come first: a task reads the footers of a few files, and gives rows, nul
 of the load number of every column chunk. They are exact where the format makes them so: nulls of any
 column, extrema of integers, dates, times, booleans and strings. A chunk of floats cannot vouch for NaN, a
 chunk that spans several loads cannot be split among them; only those files are scanned, and of those
-only the columns in question. Dictionaries of string chunks give the distinct candidates without their
-data pages being looked at by Spark.
+only the columns in question.
+
+``column_profile`` takes rows and, where every chunk of a column counts them, nulls from the footers. It
+scans all columns for the rest: distinct values, NaN, extrema and nulls that some footer does not count.
+Dictionary pages are not decoded; nested and binary columns are left out.
 
 Values are counted per column, load and value before anything else, by partial aggregation, so that the
 tests for loads work on distinct values. The largest difference of two distribution functions is found
@@ -185,16 +188,16 @@ def odd_loads(profile: DataFrame) -> DataFrame:
 
 
 def column_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Every column of the table: rows, nulls, NaN, distinct values, extrema, and how many chunks the footers settled.
+    """Every flat column of the table: rows, nulls, NaN, distinct values, extrema, and how many chunks have footer extrema.
 
-    Nulls and, but for floats, extrema come from footers where each chunk has them; other columns are scanned.
+    Rows come from footers, and so do nulls where each chunk counts them; all else comes from one scan of all columns.
     Distinct values are counted exactly over the distinct values of each scan task.
     """
     table = spark.read.parquet(path)
     flat = [(c, t) for c, t in table.dtypes if not t.startswith(("array", "struct", "map", "binary"))]
     foot = read_footers(spark, path, None)
     settled = foot.groupBy("column").agg(
-        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count("*").alias("chunks"),
+        F.sum("rows").alias("rows"), F.when(F.count("nulls") == F.count("*"), F.sum("nulls")).alias("footer_nulls"), F.count("*").alias("chunks"),
         F.count_if(F.col("nulls").isNotNull() & F.col("least").isNotNull() | (F.col("nulls") == F.col("rows"))).alias("with_extrema"),
     )
     floats = {c for c, t in flat if t in ("double", "float")}
@@ -207,11 +210,12 @@ def column_profile(spark: SparkSession, path: str) -> DataFrame:
     scanned = per_value.groupBy("column").agg(
         F.count(F.when(~F.coalesce(nan, F.lit(False)), F.col("value"))).alias("distinct"),
         F.coalesce(F.sum(F.when(nan, F.col("n"))), F.lit(0)).alias("nans"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("scan_nulls"),
         F.min(F.when(~nan, F.col("number"))).alias("least_number"), F.max(F.when(~nan, F.col("number"))).alias("most_number"),
         F.min(F.when(F.col("number").isNull(), F.col("value"))).alias("least_text"), F.max(F.when(F.col("number").isNull(), F.col("value"))).alias("most_text"),
     )
     return scanned.join(settled, "column").select(
-        "column", "rows", "nulls", "nans", "distinct", "chunks", "with_extrema",
+        "column", "rows", F.coalesce("footer_nulls", "scan_nulls").alias("nulls"), "nans", "distinct", "chunks", "with_extrema",
         F.coalesce(F.col("least_number").cast("string"), "least_text").alias("least"),
         F.coalesce(F.col("most_number").cast("string"), "most_text").alias("most"),
     )
