@@ -129,3 +129,52 @@ def test_clashing_names_repeats_and_empty(spark):
     assert got.columns == [*df.columns, "utc_us"] and got.count() == 2
     assert T.to_instants(df.limit(0), fs).count() == 0
     assert T.restated_instants(frame(spark, rows[:0]), fs.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.datetimes(datetime(1850, 1, 1), datetime(9990, 1, 1)), st.sampled_from(["Europe/Dublin", "Europe/Berlin", "America/New_York"]))
+def test_clock_times_of_any_year_agree_with_the_zone_database(t, zone):
+    t = t.replace(microsecond=0)
+    offset = t.replace(tzinfo=ZoneInfo(zone)).utcoffset()
+    first, second, _, _ = (x[0] for x in T.place_clock(np.array([us(*t.timetuple()[:6])]), zone))
+    if first != T.NONE:  # else skipped, as the other property test has it
+        assert us(*t.timetuple()[:6]) - int(offset.total_seconds()) * T.SECOND in (first, second)
+
+
+def test_years_long_past_and_long_to_come(spark):
+    texts = {1: "1960-01-15 12:00", 2: "1965-07-15 12:00", 3: "2110-07-15 12:00", 4: "2837-07-15 12:00"}
+    zones = {1: "Europe/Dublin", 2: "America/New_York", 3: "Europe/Berlin", 4: "Europe/Berlin"}
+    got = placed(spark, frame(spark, [(k, k, 1, "g", t, NOW) for k, t in texts.items()]), files(spark, [(k, "g", k, z, "ymd") for k, z in zones.items()]))
+    assert got == {1: us(1960, 1, 15, 12), 2: us(1965, 7, 15, 16), 3: us(2110, 7, 15, 10), 4: us(2837, 7, 15, 10)}
+
+
+def test_padded_texts_of_any_length_are_read():
+    assert read(["2024-01-01" + " " * 500 + "10:00Z"])[0][0] == us(2024, 1, 1, 10)
+
+
+def test_lines_with_a_zone_of_their_own_bind_the_repeated_hour(spark):
+    texts = ["2024-10-27T01:20", "2024-10-27T01:10:00+00:00", "2024-10-27T01:20", "2024-10-27T02:00"]
+    got = placed(spark, frame(spark, [(i, 1, i, "g", t, NOW) for i, t in enumerate(texts)]), files(spark, [(1, "g", 1, "Europe/Dublin", "ymd")]))
+    assert [got[0], got[2]] == [us(2024, 10, 27, 0, 20), us(2024, 10, 27, 1, 20)]
+
+
+def test_lines_left_out_decide_all_the_same(spark):
+    texts = ["00:30", "01:00", "01:30", "01:00", "01:30", "02:00"]
+    rows = frame(spark, [(i, 1, i, "g", f"2024-10-27T{t}", NOW) for i, t in enumerate(texts)])
+    fs = files(spark, [(1, "g", 1, "Europe/Dublin", "ymd")])
+    all_ = placed(spark, rows, fs)
+    assert placed(spark, rows, fs, only=F.col("reading_id") == 3) == {3: all_[3]}
+
+
+def test_a_skipped_clock_time_rules_a_zone_out(spark):
+    # 01:30 on 31 March does not exist in Dublin, yet its arrival fits Dublin's offset of later in the day best
+    rows = [(k, 2, k, "g", t, datetime(2024, 3, 31, 12, 0)) for k, t in enumerate(["2024-03-31T01:15", "2024-03-31T01:30", "2024-03-31T12:55"])]
+    got = placed(spark, frame(spark, rows), files(spark, [(1, "h", 1, "Europe/Dublin", "ymd"), (2, "g", 2, None, "ymd")]))
+    assert got[1] == us(2024, 3, 31, 0, 30)
+
+
+def test_readings_between_a_files_ends_count_for_its_zone(spark):
+    # lines out of order: only a middle one arrives before it could have been taken under +00:00
+    rows = [(1, 2, 1, "g", "2024-01-05T10:00", datetime(2024, 1, 5, 23)), (2, 2, 2, "g", "2024-01-05T11:00", datetime(2024, 1, 5, 9, 30)), (3, 2, 3, "g", "2024-01-05T12:00", datetime(2024, 1, 5, 23))]
+    got = placed(spark, frame(spark, rows), files(spark, [(2, "g", 2, None, "ymd")]))
+    assert got[2] == us(2024, 1, 5, 9)

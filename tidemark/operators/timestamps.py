@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -55,8 +55,6 @@ NOTATIONS = [
     rf"(?P<y>9999)-(?P<doy>999)[T ]{TIME}{ZONE}",
     r"(?P<epoch>9{1,14})",
 ]
-#: Texts that end in a zone, or are counts since 1970, for the JVM.
-ZONED = r"(?i)(?:\d:\d{2}(?::\d{2}(?:[.,]\d+)?)?|T\d{4}(?:\d{2})?)\s*(?:Z|[A-Z]{3,4}|[+-]\d{2}(?::?\d{2})?)\s*$|^\s*\d{1,14}\s*$"
 PLAIN = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}\.\d{3}Z| \d{2}:\d{2}:\d{2}\+00:00)$"
 NONE = np.iinfo("int64").min
 
@@ -129,17 +127,20 @@ _SHAPES: dict[str, object] = {}
 
 
 def _notation(shape: str):
-    if shape not in _SHAPES:
+    if shape in _SHAPES:
+        return _SHAPES[shape]
+    match = next((m for x in NOTATIONS if (m := re.fullmatch(x, shape))), None)
+    if len(shape) <= 128:  # longer ones are read too, but not remembered
         if len(_SHAPES) > 20_000:
             _SHAPES.clear()
-        _SHAPES[shape] = next((m for x in NOTATIONS if (m := re.fullmatch(x, shape))), None)
-    return _SHAPES[shape]
+        _SHAPES[shape] = match
+    return match
 
 
 def read_texts(text: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Instants and clock times, in microseconds, of a batch of texts; NONE where there is none."""
     text = pc.utf8_upper(pc.utf8_trim_whitespace(text.cast(pa.string())))
-    shapes = pc.replace_substring_regex(pc.if_else(pc.less_equal(pc.binary_length(text), 64), text, None), "[0-9]", "9").dictionary_encode()
+    shapes = pc.replace_substring_regex(text, "[0-9]", "9").dictionary_encode()
     utc, local = np.full(len(text), NONE), np.full(len(text), NONE)
     codes = pc.fill_null(shapes.indices, -1).to_numpy(zero_copy_only=False)
     by = np.argsort(codes, kind="stable")
@@ -153,14 +154,18 @@ def read_texts(text: pa.Array, order: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return utc, local
 
 
+#: Offsets are looked up from 1800 on; from 2037 on they repeat with the calendar, every 400 years.
+HISTORY_FROM, HISTORY_TO, CYCLE = -5_364_662_400, 14_736_988_800, 146_097 * DAY
+
+
 @lru_cache(64)
 def _zone_history(zone: str) -> tuple[np.ndarray, np.ndarray]:
-    """Instants at which the zone's offset changes from 1970 to 2100, and the offsets before, between and after."""
-    z, hour = ZoneInfo(zone), 3600
+    """Instants at which the zone's offset changes, and the offsets before, between and after."""
+    z, week = ZoneInfo(zone), 7 * 24 * 3600
     off = lambda t: int(datetime.fromtimestamp(t, z).utcoffset().total_seconds())
-    at, offsets, step = [], [off(0)], 14 * 24 * hour
-    for t in range(0, 4_102_444_800, step):
-        lo, hi = t, t + step
+    at, offsets = [], [off(HISTORY_FROM)]
+    for t in range(HISTORY_FROM, HISTORY_TO, week):
+        lo, hi = t, t + week
         if off(hi) == offsets[-1]:
             continue
         while hi - lo > 1:
@@ -171,6 +176,25 @@ def _zone_history(zone: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, "int64") * SECOND, np.array(offsets, "int64") * SECOND
 
 
+def _into_history(us: np.ndarray) -> np.ndarray:
+    """What to take off times after the looked-up years to find their like within them."""
+    return np.maximum(0, (us - (HISTORY_TO * SECOND - 2 * DAY)) // CYCLE + 1) * CYCLE
+
+
+def near_change(instant: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
+    """The zone's backward change within six hours of each instant (else NONE), and whether it is past."""
+    at, offsets = _zone_history(zone)
+    back = np.where(instant == NONE, 0, _into_history(instant))
+    u = np.where(instant == NONE, 0, instant - back)
+    if not len(at):
+        return np.full(len(u), NONE), np.zeros(len(u), bool)
+    k = np.searchsorted(at, u + 6 * HOUR, side="right") - 1
+    safe = np.clip(k, 0, None)
+    near = (instant != NONE) & (k >= 0) & (at[safe] >= u - 6 * HOUR) & (offsets[safe] > offsets[safe + 1])
+    change = np.where(near, at[safe] + back, NONE)
+    return change, near & (instant >= change)
+
+
 def place_clock(local: np.ndarray, zone: str):
     """First and second instant of clock times in a zone, the backward change within six hours (else NONE), and whether it is past.
 
@@ -178,18 +202,14 @@ def place_clock(local: np.ndarray, zone: str):
     """
     at, offsets = _zone_history(zone)
     off = lambda u: offsets[np.searchsorted(at, u, side="right")]
-    before, after = off(local - DAY), off(local + DAY)
-    a, b = local - before, local - after
+    back = _into_history(local)
+    inside = local - back
+    before, after = off(inside - DAY), off(inside + DAY)
+    a, b = inside - before, inside - after
     ok_a, ok_b = off(a) == before, off(b) == after
-    first = np.where(ok_a, a, np.where(ok_b, b, NONE))
-    second = np.where(ok_b, b, first)
-    u = np.where(first == NONE, 0, first)
-    k = np.searchsorted(at, u + 6 * HOUR, side="right") - 1
-    safe = np.clip(k, 0, None)
-    near = (first != NONE) & (k >= 0) & (np.searchsorted(at, u - 6 * HOUR, side="right") <= k)
-    near &= offsets[safe] > offsets[safe + 1] if len(at) else False
-    change = np.where(near, at[safe] if len(at) else NONE, NONE)
-    return first, second, change, near & (u >= change)
+    first = np.where(ok_a, a + back, np.where(ok_b, b + back, NONE))
+    second = np.where(ok_b, b + back, first)
+    return first, second, *near_change(first, zone)
 
 
 INSTANT = T.StructType([T.StructField(x, T.BooleanType() if x == "past" else T.LongType()) for x in ("first", "second", "change", "past", "clock")])
@@ -208,9 +228,12 @@ def instant_of(text: pa.Array, order: pa.Array, zone: pa.Array, fixed: pa.Array)
     zones = zone.dictionary_encode()
     codes = pc.fill_null(zones.indices, -1).to_numpy(zero_copy_only=False)
     open_ = (local != NONE) & (minutes == NONE)
+    stated = (utc != NONE) & (minutes == NONE)
     for k, z in enumerate(zones.dictionary.to_pylist()):
         if len(rows := np.nonzero(open_ & (codes == k))[0]):
             first[rows], second[rows], change[rows], past[rows] = place_clock(local[rows], z)
+        if len(rows := np.nonzero(stated & (codes == k))[0]):  # lines with a zone of their own bind the clock times around them
+            change[rows], past[rows] = near_change(utc[rows], z)
     longs = [pa.array(x, pa.int64(), mask=x == NONE) for x in (first, second, change, local)]
     return pa.StructArray.from_arrays([*longs[:3], pa.array(past), longs[3]], ["first", "second", "change", "past", "clock"])
 
@@ -272,7 +295,7 @@ def _choose_switch(pdf: pd.DataFrame) -> pd.DataFrame:
     inner = (ks > 0) & (ks < n)
     seam = np.where(inner, cost(second[np.clip(ks, 0, n - 1)] - first[np.clip(ks - 1, 0, n - 1)]), 0.0)
     total = np.where(ks > 0, before[np.clip(ks - 1, 0, n - 1)], 0) + seam + np.where(ks < n, after[np.clip(ks, 0, n - 1)], 0)
-    k = int(ks[np.argmin(total)])
+    k = int(ks[np.argmin(np.round(total, 6))])  # of equal costs the earliest, whatever the order of summation
     return pd.DataFrame({"__tm_key": pdf["k"], "__tm_fold": np.where(np.arange(n) < k, first, second)})[twice]
 
 
@@ -286,88 +309,102 @@ def to_instants(
     line_no: str = "line_no",
     ingested_at: str = "ingested_at",
     out: str = "utc_us",
+    only: Column | None = None,
     estimate_zones: bool = True,
 ) -> DataFrame:
     """Adds ``out``: microseconds since 1970 UTC, or null where the text denotes no instant.
 
-    One pass places every reading by Arrow batches. The file table is broadcast after a check of its
-    size. Only readings within six hours of a backward clock change are shuffled, by file and change,
-    to choose the switch. Readings without key or line keep the first of two instants.
+    One pass over the files whose zone is unknown or changes its offset keeps the clock times that need
+    their neighbours: those within six hours of a backward change, and all of files without a zone. From
+    these few, written once, zones are estimated and the switches chosen, by file and change. A second pass
+    places every reading by Arrow batches. ``only`` restricts the rows that come out, never the lines that
+    decide. Readings without key or line keep the first of two instants.
     """
-    zones = zone_table(files)
-    if estimate_zones:
-        zones = _with_estimates(readings, files, zones, text, file_id, ingested_at)
-    zones = small_side(zones)
+    zones = small_side(zone_table(files))
     when = instant_of(text, "__tm_order", "__tm_cz", "__tm_fixed")
-    kept = readings.columns
-    placed = readings.join(zones, F.col(file_id) == F.col("__tm_file"), "left").withColumn("__tm_i", when)
-    local = readings.filter(F.col(key).isNotNull() & F.col(line_no).isNotNull() & ~F.trim(text).rlike(ZONED))
-    context = local.join(
-        zones.filter("__tm_fixed is null and __tm_cz is not null"), F.col(file_id) == F.col("__tm_file")
-    ).withColumn("__tm_i", when)
-    context = context.filter("__tm_i.change is not null").select(
-        F.col(key).alias("k"), F.col(file_id).alias("f"), F.col(line_no).cast("bigint").alias("line"), "__tm_i.*"
+    unsettled = zones.filter("__tm_fixed is null")
+    near = readings.select(
+        F.col(key).alias("__tm_k"), F.col(file_id).alias("__tm_f"), F.col(line_no).cast("bigint").alias("__tm_l"),
+        F.col(text).alias("__tm_t"), F.unix_micros(ingested_at).alias("__tm_a"),
+    )
+    near = near.join(unsettled, F.col("__tm_f") == F.col("__tm_file")).withColumn("__tm_i", instant_of("__tm_t", "__tm_order", "__tm_cz", "__tm_fixed"))
+    near = cut_lineage(near.filter("__tm_i.change is not null or (__tm_cz is null and __tm_i.clock is not null)"))
+    nameless = near.filter("__tm_cz is null")
+    if estimate_zones and not nameless.isEmpty():
+        guessed = small_side(_estimated_zones(nameless, readings, files, zones, text, file_id))
+        zones = small_side(zones.join(guessed, F.col("__tm_file") == F.col("__tm_g"), "left").select(
+            "__tm_file", "__tm_order", F.coalesce("__tm_cz", "__tm_gz").alias("__tm_cz"),
+            F.when(F.col("__tm_cz").isNotNull(), F.col("__tm_fixed")).otherwise(F.col("__tm_gm")).alias("__tm_fixed"),
+        ))
+        again = nameless.drop("__tm_file", "__tm_order", "__tm_cz", "__tm_fixed", "__tm_i").join(zones, F.col("__tm_f") == F.col("__tm_file"))
+        again = again.withColumn("__tm_i", instant_of("__tm_t", "__tm_order", "__tm_cz", "__tm_fixed"))
+        near = near.filter("__tm_cz is not null").unionByName(again.select(near.columns))
+    context = near.filter("__tm_i.change is not null and __tm_k is not null and __tm_l is not null").select(
+        F.col("__tm_k").alias("k"), F.col("__tm_f").alias("f"), F.col("__tm_l").alias("line"), "__tm_i.*"
     )
-    chosen = context.groupBy("f", "change").applyInPandas(
+    chosen = small_side(context.groupBy("f", "change").applyInPandas(
         _choose_switch, f"__tm_key {dict(readings.dtypes)[key]}, __tm_fold long"
-    )
-    chosen = small_side(cut_lineage(chosen))  # written once, counted and joined
+    ))
+    kept = readings.columns
+    rows = readings if only is None else readings.filter(only)
+    placed = rows.join(zones, F.col(file_id) == F.col("__tm_file"), "left").withColumn("__tm_i", when)
     return placed.join(chosen, F.col(key) == F.col("__tm_key"), "left").select(
         *kept, F.coalesce("__tm_fold", "__tm_i.first").alias(out)
     )
 
 
-def _with_estimates(readings, files, zones, text, file_id, ingested_at):
-    """Zones for files that name none but hold clock times without one.
+def _estimated_zones(nameless: DataFrame, readings: DataFrame, files: DataFrame, zones: DataFrame, text: str, file_id: str) -> DataFrame:
+    """__tm_g (file), __tm_gz and __tm_gm: the zone that a file without one is most likely written in.
 
-    Candidates are the zones of all files and the whole hours from -12 to +14. Each is charged for clock
-    times that would lie after their arrival, for overlapping the neighbouring files of the gauge (in
-    seq_no order) and, least of all, for the hole it leaves to them; the cheapest wins.
+    Candidates are the zones of all files and the whole hours from -12 to +14. Every clock time of the file is
+    placed by each of them and violates it if the zone skips it or if it would lie after its own arrival; lines
+    that would overlap the files before and after it in the gauge's order violate it too. The candidate with
+    the fewest violations wins; of several that which leaves the smallest holes to its arrival and neighbours.
+    Tasks count by file and candidate before anything is shuffled.
     """
-    nameless = small_side(zones.filter(F.col("__tm_cz").isNull()).select("__tm_file", "__tm_order"))
-    suspects = readings.select(file_id, text, ingested_at).filter(~F.trim(text).rlike(ZONED)).join(
-        nameless, F.col(file_id) == F.col("__tm_file")
-    )
-    none = F.lit(None)
-    clock = instant_of(text, "__tm_order", none.cast("string"), none.cast("bigint"))
-    local = suspects.withColumn("i", clock).filter("i.clock is not null")
-    if local.isEmpty():
-        return zones
-    spans = local.groupBy("__tm_file").agg(
-        F.min("i.clock").alias("lo"), F.max("i.clock").alias("hi"), F.max(F.unix_micros(ingested_at)).alias("arrived")
-    )
-    order = files.select(F.col("file_id").alias("__tm_file"), F.col("station_ref").alias("st"), F.col("seq_no"))
-    gauges = order.join(spans.select("__tm_file"), "__tm_file", "left_semi").select("st").distinct()
-    known = order.join(gauges, "st", "left_semi").join(zones, "__tm_file")
-    known = readings.select(file_id, text).join(known, F.col(file_id) == F.col("__tm_file"))
-    known = known.withColumn("i", instant_of(text, "__tm_order", "__tm_cz", "__tm_fixed"))
-    per_file = known.groupBy("__tm_file", "st", "seq_no").agg(F.min("i.first").alias("u_lo"), F.max("i.first").alias("u_hi"))
-    w = Window.partitionBy("st").orderBy("seq_no", "__tm_file")
-    around = per_file.select("__tm_file", F.lag("u_hi").over(w).alias("left"), F.lead("u_lo").over(w).alias("right"))
     # zone names are bounded by the zone database and the minutes of a day, whatever the number of files
     named = {(r["__tm_cz"], r["__tm_fixed"]) for r in zones.filter("__tm_cz is not null").select("__tm_cz", "__tm_fixed").distinct().collect()}
-    named |= {(f"{'-' if h < 0 else '+'}{abs(h):02d}:00", h * 60) for h in range(-12, 15)}
-    candidates = F.array(*[F.struct(F.lit(z).alias("__tm_cz"), F.lit(m).cast("bigint").alias("__tm_fixed")) for z, m in sorted(named, key=str)])
-    trial = spans.join(around, "__tm_file", "left").select("*", F.inline(candidates))
-    fixed = F.col("__tm_fixed") * MINUTE
-    place = lambda c: F.coalesce(F.col(c) - fixed, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(c), F.col("__tm_cz"))))
-    trial = trial.withColumns({"a": place("lo"), "b": place("hi")})
-    late = lambda x, y: F.greatest(F.lit(0.0), F.coalesce((F.col(x) - F.col(y)) / HOUR, F.lit(0.0)))
-    trial = trial.withColumn(
-        "cost", 1000 * late("b", "arrived") + 100 * late("left", "a") + 100 * late("b", "right") + late("a", "left") + late("right", "b")
-    )
-    best = trial.groupBy("__tm_file").agg(
-        F.min_by(F.struct("__tm_cz", "__tm_fixed"), F.struct("cost", F.abs(F.coalesce("__tm_fixed", F.lit(30))), "__tm_cz")).alias("z")
-    )
-    return zones.join(best, "__tm_file", "left").select(
-        "__tm_file", "__tm_order", F.coalesce("__tm_cz", "z.__tm_cz").alias("__tm_cz"),
-        F.when(F.col("__tm_cz").isNotNull(), F.col("__tm_fixed")).otherwise(F.col("z.__tm_fixed")).alias("__tm_fixed"),
+    candidates = sorted(named | {(f"{'-' if h < 0 else '+'}{abs(h):02d}:00", h * 60) for h in range(-12, 15)}, key=str)
+    order = files.filter(F.col("file_id").isNotNull()).groupBy(F.col("file_id").alias("__tm_file")).agg(F.max("station_ref").alias("st"), F.max("seq_no").alias("seq_no"))
+    gauges = order.join(nameless.select("__tm_file").distinct(), "__tm_file", "left_semi").select("st").distinct()
+    known = readings.select(file_id, text).join(small_side(order.join(gauges, "st", "left_semi").join(zones, "__tm_file")), F.col(file_id) == F.col("__tm_file"))
+    known = known.withColumn("i", instant_of(text, "__tm_order", "__tm_cz", "__tm_fixed"))
+    spans = known.groupBy("__tm_file", "st", "seq_no").agg(F.min("i.first").alias("u_lo"), F.max("i.first").alias("u_hi"))
+    before = Window.partitionBy("st").orderBy("seq_no", "__tm_file")
+    # the nearest file with a known instant on either side, past others without a zone
+    around = spans.select(
+        "__tm_file", F.last("u_hi", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
+        F.first("u_lo", ignorenulls=True).over(before.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
     )
+    clocks = nameless.select("__tm_file", F.col("__tm_i.clock").alias("clock"), F.col("__tm_a").alias("arrived")).join(small_side(around), "__tm_file", "left")
+
+    def trials(batches):
+        for pdf in batches:
+            out = []
+            for file, part in pdf.groupby("__tm_file", sort=False):
+                clock = part["clock"].to_numpy("int64")
+                bounds = [pd.to_numeric(part[c]).to_numpy("float64") for c in ("arrived", "left", "right")]
+                for k, (zone, minutes) in enumerate(candidates):
+                    u = clock - minutes * MINUTE if minutes is not None else place_clock(clock, zone)[0]
+                    skipped = u == NONE
+                    arrived, left, right = (np.where(skipped, np.nan, b - u) / HOUR for b in bounds)
+                    wrong = skipped.sum() + (arrived < 0).sum() + (left > 0).sum() + (right < 0).sum()
+                    holes = [np.abs(x[~np.isnan(x)]).min(initial=np.inf) for x in (arrived, left, right)]
+                    out.append((file, k, int(wrong), *holes))
+            yield pd.DataFrame(out, columns=["f", "k", "wrong", "h1", "h2", "h3"])
+
+    tried = clocks.mapInPandas(trials, f"f {dict(clocks.dtypes)['__tm_file']}, k int, wrong long, h1 double, h2 double, h3 double")
+    finite = lambda c: F.when(F.min(c) < float("inf"), F.min(c)).otherwise(0.0)
+    tried = tried.groupBy("f", "k").agg(F.sum("wrong").alias("wrong"), (finite("h1") + finite("h2") + finite("h3")).alias("holes"))
+    z, m = (F.get(F.array(*[F.lit(c[i]) for c in candidates]), F.col("k")) for i in (0, 1))
+    tried = tried.withColumns({"z": z, "m": m.cast("bigint")})
+    best = F.min_by(F.struct("z", "m"), F.struct("wrong", F.round("holes", 6), F.abs(F.coalesce("m", F.lit(30))), "z"))
+    return tried.groupBy(F.col("f").alias("__tm_g")).agg(best.alias("b")).select("__tm_g", F.col("b.z").alias("__tm_gz"), F.col("b.m").alias("__tm_gm"))
 
 
 def restated_instants(readings: DataFrame, files: DataFrame) -> DataFrame:
     """reading_id and utc_ms of readings whose text is in neither plain notation but denotes an instant."""
-    dirty = readings.filter(F.col("datetime").isNotNull() & ~F.col("datetime").rlike(PLAIN))
-    dirty = dirty.select("reading_id", "file_id", "line_no", "station_ref", "datetime", "ingested_at")
-    found = to_instants(dirty, files).filter("utc_us is not null")
+    rows = readings.select("reading_id", "file_id", "line_no", "station_ref", "datetime", "ingested_at")
+    restated = F.col("datetime").isNotNull() & ~F.col("datetime").rlike(PLAIN)
+    found = to_instants(rows, files, only=restated).filter("utc_us is not null")
     return found.select("reading_id", F.floor(F.col("utc_us") / 1000).cast("bigint").alias("utc_ms"))

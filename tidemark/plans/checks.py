@@ -10,7 +10,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import raster as P
 from tidemark.operators import timeseries as S
 from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, _pixels, _predictions, _scenes, _series, _short
-from tidemark.plans.series import DAYS, READ, _all_readings, _days, _readings, in_every_notation
+from tidemark.plans.series import DAYS, READ, _days, _readings, also_named_all
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
 from tidemark.sources import sinks
@@ -32,9 +32,9 @@ def label_flags(spark, d):
 
 
 @add(f"WITH {READ} SELECT station_id, count(*) AS n, {near('avg(value)')} AS level FROM t WHERE ts >= TIMESTAMP '2019-01-01' AND ts < TIMESTAMP '2024-01-01' GROUP BY 1")
-def half_open_window(spark, d, readings=_readings):
+def half_open_window(spark, d):
     lo, hi = (F.lit(x).cast("timestamp_ntz") for x in ("2019-01-01", "2024-01-01"))
-    return readings(spark, d).filter((F.col("ts") >= lo) & (F.col("ts") < hi)).groupBy("station_id").agg(F.count("*").alias("n"), F.avg("value").alias("level"))
+    return _readings(spark, d).filter((F.col("ts") >= lo) & (F.col("ts") < hi)).groupBy("station_id").agg(F.count("*").alias("n"), F.avg("value").alias("level"))
 
 
 @add(f"WITH {PIXELS}, s AS (SELECT *, (row * 8 + col + vec_id) % 12 AS scl FROM px) SELECT site, CAST(day AS VARCHAR) AS day, count(*) FILTER (WHERE scl NOT IN (0, 1, 3, 8, 9, 10)) AS clear, {near('avg(CASE WHEN scl NOT IN (0, 1, 3, 8, 9, 10) THEN v END)')} AS mean FROM s GROUP BY site, day")
@@ -86,9 +86,9 @@ def features_with_labels(spark, d):
 @add(f"""WITH {READ}, a AS (SELECT station_id, CAST(ts AS DATE) AS day, 1 AS one FROM t WHERE ts IS NOT NULL GROUP BY 1, 2), b AS (SELECT station_id, label_date AS day FROM antecedent_labels),
 x AS (SELECT station_id, day, count(*) AS n FROM a GROUP BY 1, 2), y AS (SELECT station_id, day, count(*) AS n FROM b GROUP BY 1, 2)
 SELECT coalesce(x.station_id, y.station_id) AS station_id, CAST(coalesce(x.day, y.day) AS VARCHAR) AS day, coalesce(x.n, 0) AS n_left, coalesce(y.n, 0) AS n_right FROM x FULL JOIN y ON x.station_id = y.station_id AND x.day = y.day WHERE coalesce(x.n, 0) <> 1 OR coalesce(y.n, 0) <> 1""")
-def reconcile_days(spark, d, readings=_readings):
+def reconcile_days(spark, d):
     """Days that only readings or only labels have, or that labels have twice."""
-    a = readings(spark, d).filter("ts is not null").select("station_id", F.to_date("ts").alias("day")).distinct()
+    a = _readings(spark, d).filter("ts is not null").select("station_id", F.to_date("ts").alias("day")).distinct()
     return X.reconcile(a, table(spark, d, "antecedent_labels").select("station_id", F.col("label_date").alias("day")), ["station_id", "day"])
 
 
@@ -174,7 +174,7 @@ def model_fold_wins(spark, d):
 @add()
 def gap_reports(spark, d):
     """Nested coverage reports as JSON, one text a station."""
-    return sinks.json_report(S.gap_report(S.resample(_all_readings(spark, d), 900), 900, 6 * 3600))
+    return sinks.json_report(S.gap_report(S.resample(_readings(spark, d), 900), 900, 6 * 3600))
 
 
-in_every_notation(add, half_open_window, reconcile_days)
+also_named_all(add, ORACLE, half_open_window, reconcile_days)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift, implausible, profile, regular_grid, rolling, spatial, timestamps
+from tidemark.plans.instants_sql import INSTANTS
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -35,8 +36,7 @@ def _quarters(spark: SparkSession, d: str) -> DataFrame:
     readings = table(spark, d, "gauge_readings").select(
         "reading_id", "file_id", "line_no", "station_ref", "datetime", "value", "ingested_at"
     )
-    readings = readings.filter(F.col("value").between(LEVEL_LOW, LEVEL_HIGH) & F.col("datetime").isNotNull())
-    placed = timestamps.to_instants(readings, table(spark, d, "gauge_files"))
+    placed = timestamps.to_instants(readings, table(spark, d, "gauge_files"), only=F.col("value").between(LEVEL_LOW, LEVEL_HIGH))
     return regular_grid.fill_slots(placed, "station_ref", "utc_us", "value", QUARTER_S, LEVEL_LOW, LEVEL_HIGH)
 
 
@@ -146,6 +146,11 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants,
 
 # SQL for the problems that SQL can state; the others are tested against brute force.
 ORACLE = {
+    "p2_found": rf"""WITH {INSTANTS} SELECT reading_id, utc_us // 1000 AS utc_ms FROM placed JOIN gauge_readings USING (reading_id)
+WHERE utc IS NOT NULL AND NOT regexp_full_match(datetime, '\d{{4}}-\d\d-\d\d(T\d\d:\d\d:\d\d\.\d{{3}}Z| \d\d:\d\d:\d\d\+00:00)')""",
+    "p2_instants": f"WITH {INSTANTS} SELECT reading_id, utc_us // 1000 AS utc_ms FROM placed",
+    "p4_found": f"""WITH {INSTANTS}, q AS (SELECT DISTINCT station_ref, utc_us // 900000000 AS slot FROM placed JOIN gauge_readings USING (reading_id) WHERE utc IS NOT NULL AND value BETWEEN 0 AND 125 AND station_ref IS NOT NULL),
+h AS (SELECT *, lead(slot) OVER (PARTITION BY station_ref ORDER BY slot) AS nxt FROM q) SELECT station_ref, (slot + 1) * 900000 AS gap_start_ms, nxt - slot - 1 AS n_slots FROM h WHERE nxt > slot + 1""",
     "p1_found": """WITH g AS (SELECT DISTINCT station_id AS k, latitude AS y, longitude AS x, subcatchment_id AS s FROM catchment_level_shortlist
   WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
 p AS (SELECT DISTINCT k, y, x, CAST(floor(CASE WHEN isnan(y) THEN 0 ELSE y END * 2000) AS BIGINT) AS c FROM g),

@@ -1,7 +1,6 @@
 """Queries of the time-series, label and source operators, with the SQL that checks them.
 
-The SQL reads the two plain notations of a time only, and so do the queries it checks. Each of them that
-needs the time is registered again as ``<name>_all``, without SQL, over the readings of every notation.
+Readings come with the instants of every notation; the SQL gets them by a parse of its own (instants_sql).
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators import labels as L
 from tidemark.operators import timeseries as S
-from tidemark.operators import timestamps
+from tidemark.plans.instants_sql import INSTANTS
 from tidemark.plans.tidy import near, query, tidy
 from tidemark.session import table
 from tidemark.sources import readings as R
@@ -25,36 +24,29 @@ ERA_S = 1_483_228_800  # 2017-01-01
 
 
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """Readings as the SQL has them: ts is null but for the two plain notations."""
-    return R.typed_readings(table(spark, d, "gauge_readings"))
+    return R.typed_readings(table(spark, d, "gauge_readings"), table(spark, d, "gauge_files"))
 
 
-def _all_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Readings of every notation."""
-    placed = timestamps.to_instants(table(spark, d, "gauge_readings"), table(spark, d, "gauge_files"))
-    return R.typed_readings(placed, ts=R.utc_time("utc_us"))
-
-
-def in_every_notation(add, *queries) -> None:
+def also_named_all(add, sql: dict[str, str], *queries) -> None:
+    """Keeps ``<name>_all`` as another name of queries that were once registered under both."""
     for fn in queries:
 
         def run(spark, d, fn=fn):
-            return fn(spark, d, _all_readings)
+            return fn(spark, d)
 
-        run.__name__, run.__doc__ = f"{fn.__name__}_all", f"{fn.__name__} over the readings of every notation."
-        add()(run)
+        run.__name__, run.__doc__ = f"{fn.__name__}_all", f"Another name of {fn.__name__}."
+        add(sql[fn.__name__])(run)
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
     return R.daily_levels(table(spark, d, "antecedent_labels"))
 
 
-READ = r"""r AS (SELECT reading_id, file_id, station_ref AS station_id,
- CASE WHEN regexp_full_match(datetime, '\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}\.\d{3}Z| \d{2}:\d{2}:\d{2}\+00:00)')
-  THEN try_cast(replace(regexp_replace(datetime, '(Z|\+00:00)$', ''), 'T', ' ') AS TIMESTAMP) END AS ts,
+READ = rf"""{INSTANTS},
+r AS (SELECT reading_id, file_id, station_ref AS station_id, utc AS ts,
  CASE WHEN value BETWEEN 0 AND 125 THEN value END AS value, coalesce(quality_code, 0) AS quality_code,
  coalesce(quality_code, 0) = 254 AS quality_ok,
- CASE lower(trim(quality_ok)) WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM gauge_readings),
+ CASE lower(trim(quality_ok)) WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM gauge_readings JOIN placed USING (reading_id)),
 t AS (SELECT *, epoch_ms(ts) // 1000 AS s FROM r)"""
 DAYS = """d AS (SELECT station_id, label_date AS day, max(CASE WHEN mean_level BETWEEN 0 AND 125 THEN mean_level END) AS value
  FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
@@ -69,17 +61,17 @@ g AS (SELECT sp.station_id, sp.bin_s, coalesce(b.value, {empty}) AS value, coale
 
 
 @add(f"WITH {READ} SELECT station_id, count(*) AS n, count(ts) AS timed, count(value) AS valued, count(*) FILTER (WHERE quality_ok) AS ok, count(*) FILTER (WHERE flag) AS flagged FROM t GROUP BY 1")
-def typed_readings(spark, d, readings=_readings):
-    r = readings(spark, d)
+def typed_readings(spark, d):
+    r = _readings(spark, d)
     return r.groupBy("station_id").agg(
         F.count("*").alias("n"), F.count("ts").alias("timed"), F.count("value").alias("valued"), F.count_if("quality_ok").alias("ok"), F.count_if("flag").alias("flagged")
     )
 
 
 @add(f"WITH {READ} SELECT station_id, count(*) AS n_rows, min(s) AS first_s, max(s) AS last_s, {near('100.0 * count(*) FILTER (WHERE value IS NULL) / count(*)', 1)} AS missing_pct, {near('avg(value)', 3)} AS mean_value FROM t WHERE ts IS NOT NULL GROUP BY 1")
-def download_summary(spark, d, readings=_readings):
+def download_summary(spark, d):
     s = S.epoch_s("ts")
-    got = readings(spark, d).filter("ts is not null").groupBy("station_id").agg(
+    got = _readings(spark, d).filter("ts is not null").groupBy("station_id").agg(
         F.count("*").alias("n_rows"), F.min(s).alias("first_s"), F.max(s).alias("last_s"),
         (100.0 * F.count_if(F.col("value").isNull()) / F.count("*")).alias("missing_pct"), F.avg("value").alias("mean_value"),
     )
@@ -87,38 +79,38 @@ def download_summary(spark, d, readings=_readings):
 
 
 @add(f"WITH {READ}, {_grid(900)} SELECT station_id, bin_s, {near('value')} AS value, n FROM g")
-def resample_quarter(spark, d, readings=_readings):
-    return S.resample(readings(spark, d), 900)
+def resample_quarter(spark, d):
+    return S.resample(_readings(spark, d), 900)
 
 
 @add(f"WITH {READ}, {_grid(3600, 'sum(value)', '0')} SELECT station_id, bin_s, {near('value')} AS value, n FROM g")
-def resample_hourly_sum(spark, d, readings=_readings):
-    return S.resample(readings(spark, d), 3600, "sum")
+def resample_hourly_sum(spark, d):
+    return S.resample(_readings(spark, d), 3600, "sum")
 
 
 @add(f"WITH {READ}, {_grid(86400)} SELECT station_id, bin_s, {near('value')} AS value, n FROM g")
-def resample_daily(spark, d, readings=_readings):
-    return S.resample(readings(spark, d), 86400)
+def resample_daily(spark, d):
+    return S.resample(_readings(spark, d), 86400)
 
 
 @add(f"WITH {READ}, {_grid(900)} SELECT station_id, count(*) AS total, count(value) AS available, count(*) - count(value) AS missing, {near('100.0 * count(value) / count(*)', 1)} AS completeness_pct, count(value) / count(*) >= 0.7 AS passes FROM g GROUP BY 1")
-def completeness_report(spark, d, readings=_readings):
-    got = S.completeness(S.resample(readings(spark, d), 900))
+def completeness_report(spark, d):
+    got = S.completeness(S.resample(_readings(spark, d), 900))
     return tidy(got.withColumn("completeness_pct", 100.0 * F.col("available") / F.col("total")), completeness_pct=1)
 
 
 @add(f"""WITH {READ}, {_grid(900)}, i AS (SELECT *, count(value) OVER (PARTITION BY station_id ORDER BY bin_s) AS k, max(bin_s) OVER (PARTITION BY station_id) AS z FROM g)
 SELECT station_id, min(bin_s) AS start_s, least(max(bin_s) + 900, max(z)) AS end_s, {near('(least(max(bin_s) + 900, max(z)) - min(bin_s)) / 3600.0')} AS hours
 FROM i WHERE value IS NULL GROUP BY station_id, k HAVING least(max(bin_s) + 900, max(z)) - min(bin_s) >= 21600""")
-def gap_islands(spark, d, readings=_readings):
-    return S.gaps(S.resample(readings(spark, d), 900), 900, 6 * 3600)
+def gap_islands(spark, d):
+    return S.gaps(S.resample(_readings(spark, d), 900), 900, 6 * 3600)
 
 
 @add(f"""WITH {READ}, n AS (SELECT station_id, quality_code, count(*) AS n FROM t GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY n DESC, quality_code) AS rank FROM n)
 SELECT station_id, string_agg(quality_code || ':' || n, '; ' ORDER BY rank) AS top_codes FROM k WHERE rank <= 5 GROUP BY 1""")
 def quality_top5(spark, d):
-    return S.top_codes(_readings(spark, d))
+    return S.top_codes(R.typed_codes(table(spark, d, "gauge_readings")))
 
 
 @add(f"""WITH {READ}, p AS (SELECT station_id, count(*) AS total_rows, count(*) FILTER (WHERE ts IS NULL) AS n_bad_timestamps FROM t GROUP BY 1),
@@ -131,14 +123,14 @@ SELECT station_id, total_rows, n_bad_timestamps, x AS era_start_s, y AS era_end_
  {near('pct', 1)} AS completeness_pct, {near('100 * ok', 1)} AS quality_ok_pct, {near('hole / 86400.0', 3)} AS max_gap_days,
  CASE WHEN total_rows = n_bad_timestamps THEN 'no_valid_timestamps' WHEN era_rows IS NULL THEN 'empty' ELSE 'ok' END AS status,
  coalesce(span_days >= 1825 AND pct >= 70 AND (hole IS NULL OR hole / 86400.0 <= 60), false) AS usable FROM o""")
-def availability(spark, d, readings=_readings):
-    got = S.availability(readings(spark, d), ERA_S, digits=None)
+def availability(spark, d):
+    got = S.availability(_readings(spark, d), ERA_S, digits=None)
     return tidy(got.withColumn("span_days", F.col("span_days").cast("bigint")), interval_minutes=3, completeness_pct=1, quality_ok_pct=1, max_gap_days=3)
 
 
 @add(f"""WITH {READ} SELECT station_id, s, reading_id, {near('value')} AS value FROM (SELECT *, row_number() OVER (PARTITION BY station_id, s ORDER BY reading_id) AS k FROM t WHERE ts IS NOT NULL) WHERE k = 1""")
-def dedup_keep_first(spark, d, readings=_readings):
-    r = readings(spark, d).filter("ts is not null").withColumn("s", S.epoch_s("ts"))
+def dedup_keep_first(spark, d):
+    r = _readings(spark, d).filter("ts is not null").withColumn("s", S.epoch_s("ts"))
     return S.dedup_first(r, ["station_id", "s"], ["reading_id"]).select("station_id", "s", "reading_id", "value")
 
 
@@ -262,9 +254,9 @@ def gap_mode(spark, d):
 
 @add(f"""WITH {READ}, {_grid(86400)}, x AS (SELECT station_id, CAST(make_timestamp(bin_s * 1000000) AS DATE) AS day, value FROM g), {DAYS.replace('d AS', 'd AS', 1)}
 SELECT x.station_id, count(*) AS shared_days, {near('max(abs(x.value - d.value))')} AS max_abs_diff FROM x JOIN d USING (station_id, day) WHERE x.value IS NOT NULL AND d.value IS NOT NULL GROUP BY 1""")
-def recompute_check(spark, d, readings=_readings):
+def recompute_check(spark, d):
     """Daily means from readings against the stored daily levels."""
-    fresh = S.resample(readings(spark, d), 86400).select("station_id", F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bin_s") / 86400).cast("int")).alias("day"), F.col("value").alias("v"))
+    fresh = S.resample(_readings(spark, d), 86400).select("station_id", F.date_add(F.lit("1970-01-01").cast("date"), (F.col("bin_s") / 86400).cast("int")).alias("day"), F.col("value").alias("v"))
     both = fresh.join(_days(spark, d), ["station_id", "day"]).filter("v is not null and value is not null")
     return both.groupBy("station_id").agg(F.count("*").alias("shared_days"), F.max(F.abs(F.col("v") - F.col("value"))).alias("max_abs_diff"))
 
@@ -278,7 +270,7 @@ def keep_last_file(spark, d):
     return files.withColumn("nth", nth).filter("nth = 1").select("file_id", "n", "nth")
 
 
-in_every_notation(
-    add, typed_readings, download_summary, resample_quarter, resample_hourly_sum, resample_daily, completeness_report, gap_islands, availability,
+also_named_all(
+    add, ORACLE, typed_readings, download_summary, resample_quarter, resample_hourly_sum, resample_daily, completeness_report, gap_islands, availability,
     dedup_keep_first, recompute_check,
 )

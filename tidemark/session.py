@@ -8,8 +8,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have before an equi-join falls back from broadcast to a shuffle join.
+#: Rows that a side may have before an equi-join falls back from broadcast to a shuffle join.
 BROADCAST_ROWS = 200_000
+#: And its bytes, written as JSON text.
+BROADCAST_BYTES = 32_000_000
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -32,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Respect spark.checkpoint.dir; set a folder of our own only where it is unset (tests)."""
+    """Respect spark.checkpoint.dir; a local session without one gets a folder of its own, a cluster must name a shared one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or Path(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")).as_uri())
+    if sc.getCheckpointDir() is not None:
+        return
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(configured or Path(tempfile.mkdtemp(prefix="spark-")).as_uri())
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -45,12 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only if a count proves it has at most ``max_rows`` rows.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once, with a hint for broadcast only if its rows and their size as text are within bounds.
 
-    The count stops after max_rows + 1 rows, so it never costs more than the proof needs.
-    A larger side is returned without a hint and takes part in a shuffle join.
+    The written rows are measured and joined, so its plan runs once. A larger side comes back without a hint
+    and takes part in a shuffle join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    held = cut_lineage(df)
+    size = held.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(held) if size["n"] <= max_rows and (size["bytes"] or 0) <= max_bytes else held

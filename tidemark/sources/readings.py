@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.timestamps import to_instants
+
 GOOD_CODE = 254
 LOW, HIGH = 0.0, 125.0
-PLAIN = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}\.\d{3}Z| \d{2}:\d{2}:\d{2}\+00:00)$"
 
 
 def finite(c: str) -> Column:
@@ -24,30 +25,26 @@ def truth(c: str) -> Column:
     return F.when(word == "true", True).when(word == "false", False)
 
 
-def plain_time(c: str) -> Column:
-    """UTC time of the two plain notations without a zone of its own, null for any other text."""
-    body = F.regexp_replace(F.regexp_replace(F.col(c), r"(Z|\+00:00)$", ""), "T", " ")
-    return F.when(F.col(c).rlike(PLAIN), body.try_cast("timestamp_ntz"))
-
-
 def utc_time(micros: str) -> Column:
     """UTC time without zone of microseconds since 1970, whatever the session's zone."""
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col(micros) / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)"))
 
 
-def typed_readings(raw: DataFrame, low: float = LOW, high: float = HIGH, ts: Column | None = None) -> DataFrame:
-    """reading_id, station_id, ts, value (null outside low..high), quality_code (0 where missing), quality_ok, flag.
-
-    Without a ``ts`` of the caller's only the two plain notations have a time.
-    """
+def typed_codes(raw: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """The rows with station_id, value (null outside low..high), quality_code (0 where missing), quality_ok and flag."""
     value = F.when(F.col("value").between(low, high), F.col("value"))
     code = F.coalesce("quality_code", F.lit(0))
     return raw.select(
-        "reading_id", "file_id", F.col("station_ref").alias("station_id"), (plain_time("datetime") if ts is None else ts).alias("ts"), value.alias("value"),
+        "reading_id", "file_id", F.col("station_ref").alias("station_id"), *[c for c in ("utc_us",) if c in raw.columns], value.alias("value"),
         code.alias("quality_code"), (code == GOOD_CODE).alias("quality_ok"), truth("quality_ok").alias("flag"),
     )
 
 
+def typed_readings(raw: DataFrame, files: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """typed_codes with ts, the UTC time of every notation (null where the text denotes no instant)."""
+    return typed_codes(to_instants(raw, files), low, high).withColumn("ts", utc_time("utc_us")).drop("utc_us")
+
+
 def daily_levels(labels: DataFrame) -> DataFrame:
     """station_id, day and value, one row per station and day; repeated rows count once."""
     level = F.when(F.col("mean_level").between(LOW, HIGH), F.col("mean_level"))
