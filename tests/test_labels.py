@@ -39,18 +39,6 @@ def test_base_flow_agrees_with_the_recursion_on_long_records():
     assert np.abs(L._base(v, 0.925) - np.clip(v - q, 0, v)).max() < 1e-9
 
 
-def test_ridge_path_primal_equals_dual():
-    rng = np.random.default_rng(1)
-    x, y, xv = rng.normal(size=(30, 12)), rng.normal(size=30), rng.normal(size=(5, 12))
-    a = V._ridge_path(x, y, xv, [0.5])[:, 0]
-    c = x - x.mean(0)
-    want = y.mean() + (xv - x.mean(0)) @ np.linalg.solve(c.T @ c + 0.5 * np.eye(12), c.T @ (y - y.mean()))
-    assert np.allclose(a, want)
-    wide = V._ridge_path(x[:8], y[:8], xv, [0.5])[:, 0]
-    c = x[:8] - x[:8].mean(0)
-    assert np.allclose(wide, y[:8].mean() + (xv - x[:8].mean(0)) @ np.linalg.solve(c.T @ c + 0.5 * np.eye(12), c.T @ (y[:8] - y[:8].mean())))
-
-
 def test_interpolation_limit(spark):
     from datetime import date, timedelta
 

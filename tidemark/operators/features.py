@@ -11,9 +11,9 @@ def usable_vector(v: str) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def phase(day: Column, anchor: str = "2015-01-01", cycle: int = 12) -> Column:
-    """Days since the anchor within the cycle, never negative."""
-    return F.pmod(F.datediff(day, F.lit(anchor).cast("date")), F.lit(cycle))
+def phase(day: Column, anchor: str = "2015-01-01", cycle: int = 12, repeats: bool = True) -> Column:
+    """Days since the anchor within the cycle; -1 for a sensor whose track does not repeat with it."""
+    return F.pmod(F.datediff(day, F.lit(anchor).cast("date")), F.lit(cycle)) if repeats else F.lit(-1)
 
 
 def long_vectors(vectors: DataFrame, keys: list[str], v: str) -> DataFrame:
@@ -21,8 +21,13 @@ def long_vectors(vectors: DataFrame, keys: list[str], v: str) -> DataFrame:
 
 
 def normalise(cells: DataFrame, station: str, phase_: str) -> DataFrame:
-    """Element less its station and phase mean, over the population deviation of what is left; under 1e-9 counts as 1."""
-    centred = cells.withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy(station, phase_, "pos")))
+    """Element less its station and phase mean, over the population deviation of what is left; under 1e-9 counts as 1.
+
+    Where any phase of the table is negative, the station's mean alone is taken off.
+    """
+    known = F.when(F.min(phase_).over(Window.partitionBy(station, "pos")) >= 0, F.col(phase_)).otherwise(-1)
+    phased = cells.withColumn("__ph", known)
+    centred = phased.withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy(station, "pos", "__ph"))).drop("__ph")
     sd = F.stddev_pop("c").over(Window.partitionBy(station, "pos"))
     return centred.withColumn("z", F.col("c") / F.when(sd < 1e-9, 1.0).otherwise(sd))
 
@@ -135,3 +140,18 @@ def fold_wins(scores: DataFrame, matched: dict[str, str]) -> DataFrame:
     base = scores.select("target", F.col("model").alias("matched"), "f", F.col("rmse").alias("base"))
     both = scores.join(F.broadcast(pairs), "model").join(base, ["target", "matched", "f"])  # a registry, a row per model
     return both.groupBy("target", "model").agg(F.concat_ws("/", F.count_if(F.col("rmse") < F.col("base")), F.count("*")).alias("wins"))
+
+
+def comparison_report(predictions: DataFrame, matched: dict[str, str], season: str = "season") -> DataFrame:
+    """Per target and model: pooled and per-fold rank correlation, R2, RMSE, its change from the season model, fold wins.
+
+    predictions: target, model, f, y, p. Folds without a correlation (under 5 rows, no variance) do not count in
+    its mean and deviation. Wins are null for models that are matched with none.
+    """
+    key = ["target", "model"]
+    pooled = fit_quality(predictions, key, "y", "p").join(spearman(predictions, key, "y", "p").select(*key, F.col("rho").alias("rho_pooled")), key)
+    folds = spearman(predictions, [*key, "f"], "y", "p").groupBy(*key).agg(F.avg("rho").alias("rho_fold_mean"), F.stddev_pop("rho").alias("rho_fold_sd"))
+    wins = fold_wins(fit_quality(predictions, [*key, "f"], "y", "p"), matched)
+    base = F.max(F.when(F.col("model") == season, F.col("rmse"))).over(Window.partitionBy("target"))
+    rows = pooled.join(folds, key).withColumn("vs_season_pct", 100 * (F.col("rmse") - base) / base)
+    return rows.join(wins, key, "left")

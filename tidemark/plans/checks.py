@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import raster as P
 from tidemark.operators import timeseries as S
-from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, _pixels, _predictions, _scenes, _series, _short
+from tidemark.operators.places import numbered, running_total
+from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, SIMPLE, _pixels, _predictions, _scenes, _series, _short
 from tidemark.plans.series import DAYS, READ, _days, _readings, also_named_all
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
@@ -77,7 +77,7 @@ l AS (SELECT CAST(s.site AS BIGINT) AS site, d.day, d.value FROM d JOIN s USING
 def features_with_labels(spark, d):
     """Left join of scenes to daily levels on site and day; scenes without a level stay."""
     days = _days(spark, d)
-    ids = days.select("station_id").distinct().withColumn("site", F.row_number().over(Window.orderBy("station_id")) - 1)
+    ids = numbered(days.select("station_id").distinct(), ["station_id"], "site")
     labels = days.join(ids, "station_id").select("site", "day", F.col("value").alias("level"))
     scenes = _scenes(spark, d).select("vec_id", "site", F.date_add("day", 1000).alias("day"))
     return scenes.join(labels, ["site", "day"], "left").select("vec_id", "level")
@@ -128,15 +128,14 @@ def cube_groups(spark, d):
 @add(f"""WITH {SHORT}, b AS (SELECT station_id, load_no, pct, gap FROM s WHERE pct IS NOT NULL AND gap IS NOT NULL)
 SELECT station_id, load_no, {near('100.0 * (rank() OVER (ORDER BY pct) + (count(*) OVER (PARTITION BY pct) - 1) / 2.0) / count(*) OVER () + 100.0 * (rank() OVER (ORDER BY -gap) + (count(*) OVER (PARTITION BY gap) - 1) / 2.0) / count(*) OVER ()', 3)} AS quality FROM b""")
 def quality_score(spark, d):
-    """Percentile rank of completeness plus that of short gaps, over the distinct values; no row is ordered as a whole."""
+    """Percentile rank of completeness plus that of short gaps; ranks come from counted values, numbered range by range."""
     from tidemark.plans.tidy import tidy
 
     rows = _short(spark, d).filter("pct is not null and gap is not null").select("station_id", "load_no", "pct", (-F.col("gap")).alias("short"))
     n = rows.count()
     for c in ("pct", "short"):
-        values = rows.groupBy(c).agg(F.count("*").alias("k"))  # ranks come from counted values, a fraction of the rows
-        upto = F.sum("k").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = values.withColumn(f"r_{c}", upto - (F.col("k") - 1) / 2).drop("k")
+        values = rows.groupBy(c).agg(F.count("*").alias("k"))
+        ranks = running_total(values, [c], "k", "upto").select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r_{c}"))
         rows = rows.join(ranks, c)
     return tidy(rows.select("station_id", "load_no", (100 * (F.col("r_pct") + F.col("r_short")) / F.lit(n)).alias("quality")), quality=3)
 
@@ -168,7 +167,7 @@ def principal_scores(spark, d):
 @add()
 def model_fold_wins(spark, d):
     scores = X.fit_quality(_predictions(spark, d), ["target", "model", "f"], "y", "p")
-    return X.fold_wins(scores, {"half": "season", "all": "half", "pca10": "all"})
+    return X.fold_wins(scores, {m.name: m.matched for m in SIMPLE if m.matched})
 
 
 @add()

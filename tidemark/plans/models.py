@@ -314,13 +314,29 @@ def purge_gap(spark, d):
     return V.fold_roles(_folds(spark, d), "station_id", "day", 30).groupBy("station_id", "f", "role").agg(F.count("*").alias("n"))
 
 
-def _predictions(spark: SparkSession, d: str) -> DataFrame:
-    e = _scenes(spark, d).select("vec_id", F.col("site").cast("string").alias("station_id"), "day", "embedding").filter(X.usable_vector("embedding"))
-    rows = V.fold_roles(V.blocked_folds(e, "station_id", ["vec_id"], 5), "station_id", "day", 12)
+def _training_rows(spark: SparkSession, d: str, cv: str = "blocked") -> tuple[DataFrame, int]:
+    """vec_id, station_id, day, embedding, the target y and the roles in the folds of a scheme: blocked, loyo or loso."""
     y = F.get("embedding", F.lit(63)).cast("double") + F.get("embedding", F.lit(0)).cast("double")
-    rows = rows.select(F.col("vec_id").alias("row_id"), F.lit("sum").alias("target"), "f", "role", y.alias("y"), F.slice("embedding", 1, 63).alias("x"))
-    models = [("season", 0, 2, 0), ("half", 0, 32, 0), ("all", 0, 63, 0), ("pca10", 0, 63, 10)]
-    return V.ridge_predictions(rows, models, ["row_id"])
+    e = _scenes(spark, d).filter(X.usable_vector("embedding")).select("vec_id", F.col("site").cast("string").alias("station_id"), "day", "embedding", y.alias("sum"))
+    if cv == "blocked":
+        rows = V.blocked_folds(e, "station_id", ["vec_id"], 5)
+    elif cv == "loyo":
+        rows = V.group_folds(e.withColumn("y", F.year("day")), "y", 2).drop("y")
+    else:
+        rows = V.group_folds(e, "station_id", 2)
+    return V.role_arrays(rows, "station_id", "day", 12)
+
+
+SIMPLE = [
+    V.Model("season", (V.Block(((0, 2),)),)), V.Model("half", (V.Block(((0, 32),)),), "season"),
+    V.Model("all", (V.Block(((0, 63),)),), "half"), V.Model("pca10", (V.Block(((0, 63),), 10),), "all"),
+]
+
+
+def _predictions(spark: SparkSession, d: str, cv: str = "blocked", **how) -> DataFrame:
+    rows, k = _training_rows(spark, d, cv)
+    rows = rows.withColumn("x", F.slice("embedding", 1, 63))
+    return V.ridge_predictions(rows, "vec_id", ["vec_id"], ["sum"], how.pop("models", SIMPLE), k, **how)
 
 
 @add()
@@ -329,12 +345,81 @@ def ridge_cv(spark, d):
     return _predictions(spark, d)
 
 
+@add()
+def ridge_loo(spark, d):
+    """The same with alphas chosen by leaving out one row at a time."""
+    return _predictions(spark, d, choose="loo")
+
+
+@add()
+def ridge_loyo(spark, d):
+    """Out-of-fold predictions leaving out one year at a time."""
+    return _predictions(spark, d, "loyo")
+
+
+@add()
+def ridge_loso(spark, d):
+    """Out-of-fold predictions leaving out one site at a time."""
+    return _predictions(spark, d, "loso")
+
+
+PAIR = f"""{SCENES}, u AS (SELECT vec_id, site, CAST(day AS DATE) AS day, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[64] AS DOUBLE) + CAST(embedding[1] AS DOUBLE) AS y,
+ floor((row_number() OVER (PARTITION BY site ORDER BY vec_id) - 1) * 5 / count(*) OVER (PARTITION BY site)) AS fold FROM z WHERE list_count(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+sp AS (SELECT site, fold AS f, min(day) AS lo, max(day) AS hi FROM u GROUP BY 1, 2), fs AS (SELECT DISTINCT fold AS f FROM u),
+ro AS (SELECT u.*, fs.f, CASE WHEN fold = fs.f THEN 'test' WHEN day BETWEEN lo - 12 AND hi + 12 THEN 'purged' ELSE 'train' END AS role FROM u CROSS JOIN fs LEFT JOIN sp ON sp.site = u.site AND sp.f = fs.f),
+mo AS (SELECT f, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS r, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb FROM ro WHERE role = 'train' GROUP BY 1),
+wt AS (SELECT *, ((n + 10) * n * ca - n * r * n * cb) / ((n + 10) * (n + 10) - n * r * n * r) AS wa, ((n + 10) * n * cb - n * r * n * ca) / ((n + 10) * (n + 10) - n * r * n * r) AS wb FROM mo),
+pr AS (SELECT vec_id, site, ro.f, y, my + wa * (a - ma) / sa + wb * (b - mb) / sb AS p FROM ro JOIN wt USING (f) WHERE role = 'test')"""
+
+
+@add(f"WITH {PAIR} SELECT 'sum' AS target, 'season' AS model, CAST(f AS BIGINT) AS f, vec_id AS row_id, {near('y')} AS y, {near('p')} AS p, 10.0::DOUBLE AS alpha FROM pr")
+def ridge_fixed(spark, d):
+    """Out-of-fold predictions of the smallest model with a given alpha, which SQL can solve too."""
+    return _predictions(spark, d, models=SIMPLE[:1], alphas=[10.0])
+
+
+@add(f"""WITH {PAIR}, sc AS (SELECT f, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, 1 - avg((y - p) * (y - p)) / var_pop(y) AS r2 FROM pr GROUP BY 1)
+SELECT 'sum' AS target, 'season' AS model, CAST(f AS BIGINT) AS f, n, {near('rmse')} AS rmse, {near('r2')} AS r2 FROM sc""")
+def fold_scores(spark, d):
+    """Errors of each fold of ridge_fixed."""
+    return X.fit_quality(_predictions(spark, d, models=SIMPLE[:1], alphas=[10.0]), ["target", "model", "f"], "y", "p")
+
+
 @add()
 def model_comparison(spark, d):
     scores = X.fit_quality(_predictions(spark, d), ["target", "model"], "y", "p")
     return V.compare_models(scores)
 
 
+STATS, EMB, CONTEXT = 4, 59, (14, 30, 60)
+
+
+@add()
+def model_registry(spark, d):
+    """The whole registry of models on season, statistics, vectors and their causal context, out of fold, with its report.
+
+    The first elements of a vector stand in for zonal statistics, the rest, but the last, for an embedding.
+    """
+    rows, k = _training_rows(spark, d)
+    cells = X.long_vectors(rows.withColumn("ph", X.phase(F.col("day"))), ["vec_id", "station_id", "ph"], "embedding").filter(F.col("pos") < STATS + EMB)
+    cells = X.normalise(cells, "station_id", "ph").select("vec_id", "station_id", "pos", F.col("z").alias("x"))
+    for w in CONTEXT:
+        cells = X.causal_context(cells, "station_id", "vec_id", w).withColumnRenamed("context", f"c{w}").drop("no_past")
+    own = F.sort_array(F.collect_list(F.struct("pos", "x", *[f"c{w}" for w in CONTEXT])))
+    made = cells.groupBy("vec_id").agg(own.alias("cells"))
+    part = lambda lo, n, of: F.transform(F.slice("cells", lo + 1, n), lambda c: c[of])
+    turn = 2 * 3.141592653589793 * F.dayofyear("day") / 365.25
+    raw = lambda lo, n: F.transform(F.slice("embedding", lo + 1, n), lambda v: v.cast("double"))
+    x = F.concat(
+        F.array(F.sin(turn), F.cos(turn)), raw(0, STATS), part(0, STATS, "x"), raw(STATS, EMB), part(STATS, EMB, "x"),
+        *[part(0, STATS, f"c{w}") for w in CONTEXT], *[part(STATS, EMB, f"c{w}") for w in CONTEXT],
+    )
+    widths = {"season": 2, "stats": STATS, "stats_n": STATS, "emb": EMB, "emb_n": EMB, "stats_ctx": STATS * len(CONTEXT), "emb_ctx": EMB * len(CONTEXT)}
+    models = V.registry(widths)
+    found = V.ridge_predictions(rows.join(made, "vec_id").withColumn("x", x), "vec_id", ["vec_id"], ["sum"], models, k)
+    return X.comparison_report(found, {m.name: m.matched for m in models if m.matched})
+
+
 @add("""WITH m AS (SELECT l_returnflag AS flag, l_linestatus AS st, avg(l_discount) AS a, avg(l_tax) AS b FROM lineitem GROUP BY 1, 2),
 u AS (UNPIVOT m ON a, b INTO NAME metric VALUE v) SELECT flag, metric, round(max(CASE WHEN st = 'F' THEN v END) + 3e-8, 5) AS "F", round(max(CASE WHEN st = 'O' THEN v END) + 3e-8, 5) AS "O" FROM u GROUP BY 1, 2""")
 def pivot_metrics(spark, d):
