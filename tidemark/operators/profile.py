@@ -1,39 +1,45 @@
 """Data quality profile of every column of a table of Parquet files, and of the loads that stand out.
 
-Footers come first: a task reads the footers of a few files, and gives rows, nulls, extrema and the range
-of the load number of every column chunk. They are exact where the format makes them so: nulls of any
-column, extrema of integers, dates, times, booleans and strings. A chunk of floats cannot vouch for NaN, a
-chunk that spans several loads cannot be split among them; only those files are scanned, and of those
-only the columns in question.
+Decisions fall chunk by chunk (one column of one row group), in tasks that Spark spreads over row groups:
 
-``column_profile`` takes rows and, where every chunk of a column counts them, nulls from the footers. It
-scans all columns for the rest: distinct values, NaN, extrema and nulls that some footer does not count.
-Dictionary pages are not decoded; nested and binary columns are left out.
+* the footer settles rows and nulls, and the extrema of all but floats, whose NaN it leaves out; a chunk
+  whose extrema are equal, or that is all null, is settled by it wholly;
+* if all pages of a chunk point into a dictionary, the dictionary page gives its distinct values, and
+  with them the extrema of floats; only a float dictionary that holds NaN leaves their number open;
+* the other chunks are scanned, and no other. ``chunk_sources`` counts which way each chunk went.
 
-Values are counted per column, load and value before anything else, by partial aggregation, so that the
-tests for loads work on distinct values. The largest difference of two distribution functions is found
-by ranges of values: running totals of at most ``RANGES`` ranges, then windows inside a range.
+The loads' tests need the number of rows a value, which no footer holds: there a chunk is settled only if it
+is all null and of one load, and the others are scanned for the audited columns alone. Values are counted by
+load in the task that reads them, and merged by partial aggregation; the tests work on these counts. The
+largest difference of two distribution functions is found by ranges of values: running totals of at most
+``RANGES`` ranges, then windows inside a range.
 
 Defined results
 ---------------
-* NaN counts as null; infinite values are values, never possible ones;
+* NaN counts as null for the loads, on its own in the profile; infinite values are values, never possible ones;
 * a null load is profiled as its own load but never a finding; an empty table gives no rows;
-* repeated rows all count, for they are what is stored.
+* repeated rows all count, for they are what is stored;
+* a column that some files lack is null there; nested and binary columns have no profile;
+* a writer that keeps entries in a dictionary that no row uses would add them to the distinct values.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators import chunks
 from tidemark.session import cut_lineage, small_side
 
 RANGES = 256
+#: Tasks that read footers, and that read row groups at most.
+FOOTER_TASKS, MOST_TASKS = 64, 10_000
 NULL_EXCESS, DISTINCT_SHARE, SHIFT = 0.2, 0.5, 0.4
 
 
@@ -50,24 +56,25 @@ class Audit:
 FOOTER = "path string, row_group int, column string, kind string, rows long, nulls long, least string, most string, dictionary boolean, load_lo string, load_hi string"
 
 
+def parquet_files(spark: SparkSession, path: str) -> DataFrame:
+    """path of every Parquet file of a table, as Spark's own listing has them; no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+
 def read_footers(spark: SparkSession, path: str, load: str | None) -> DataFrame:
     """One row per column chunk, from the footers alone. Files are spread over tasks by path."""
 
     def footers(batches):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
         for pdf in batches:
             out = []
             for uri in pdf["path"]:
-                system, name = fs.FileSystem.from_uri(uri)
-                meta = pq.ParquetFile(system.open_input_file(name)).metadata
+                meta = chunks.opened(uri)[0].metadata
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
-                    chunks = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
-                    of_load = chunks[load].statistics if load in chunks else None
+                    mine = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+                    of_load = mine[load].statistics if load in mine else None
                     span = (str(of_load.min), str(of_load.max)) if of_load is not None and of_load.has_min_max and not of_load.null_count else (None, None)
-                    for column, chunk in chunks.items():
+                    for column, chunk in mine.items():
                         s = chunk.statistics
                         known = s is not None and s.has_min_max
                         out.append((
@@ -76,9 +83,7 @@ def read_footers(spark: SparkSession, path: str, load: str | None) -> DataFrame:
                         ))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FOOTER.split(", ")])
 
-    files = spark.read.parquet(path).inputFiles()
-    listed = spark.createDataFrame([(f,) for f in files], "path string")
-    return listed.repartition(max(1, min(len(files), 4096)), "path").mapInPandas(footers, FOOTER)
+    return parquet_files(spark, path).repartition(FOOTER_TASKS, "path").mapInPandas(footers, FOOTER)
 
 
 def sufficient(column: Column | str = "column") -> Column:
@@ -91,49 +96,64 @@ def sufficient(column: Column | str = "column") -> Column:
 def value_counts(spark: SparkSession, path: str, load: str, audits: list[Audit]) -> DataFrame:
     """column, load, value (null for nulls and NaN), n, possible_n, rough (more decimals than allowed).
 
-    Chunks whose footer settles them (all null, of one load) enter as a count; files with others are scanned.
+    Chunks whose footer settles them (all null, of one load) enter as a count; the others are scanned in their
+    row group's task, the audited columns with the load beside them, and counted there first.
     """
-    foot = cut_lineage(read_footers(spark, path, load).filter(F.col("column").isin([a.column for a in audits])))
-    whole = foot.groupBy("path", "column").agg(F.bool_and(sufficient() & (F.col("nulls") == F.col("rows"))).alias("settled")).filter("settled")
-    done: dict[str, list[str]] = {}
-    for r in whole.select("path", "column").collect():  # file names, of which the driver lists all anyway
-        done.setdefault(r["column"], []).append(r["path"])
-    table = spark.read.parquet(path)
-    types = dict(table.dtypes)
-    parts = []
-    for a in audits:
-        rest = table
-        if a.column in done:
-            settled = foot.filter((F.col("column") == a.column) & F.col("path").isin(done[a.column])).groupBy("load_lo").agg(F.sum("rows").alias("n"))
-            parts.append(settled.select(
-                F.lit(a.column).alias("column"), F.col("load_lo").cast(types[load]).alias("load"), F.lit(None).cast("double").alias("value"), "n",
-                F.lit(0).cast("bigint").alias("possible_n"), F.lit(False).alias("rough"),
-            ))
-            left = sorted(set(table.inputFiles()) - set(done[a.column]))
-            if not left:
-                continue
-            rest = spark.read.schema(table.schema).parquet(*left)
-        v = F.when(~F.isnan(a.column), F.col(a.column).cast("double"))
-        top = F.col(a.high) if isinstance(a.high, str) else F.lit(a.high)
-        fine = F.coalesce((v >= a.low) & ((v <= top) | top.isNull()) & (F.abs(v) != float("inf")), F.lit(False))
-        counted = rest.select(F.col(load).alias("load"), v.alias("value"), fine.alias("fine")).groupBy("load", "value").agg(
-            F.count("*").alias("n"), F.count_if("fine").alias("possible_n")
-        )
-        scale, w = 10.0**a.decimals, F.col("value")
-        rough = F.coalesce(F.when(F.abs(w) != float("inf"), F.rint(w * scale) / scale != w), F.lit(False))
-        parts.append(counted.select(F.lit(a.column).alias("column"), "load", "value", "n", "possible_n", rough.alias("rough")))
-    return reduce(DataFrame.unionByName, parts)
+    load_type = dict(spark.read.parquet(path).dtypes)[load]
+    foot = cut_lineage(read_footers(spark, path, load))
+    mine = F.col("column").isin([a.column for a in audits])
+    settled = sufficient() & (F.col("nulls") == F.col("rows"))
+    done = foot.filter(mine & settled).groupBy("column", F.col("load_lo").cast(load_type).alias("load")).agg(
+        F.lit(None).cast("double").alias("value"), F.sum("rows").alias("n"), F.lit(0).cast("bigint").alias("possible_n")
+    )
+    units = foot.groupBy("path", "row_group").agg(F.collect_set(F.when(mine & settled, F.col("column"))).alias("settled"))
+
+    def count(batches):
+        for pdf in batches:
+            for uri, group, known in zip(pdf["path"], pdf["row_group"], pdf["settled"]):
+                left = [a for a in audits if a.column not in set(known)]
+                wanted = dict.fromkeys([load, *(a.column for a in left), *(a.high for a in left if isinstance(a.high, str))])
+                for batch in chunks.scanned(uri, int(group), list(wanted)) if left else ():
+                    for a in left:
+                        yield _counted(batch, load, a)
+
+    counted = units.repartition(_tasks(units), "path", "row_group").mapInPandas(count, f"column string, load {load_type}, value double, n long, possible_n long")
+    merged = counted.unionByName(done).groupBy("column", "load", "value").agg(F.sum("n").alias("n"), F.sum("possible_n").alias("possible_n"))
+    scale = F.try_element_at(F.create_map(*[F.lit(x) for a in audits for x in (a.column, 10.0**a.decimals)]), "column")
+    w = F.col("value")
+    rough = F.coalesce(F.when(F.abs(w) != float("inf"), F.rint(w * scale) / scale != w), F.lit(False))
+    return merged.withColumn("rough", rough)
+
+
+def _counted(batch, load: str, audit: Audit) -> pd.DataFrame:
+    """Rows and possible values of one audited column of a batch, by load and value."""
+    value = batch[audit.column].cast(pa.float64())
+    value = pc.add(pc.if_else(pc.is_nan(value), None, value), 0.0)
+    fine = pc.and_(pc.greater_equal(value, audit.low), pc.is_finite(value))
+    top = batch[audit.high].cast(pa.float64()) if isinstance(audit.high, str) else pa.scalar(float(audit.high))
+    above = pc.and_(pc.greater(value, top), pc.invert(pc.is_nan(top)))
+    fine = pc.and_(pc.fill_null(fine, False), pc.invert(pc.fill_null(above, False)))
+    table = pa.table({"load": batch[load], "value": value, "possible_n": fine.cast(pa.int64()), "n": fine.cast(pa.int64())})
+    got = table.group_by(["load", "value"], use_threads=False).aggregate([("n", "count"), ("possible_n", "sum")])
+    got = pa.table({"column": pa.array([audit.column] * len(got)), "load": got["load"], "value": got["value"], "n": got["n_count"], "possible_n": got["possible_n_sum"]})
+    return got.to_pandas()
+
+
+def _tasks(units: DataFrame) -> int:
+    """Tasks for row groups; their rows are tiny, so that their bytes would gather them in one."""
+    return max(1, min(units.count(), MOST_TASKS))
 
 
 def load_profile(counts: DataFrame) -> DataFrame:
-    """One row per column and load: rows, nulls, distinct values, extrema, values out of range or too fine, and shift.
+    """One row per column and load: rows, nulls, distinct values, finite extrema, values out of range or too fine, and shift.
 
     The counts are written once, as they are read several times and are a fraction of the table.
     """
     counts = cut_lineage(counts)
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
     facts = counts.groupBy("column", "load").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("distinct"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.count("value").alias("distinct"), F.min(finite).alias("least"), F.max(finite).alias("most"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n") - F.col("possible_n"))), F.lit(0)).alias("impossible"),
         F.coalesce(F.sum(F.when(F.col("rough"), F.col("possible_n"))), F.lit(0)).alias("rough"),
     )
@@ -187,35 +207,86 @@ def odd_loads(profile: DataFrame) -> DataFrame:
     return p.select("column", "load", F.explode(found).alias("finding"))
 
 
-def column_profile(spark: SparkSession, path: str) -> DataFrame:
-    """Every flat column of the table: rows, nulls, NaN, distinct values, extrema, and how many chunks have footer extrema.
+FACTS = "column string, source string, rows long, nulls long, nans long, whole long, real double, text string"
 
-    Rows come from footers, and so do nulls where each chunk counts them; all else comes from one scan of all columns.
-    Distinct values are counted exactly over the distinct values of each scan task.
-    """
-    table = spark.read.parquet(path)
-    flat = [(c, t) for c, t in table.dtypes if not t.startswith(("array", "struct", "map", "binary"))]
-    foot = read_footers(spark, path, None)
-    settled = foot.groupBy("column").agg(
-        F.sum("rows").alias("rows"), F.when(F.count("nulls") == F.count("*"), F.sum("nulls")).alias("footer_nulls"), F.count("*").alias("chunks"),
-        F.count_if(F.col("nulls").isNotNull() & F.col("least").isNotNull() | (F.col("nulls") == F.col("rows"))).alias("with_extrema"),
-    )
-    floats = {c for c, t in flat if t in ("double", "float")}
-    values = table.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if c in floats else F.lit(None).cast("double")).alias("number"))
-        for c, _ in flat
-    ])).alias("x")).select("x.*")
-    nan = F.isnan("number")
-    per_value = values.groupBy("column", "value").agg(F.count("*").alias("n"), F.first("number").alias("number"))
-    scanned = per_value.groupBy("column").agg(
-        F.count(F.when(~F.coalesce(nan, F.lit(False)), F.col("value"))).alias("distinct"),
-        F.coalesce(F.sum(F.when(nan, F.col("n"))), F.lit(0)).alias("nans"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("scan_nulls"),
-        F.min(F.when(~nan, F.col("number"))).alias("least_number"), F.max(F.when(~nan, F.col("number"))).alias("most_number"),
-        F.min(F.when(F.col("number").isNull(), F.col("value"))).alias("least_text"), F.max(F.when(F.col("number").isNull(), F.col("value"))).alias("most_text"),
-    )
-    return scanned.join(settled, "column").select(
-        "column", "rows", F.coalesce("footer_nulls", "scan_nulls").alias("nulls"), "nans", "distinct", "chunks", "with_extrema",
-        F.coalesce(F.col("least_number").cast("string"), "least_text").alias("least"),
-        F.coalesce(F.col("most_number").cast("string"), "most_text").alias("most"),
-    )
+
+def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Per chunk a row with its source (footer, dictionary or scan) and counts, and rows with its distinct values."""
+    flat = [c for c, t in spark.read.parquet(path).dtypes if not t.startswith(("array", "struct", "map", "binary"))]
+    units = cut_lineage(read_footers(spark, path, None).select("path", "row_group").distinct())
+
+    def facts(batches):
+        for batch in batches:
+            for uri, group in zip(batch["path"].to_pylist(), batch["row_group"].to_pylist()):
+                yield from _group_facts(uri, group, flat)
+
+    return units.repartition(_tasks(units), "path", "row_group").mapInArrow(facts, FACTS)
+
+
+FACTS_SCHEMA = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in FACTS.split(", ")])
+
+
+def _facts(n: int, **columns) -> pa.RecordBatch:
+    """n rows of facts; a single value stands for all of them, what is not given is null."""
+    full = {c: columns.get(c) for c in FACTS_SCHEMA.names}
+    arrays = [v if isinstance(v, pa.Array) else pa.array([v] * n, FACTS_SCHEMA.field(c).type) for c, v in full.items()]
+    return pa.RecordBatch.from_arrays(arrays, schema=FACTS_SCHEMA)
+
+
+def _group_facts(uri: str, group: int, flat: list[str]):
+    file, _ = chunks.opened(uri)
+    meta = file.metadata.row_group(group)
+    here = {meta.column(c).path_in_schema: meta.column(c) for c in range(meta.num_columns)}
+
+    def values(column: str, found: pa.Array) -> pa.RecordBatch:
+        sort, found = chunks.typed(found)
+        if sort == "real":
+            found = found.filter(pc.invert(pc.is_nan(found)))
+        return _facts(len(found), column=column, **{sort: found})
+
+    rest = []
+    for column in flat:
+        if column not in here:
+            yield _facts(1, column=column, source="footer", rows=meta.num_rows, nulls=meta.num_rows, nans=0)
+            continue
+        s, kind = here[column].statistics, file.schema_arrow.field(column).type
+        nulls = s.null_count if s is not None and s.has_null_count else None
+        exact = nulls is not None and s.has_min_max and not pa.types.is_floating(kind) and not pa.types.is_decimal(kind)
+        if nulls == meta.num_rows or (exact and (s.min == s.max or pa.types.is_boolean(kind))):
+            yield _facts(1, column=column, source="footer", rows=meta.num_rows, nulls=nulls, nans=0)
+            if nulls < meta.num_rows:
+                yield values(column, pa.array(list({s.min, s.max}), kind))
+            continue
+        entries = chunks.dictionary_of(uri, group, column) if nulls is not None else None
+        if entries is None or (pa.types.is_floating(kind) and pc.any(pc.is_nan(entries)).as_py()):
+            rest.append(column)
+            continue
+        yield _facts(1, column=column, source="dictionary", rows=meta.num_rows, nulls=nulls, nans=0)
+        yield values(column, entries)
+    for batch in chunks.scanned(uri, group, rest) if rest else ():
+        for column in rest:
+            found = batch[column].combine_chunks()
+            nans = pc.sum(pc.is_nan(found)).as_py() or 0 if pa.types.is_floating(found.type) else 0
+            yield _facts(1, column=column, source="scan", rows=len(found), nulls=found.null_count, nans=nans)
+            yield values(column, pc.unique(found.drop_null()))
+
+
+def column_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Every flat column: rows, nulls, NaN, distinct values (NaN is none), extrema as text and, where they are finite numbers, as numbers."""
+    facts = chunk_facts(spark, path)
+    per_value = facts.groupBy("column", "whole", "real", "text").agg(*[F.sum(c).alias(c) for c in ("rows", "nulls", "nans")])
+    number = F.coalesce(F.col("whole").cast("double"), "real")
+    finite = F.when(F.abs(number) < float("inf"), number)
+    shown = lambda f: F.coalesce(f("whole").cast("string"), f("real").cast("string"), f("text"))
+    return per_value.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.sum("nans").alias("nans"),
+        F.count_if(F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull(), F.lit(False))).alias("distinct"),
+        shown(F.min).alias("least"), shown(F.max).alias("most"), F.min(finite).alias("least_number"), F.max(finite).alias("most_number"),
+        F.min("text").alias("least_text"), F.max("text").alias("most_text"),
+    ).filter("rows is not null")
+
+
+def chunk_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Per column how many rows were settled by the footer, by a dictionary and by a scan of their chunk."""
+    facts = chunk_facts(spark, path).filter("source is not null")
+    return facts.groupBy("column").pivot("source", ["footer", "dictionary", "scan"]).agg(F.sum("rows")).na.fill(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import drift, implausible, profile, regular_grid, rolling, spatial, timestamps
 from tidemark.plans.instants_sql import INSTANTS
+from tidemark.plans.tidy import near, tidy
 from tidemark.session import table
 
 QUARTER_S = 900
@@ -120,8 +121,7 @@ AUDITS = {
 }
 
 
-def p7_loads(spark: SparkSession, d: str) -> DataFrame:
-    """The audited columns of both tables, load by load."""
+def _loads(spark: SparkSession, d: str) -> DataFrame:
     counts = [
         profile.value_counts(spark, f"{d}/{name}.parquet", "load_no", audits).withColumn("column", F.concat(F.lit(f"{name}."), "column"))
         for name, audits in AUDITS.items()
@@ -129,8 +129,13 @@ def p7_loads(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_profile(counts[0].unionByName(counts[1]))
 
 
+def p7_loads(spark: SparkSession, d: str) -> DataFrame:
+    """The audited columns of both tables, load by load."""
+    return tidy(_loads(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return profile.odd_loads(p7_loads(spark, d)).select(
+    return profile.odd_loads(_loads(spark, d)).select(
         F.split_part("column", F.lit("."), F.lit(1)).alias("table_name"), F.split_part("column", F.lit("."), F.lit(2)).alias("column_name"),
         F.col("load").cast("bigint").alias("load_no"), "finding",
     )
@@ -139,10 +144,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every column of both tables."""
     parts = [profile.column_profile(spark, f"{d}/{name}.parquet").withColumn("table_name", F.lit(name)) for name in AUDITS]
+    return parts[0].unionByName(parts[1]).drop("least", "most")
+
+
+def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of every column of both tables their footers, their dictionaries and scans of their chunks settled."""
+    parts = [profile.chunk_sources(spark, f"{d}/{name}.parquet").withColumn("table_name", F.lit(name)) for name in AUDITS]
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p7_found, p7_loads, p7_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p7_found, p7_loads, p7_profile, p7_chunks)}
 
 # SQL for the problems that SQL can state; the others are tested against brute force.
 ORACLE = {
@@ -184,10 +195,40 @@ _LOADS = """SELECT '{t}' AS tn, '{c}' AS cn, load_no AS l, CASE WHEN NOT isnan({
 _ALL = " UNION ALL ".join(
     _LOADS.format(t=t, c=a.column, hi=a.high, dec=a.decimals) for t, audits in AUDITS.items() for a in audits
 )
-ORACLE["p7_found"] = f"""WITH x AS ({_ALL}), s AS (SELECT tn, cn, l, count(*) AS n, count(*) FILTER (WHERE v IS NULL) / count(*) AS sh, count(DISTINCT v) AS dn, count(*) FILTER (WHERE v IS NOT NULL AND NOT ok) AS bad, count_if(ok AND round(v * pow(10, dec)) / pow(10, dec) <> v) AS rough FROM x GROUP BY 1, 2, 3),
+LOADS = f"""x AS ({_ALL}), s AS (SELECT tn, cn, l, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS nn, count(*) FILTER (WHERE v IS NULL) / count(*) AS sh, count(DISTINCT v) AS dn, min(v) FILTER (WHERE isfinite(v)) + 0 AS lo, max(v) FILTER (WHERE isfinite(v)) + 0 AS hi,
+ count(*) FILTER (WHERE v IS NOT NULL AND NOT ok) AS bad, count_if(ok AND round(v * pow(10, dec)) / pow(10, dec) <> v) AS rough FROM x GROUP BY 1, 2, 3),
 m AS (SELECT *, sh - median(sh) OVER w > 0.2 AS nul, dn < 0.5 * median(dn) OVER w AS few FROM s WINDOW w AS (PARTITION BY tn, cn)),
 u AS (SELECT tn, cn, l, v, count(*) AS n FROM x WHERE ok GROUP BY ALL), pts AS (SELECT DISTINCT cn, v FROM u), ld AS (SELECT cn, l, sum(n) AS tot FROM u GROUP BY 1, 2), al AS (SELECT cn, sum(tot) AS al FROM ld GROUP BY 1),
 g AS (SELECT p.cn, ld.l, p.v, ld.tot, al.al, coalesce(u.n, 0) AS n, sum(coalesce(u.n, 0)) OVER (PARTITION BY p.cn, ld.l ORDER BY p.v) AS own FROM pts p JOIN ld USING (cn) JOIN al USING (cn) LEFT JOIN u ON u.cn = p.cn AND u.l = ld.l AND u.v = p.v),
-k AS (SELECT *, sum(own) OVER (PARTITION BY cn, v) AS everyone FROM g), ks AS (SELECT cn, l, max(abs(own / tot - (everyone - own) / (al - tot))) AS d FROM k GROUP BY 1, 2),
+k AS (SELECT *, sum(own) OVER (PARTITION BY cn, v) AS everyone FROM g), ks AS (SELECT cn, l, max(abs(own / tot - (everyone - own) / (al - tot))) AS d FROM k GROUP BY 1, 2)"""
+ORACLE["p7_loads"] = f"""WITH {LOADS} SELECT tn || '.' || cn AS "column", CAST(l AS BIGINT) AS load, n AS rows, nn AS nulls, dn AS "distinct", {near('lo')} AS least, {near('hi')} AS most, bad AS impossible, rough, {near('d')} AS shift FROM m LEFT JOIN ks USING (cn, l)"""
+ORACLE["p7_found"] = f"""WITH {LOADS},
 r AS (SELECT m.*, coalesce(ks.d, 0) > 0.4 AS sft FROM m LEFT JOIN ks USING (cn, l))
 SELECT tn AS table_name, cn AS column_name, CAST(l AS BIGINT) AS load_no, f AS finding FROM r, unnest([CASE WHEN nul THEN 'nulls' END, CASE WHEN bad > 0 THEN 'range' END, CASE WHEN rough > 0 THEN 'pattern' END, CASE WHEN NOT nul AND few THEN 'distinct' END, CASE WHEN NOT nul AND sft THEN 'shift' END]) AS q(f) WHERE f IS NOT NULL"""
+
+_KINDS = {
+    "catchment_level_shortlist": {
+        "text": "station_id station_name water_body rbd catchment_id subcatchment_id opw_catchment_area status quality_code_top5", "whole": "load_no", "boolean": "usable_for_study",
+        "instant": "sentinel_era_start sentinel_era_end", "real": "subcatchment_area_km2 subcatchment_to_true_area_ratio latitude longitude sentinel_era_span_days "
+        "sentinel_era_completeness_pct sentinel_era_max_gap_days sentinel_era_quality_ok_pct sentinel_era_interval_minutes",
+    },
+    "antecedent_labels": {
+        "text": "station_id", "day": "label_date", "whole": "days_since_last_peak quality_code load_no", "real": "mean_level level_percentile standardized_anomaly baseflow_index recession_rate_7d",
+    },
+}
+_SHOWN = {
+    "text": "{f}({c})", "day": "CAST({f}({c}) AS VARCHAR)", "instant": "strftime(make_timestamp(epoch_us({f}({c}))), '%Y-%m-%d %H:%M:%S.%f') || 'Z'",
+    "whole": "CAST({f}({c}) AS DOUBLE)", "boolean": "CAST({f}(CAST({c} AS INT)) AS DOUBLE)", "real": "{f}({c}) FILTER (WHERE isfinite({c})) + 0",
+}
+
+
+def _profile_sql(table_name: str, kind: str, c: str) -> str:
+    number, least, most = kind in ("whole", "boolean", "real"), *(_SHOWN[kind].format(f=f, c=c) for f in ("min", "max"))
+    nan = f"count_if(isnan({c}))" if kind == "real" else "0"
+    seen = f"CASE WHEN NOT isnan({c}) THEN {c} END" if kind == "real" else c
+    shown = [least, most, "NULL", "NULL"] if number else ["NULL", "NULL", least, most]
+    return f"""SELECT '{table_name}' AS table_name, '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, {nan} AS nans, count(DISTINCT {seen}) AS "distinct",
+ {shown[0]} AS least_number, {shown[1]} AS most_number, {shown[2]} AS least_text, {shown[3]} AS most_text FROM {table_name}"""
+
+
+ORACLE["p7_profile"] = " UNION ALL ".join(_profile_sql(t, kind, c) for t, kinds in _KINDS.items() for kind, names in kinds.items() for c in names.split())
