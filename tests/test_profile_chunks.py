@@ -42,7 +42,7 @@ def test_only_chunks_without_sufficient_statistics_are_scanned(spark, folders):
     assert {c for c, n in rich.items() if n[0] == 3 * N} == {"one", "gone", "yes"}
     assert {c for c, n in plain.items() if n[2] == 3 * N} == set(plain) - {"one", "gone", "yes"}
     assert all(n == (0, 0, 3 * N) for n in blind.values())
-    assert small["many"] == (0, 0, 3 * N) and small["few"][2] in (0, 3 * N)  # pages beyond a full dictionary are plain
+    assert small["many"][2] >= 9000 and small["few"][1] == 3 * N  # pages beyond a full dictionary are plain
 
 
 def test_every_way_gives_the_same_profile(spark, folders):

@@ -38,8 +38,8 @@ from tidemark.operators import chunks
 from tidemark.session import cut_lineage, small_side
 
 RANGES = 256
-#: Tasks that read footers, and that read row groups at most.
-FOOTER_TASKS, MOST_TASKS = 64, 10_000
+#: Tasks that read files' footers or row groups at most.
+MOST_TASKS = 10_000
 NULL_EXCESS, DISTINCT_SHARE, SHIFT = 0.2, 0.5, 0.4
 
 
@@ -83,7 +83,8 @@ def read_footers(spark: SparkSession, path: str, load: str | None) -> DataFrame:
                         ))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FOOTER.split(", ")])
 
-    return parquet_files(spark, path).repartition(FOOTER_TASKS, "path").mapInPandas(footers, FOOTER)
+    files = parquet_files(spark, path)
+    return files.repartition(_tasks(files), "path").mapInPandas(footers, FOOTER)
 
 
 def sufficient(column: Column | str = "column") -> Column:
@@ -140,7 +141,7 @@ def _counted(batch, load: str, audit: Audit) -> pd.DataFrame:
 
 
 def _tasks(units: DataFrame) -> int:
-    """Tasks for row groups; their rows are tiny, so that their bytes would gather them in one."""
+    """Tasks for files or row groups; their rows are tiny, so that their bytes would gather them in one."""
     return max(1, min(units.count(), MOST_TASKS))
 
 
