@@ -25,7 +25,7 @@ def table(rng):
 @pytest.fixture(scope="module")
 def folders(tmp_path_factory):
     out = {}
-    for name, options in {"rich": {}, "plain": {"use_dictionary": False}, "blind": {"write_statistics": False}, "small": {"dictionary_pagesize_limit": 64}, "v2": {"data_page_version": "2.0", "compression": "zstd", "data_page_size": 512}}.items():
+    for name, options in {"rich": {}, "plain": {"use_dictionary": False}, "blind": {"write_statistics": False}, "small": {"dictionary_pagesize_limit": 512}, "v2": {"data_page_version": "2.0", "compression": "zstd", "data_page_size": 512}}.items():
         out[name] = tmp_path_factory.mktemp(name)
         for k in range(3):
             pq.write_table(table(np.random.default_rng(k)), out[name] / f"{k}.parquet", row_group_size=1500, **options)
