@@ -68,3 +68,25 @@ def test_found_rows_nulls_and_empty(spark, net):
 def test_long_white_space_and_long_texts(net):
     segs = L.segments_of([" " * 200_000 + "The miller sees the old clock. " * 2000], net)[0]
     assert [s[1] for s in segs] == ["en"]
+
+
+def test_windows_in_any_order_score_alike(net):
+    texts = ["a", "The miller sees the old clock every morning.", "ż" * 300, "Мельник ищет цену дров в первый раз. " * 9, ""]
+    x, _ = L.windows(texts)
+    assert np.allclose(net.log_shares(x), net.forward(x), atol=1e-4)
+    assert np.allclose(net.log_shares(x[::-1]), net.log_shares(x)[::-1], atol=1e-4)
+
+
+def test_a_sample_is_trained_on_once(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = L.train_network(docs, folder=str(tmp_path))
+    monkeypatch.setattr(L, "fit", lambda got: pytest.fail("trained again"))
+    again = L.train_network(docs.repartition(3), folder=str(tmp_path))
+    assert all((first.p[k] == again.p[k]).all() for k in first.p)
+
+
+def test_what_fits_no_language_is_other(spark, net):
+    rows = [(1, "The miller sees the old clock every morning.", "en"), (2, "Qwzx vbnh jklp trwq zxcv mnbv.", None)]
+    got = {r.doc_id: (r.lang, r.outcome, r.confidence) for r in L.language_segments(spark.createDataFrame(rows, "doc_id long, text string, lang string"), net=net).collect()}
+    assert got[1][:2] == ("en", "en")
+    assert all((outcome == "other") == (p < L.SURE) for _, outcome, p in got.values())

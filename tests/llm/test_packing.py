@@ -20,13 +20,33 @@ def test_items_never_overlap_or_overflow(sizes):
         assert (used <= 32).sum() <= 1
 
 
-def test_step_groups_are_alike():
+def test_step_groups_are_alike_over_all_containers(spark):
     rng = np.random.default_rng(0)
-    container = np.repeat(np.arange(640), 3)
-    sizes = rng.integers(1, 600, 1920)
-    group = P.balance_groups(container, sizes)
-    cost = np.bincount(group, weights=np.bincount(container, weights=sizes.astype(float) ** 2))
-    assert len(cost) == 10 and cost.max() / cost.min() < 1.1 and np.bincount(group).tolist() == [64] * 10
+    rows = [(k, int((rng.integers(1, 600, 3) ** 2).sum())) for k in range(640)]
+    got = P.deal_groups(spark.createDataFrame(rows, "container_id long, cost long").repartition(5), 64).collect()
+    cost = np.bincount([r.step_group for r in got], weights=[r.cost for r in got])
+    assert len(cost) == 10 and cost.max() / cost.min() < 1.1 and np.bincount([r.step_group for r in got]).tolist() == [64] * 10
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    want = {r[0]: k % 10 if k // 10 % 2 == 0 else 9 - k % 10 for k, r in enumerate(ranked)}
+    assert {r.container_id: r.step_group for r in got} == want
+
+
+def test_tiers_change_the_packing_and_leave_little():
+    rng = np.random.default_rng(1)
+    for sizes in (rng.integers(1, 2048, 6000), rng.integers(5, 220, 20_000), np.minimum(2048, rng.lognormal(4.5, 1.2, 20_000).astype("int64"))):
+        four, one = P.pack_tiers(sizes, 2048, 4), P.pack_tiers(sizes, 2048, 1)
+        assert (four[0] != one[0]).any() and set(four[2]) > {0, 1} or sizes.max() <= 256
+        assert sizes.sum() / (2048 * (four[0].max() + 1)) > 0.99
+        # a tier's windows stay together: items of the shortest tier lie beside each other within one context size of its own
+        assert four[2].tolist() == [next(k for k in (3, 2, 1, 0) if s <= 2048 >> k) for s in sizes]
+
+
+def test_containers_do_not_depend_on_the_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(30))
+    key = ["container_id", "doc_id", "part_no", "n_tokens", "place", "tier", "step_group"]
+    a, b = (sorted(map(tuple, P.pack_documents(x).select(key).collect())) for x in (docs.coalesce(1), docs.orderBy("text").repartition(7)))
+    assert a == b
 
 
 def test_texts_come_out_whole(spark, monkeypatch):

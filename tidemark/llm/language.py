@@ -3,8 +3,9 @@
 The network (an embedding of bytes, convolutions of several widths, max pooling, softmax) is trained in
 numpy on a bounded sample of labelled texts: at most ``SAMPLE_TEXTS`` texts, chosen by a hash, of which
 ``SAMPLE_CHARS`` characters are read. Labels are noisy, so after a first pass sentences that the network
-contradicts are left out and a second pass is trained. Its few weights go to every task; whole texts are
-then cut into sentences, sentences into fixed-length byte windows, and batches of windows are classified.
+contradicts are left out and a second pass is trained. The weights are written to the shared folder under a
+hash of the sample and the settings, so that a sample is trained on once. They go to every task; whole texts
+are then cut into sentences, sentences into fixed-length byte windows, and batches of windows are classified.
 A change of language from sentence to sentence must outweigh a penalty (Viterbi over the sentences).
 
 Defined results
@@ -13,7 +14,9 @@ Defined results
 * quoted sayings and markup inside a sentence do not vote, unless nothing else is left;
 * a label may be a two- or three-letter code, with region or not, or an English name, in any case;
 * repeated rows are classified each; extra columns are not read; an empty table gives no rows;
-* without a labelled text to train on there is nothing to tell languages apart by: no rows.
+* without a labelled text to train on there is nothing to tell languages apart by: no rows;
+* ``outcome`` is the language, or ``other`` where its confidence is under ``SURE``: a language that no label
+  of the table names can only show as one of low confidence.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ensure_checkpoint_dir
+
 # Codes (ISO 639-1, 639-2 both ways) and English names of the languages.
 NAMES = {
     "en": ["eng", "english"], "de": ["ger", "deu", "german"], "nl": ["dut", "nld", "dutch"], "fr": ["fre", "fra", "french"],
@@ -33,9 +39,12 @@ NAMES = {
 }
 LANGS = list(NAMES)
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_SENTENCES = 8_000, 1_500, 16_000
-WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 48, (3, 4, 5, 6)
+WINDOW, EMBED, FILTERS, WIDTHS = 96, 8, 32, (3, 4, 5, 6)
 DROPOUT = 0.4
 PENALTY = 4.0
+SURE = 0.5
+#: Windows classified at once: their convolutions stay in a core's cache.
+AT_ONCE = 128
 WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s|&nbsp;|<[^<>]{0,200}>)+(?:[|/•*-]\s+)?|\n+|(?<!\s)\s+[|/•]\s+|<(?:br|p|/p)\b[^<>]{0,80}>")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-zA-Z]{2,8};|&#\d+;|https?://\S+|[​-‏﻿­]")
@@ -83,13 +92,13 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte windows of all texts, and which text each is of. The last window of a text ends with it."""
+    """Byte windows of all texts, and which text each is of. A longer text is cut into windows of like length."""
     rows, owner = [], []
     for i, t in enumerate(texts):
         b = (" " + t + " ").encode("utf-8", "ignore")
-        for at in range(0, max(1, len(b)), WINDOW):
-            piece = b[at : at + WINDOW] if at + WINDOW <= len(b) or len(b) < WINDOW else b[-WINDOW:]
-            rows.append(piece.ljust(WINDOW, b"\0"))
+        m = max(1, -(-len(b) // WINDOW))
+        for k in range(m):
+            rows.append(b[k * len(b) // m : (k + 1) * len(b) // m].ljust(WINDOW, b"\0"))
             owner.append(i)
     return np.frombuffer(b"".join(rows), "uint8").reshape(-1, WINDOW), np.array(owner)
 
@@ -164,15 +173,36 @@ class ByteNet:
                     v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
                     self.p[k] -= (rate * 0.65**epoch * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype("float32")
 
+    def log_shares(self, x: np.ndarray) -> np.ndarray:
+        """What ``forward`` gives, without the places of the maxima, for windows in any order.
+
+        Windows of like length go together and are cut behind the longest; a stretch of padding gives 0, so
+        the maximum over a window with padding is at least 0.
+        """
+        pad = self.p["E"].copy()
+        pad[0] = 0
+        length = (x > 0).sum(1)
+        order, h = np.argsort(length, kind="stable"), np.empty((len(x), FILTERS * len(WIDTHS)), "float32")
+        for at in range(0, len(x), AT_ONCE):
+            rows = order[at : at + AT_ONCE]
+            n, wide = length[rows], min(WINDOW, int(length[rows[-1]]) + max(WIDTHS) - 1)
+            flat = pad[x[rows, :wide]].reshape(len(rows), wide * EMBED)
+            for k, w in enumerate(WIDTHS):
+                cols = np.lib.stride_tricks.sliding_window_view(flat, w * EMBED, axis=1)[:, ::EMBED]
+                top = (np.ascontiguousarray(cols).reshape(-1, w * EMBED) @ self.p[f"W{w}"]).reshape(len(rows), -1, FILTERS).max(1)
+                top = np.where((n <= WINDOW - w)[:, None], np.maximum(top, 0), top)
+                h[rows, k * FILTERS : (k + 1) * FILTERS] = np.maximum(top + self.p[f"b{w}"], 0)
+        z = h @ self.p["V"] + self.p["c"]
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
     def sentence_scores(self, texts: list[str]) -> np.ndarray:
         """Log probability of each language for each text, the mean over its windows weighted by their bytes."""
         out, weight = np.zeros((len(texts), len(LANGS))), np.zeros(len(texts))
         x, owner = windows(texts)
-        for at in range(0, len(x), 512):
-            logp, o = self.forward(x[at : at + 512]), owner[at : at + 512]
-            n = (x[at : at + 512] > 0).sum(1)
-            np.add.at(out, o, logp * n[:, None])
-            np.add.at(weight, o, n)
+        n = (x > 0).sum(1)
+        np.add.at(out, owner, self.log_shares(x) * n[:, None])
+        np.add.at(weight, owner, n)
         return out / np.maximum(weight, 1)[:, None]
 
 
@@ -182,15 +212,16 @@ def _stripped(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-def train_network(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet | None:
-    """Fits the network on the driver, on the bounded sample only."""
+def training_sample(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, int]]:
+    """At most SAMPLE_SENTENCES sentences with the language that their text's label names, from SAMPLE_TEXTS texts chosen by a hash."""
     sample = (
         documents.select(F.col(text).substr(1, SAMPLE_CHARS).alias("t"), label_of(F.col(lang)).alias("l"), F.xxhash64(key, text).alias("h"))
-        .filter("t is not null and l is not null").orderBy("h").limit(SAMPLE_TEXTS).toPandas()
+        .filter("t is not null and l is not null").orderBy("h", "l").limit(SAMPLE_TEXTS).toPandas()
     )
-    got = [(s, LANGS.index(l)) for t, l in zip(sample["t"], sample["l"]) for _, _, s in sentences(t) if len(s) > 12][:SAMPLE_SENTENCES]
-    if not got:
-        return None
+    return [(s, LANGS.index(l)) for t, l in zip(sample["t"], sample["l"]) for _, _, s in sentences(t) if len(s) > 12][:SAMPLE_SENTENCES]
+
+
+def fit(got: list[tuple[str, int]]) -> ByteNet:
     texts, y = [s for s, _ in got], np.array([k for _, k in got])
     rng = np.random.default_rng(3)
     # some sentences lose their accents, or are broken off, as some texts do
@@ -204,6 +235,32 @@ def train_network(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return net
 
 
+def train_network(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folder: str | None = None) -> ByteNet | None:
+    """The network of the bounded sample: read from the shared folder if it was trained on before, else trained and written there."""
+    import hashlib
+
+    got = training_sample(documents, key, text, lang)
+    if not got:
+        return None
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    settings = (LANGS, WINDOW, EMBED, FILTERS, WIDTHS, DROPOUT)
+    name = hashlib.sha256(repr((settings, got)).encode("utf-8", "surrogatepass")).hexdigest()[:24]
+    where = f"{folder or spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/byte-network-{name}"
+    try:
+        stored = {r["name"]: np.frombuffer(r["weights"], "float32").reshape(r["shape"]).copy() for r in spark.read.parquet(where).collect()}
+    except AnalysisException:  # not there
+        stored = {}
+    net = ByteNet()
+    if stored.keys() == net.p.keys():
+        net.p = stored
+        return net
+    net = fit(got)
+    rows = [(k, list(v.shape), v.astype("float32").tobytes()) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, weights binary").coalesce(1).write.mode("overwrite").parquet(where)
+    return net
+
+
 def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Language of each sentence in a row, a change costing the penalty."""
     n = len(scores)
@@ -248,10 +305,10 @@ def segments_of(texts: list[str | None], net: ByteNet) -> list[list[tuple[int, s
 
 
 def language_segments(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", net: ByteNet | None = None) -> DataFrame:
-    """key, label (language the given label names), seg_no, seg_count, lang, confidence, start_char and end_char."""
+    """key, label (language the given label names), seg_no, seg_count, lang, confidence, start_char, end_char and outcome."""
     net = net or train_network(documents, key, text, lang)
     key_type = dict(documents.dtypes)[key]
-    schema = f"{key} {key_type}, label string, seg_no long, seg_count long, lang string, confidence double, start_char long, end_char long"
+    schema = f"{key} {key_type}, label string, seg_no long, seg_count long, lang string, confidence double, start_char long, end_char long, outcome string"
     rows = documents.select(F.col(key), F.col(text).alias("t"), label_of(F.col(lang)).alias("label"))
     if net is None:
         return documents.sparkSession.createDataFrame([], schema)
@@ -264,7 +321,7 @@ def language_segments(documents: DataFrame, key: str = "doc_id", text: str = "te
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 out = [
-                    (k, label, no, len(segs), code, p, a, b)
+                    (k, label, no, len(segs), code, p, a, b, code if p >= SURE else "other")
                     for k, label, segs in zip(part[key], part["label"], segments_of(part["t"].tolist(), model)) for no, code, p, a, b in segs
                 ]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
