@@ -51,3 +51,26 @@ def test_empty(spark):
     lines, order = tables(spark, FILES)
     assert drift.layout_changes(lines.limit(0), order).count() == 0
     assert drift.consistent_table(lines.limit(0), order.limit(0)).count() == 0
+
+
+def test_fields_in_any_column_and_behind_any_delimiter(spark):
+    files = {1: ["qual_word|datetime|value", "254|d|1", "31|d|2"], 2: ["check_ok\tvalue\tdatetime", "True\t1\td", "False\t2\td"]}
+    assert {tuple(r) for r in drift.layout_changes(*tables(spark, files)).collect()} == {(2, "quality_code", "removed"), (2, "quality_ok", "added")}
+    rows = {(r.file_id, r.line_no): r for r in drift.consistent_table(*tables(spark, files)).collect()}
+    assert (rows[1, 2].quality_code, rows[1, 2].value, rows[2, 3].quality_ok, rows[2, 3]._rescued) == (254, 1.0, False, None)
+
+
+def test_what_is_rescued_and_what_is_replayed(spark):
+    files = {1: ["datetime;value;qc;a;A;quality_ok", "d;1;good;x;y;maybe", "d;2;??;;z;1"]}
+    heads, data = drift.split_files(tables(spark, files)[0])
+    raw = {r.line_no: r for r in drift.ingest(data).collect()}
+    assert [(c.header, c.cell) for c in raw[2]._rescued] == [("qc", "good"), ("a", "x"), ("A", "y"), ("quality_ok", "maybe")] and raw[2].quality_code is None
+    rows = {r.line_no: r for r in drift.consistent_table(*tables(spark, files)).collect()}
+    assert (rows[2].quality_code, rows[2].quality_ok, rows[2]._rescued) == (254, None, '{"a":"x","quality_ok":"maybe"}')
+    assert (rows[3].quality_code, rows[3].quality_ok, rows[3]._rescued) == (None, True, '{"quality_code":"??","a":"z"}')
+
+
+def test_the_first_of_repeated_lines_and_repeated_rows(spark):
+    lines, order = tables(spark, {1: ["datetime;value", "d;1", "d;2", "d;1"]})
+    got = drift.consistent_table(lines.unionByName(lines).repartition(5), order).orderBy("line_no").collect()
+    assert [(r.line_no, r.value) for r in got] == [(2, 1.0), (3, 2.0)]

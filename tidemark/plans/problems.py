@@ -112,6 +112,12 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "raw_gauge_lines"), table(spark, d, "gauge_files"))
 
 
+def p6_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The table with a header that was approved later, replayed from what was rescued."""
+    rows = p6_table(spark, d)
+    return drift.replay(rows, "battery", "battery_v", "double").select("file_id", "line_no", "battery")
+
+
 AUDITS = {
     "catchment_level_shortlist": [
         profile.Audit("sentinel_era_completeness_pct", 0.0, 100.0, 2),
@@ -153,7 +159,7 @@ def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p7_found, p7_loads, p7_profile, p7_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
 
 # SQL for the problems that SQL can state; the others are tested against brute force.
 ORACLE = {
@@ -232,3 +238,18 @@ def _profile_sql(table_name: str, kind: str, c: str) -> str:
 
 
 ORACLE["p7_profile"] = " UNION ALL ".join(_profile_sql(t, kind, c) for t, kinds in _KINDS.items() for kind, names in kinds.items() for c in names.split())
+
+TABLE = r"""l AS (SELECT file_id, line_no, rtrim(ltrim(line, chr(65279)), chr(13) || chr(10) || ' ') AS t FROM raw_gauge_lines WHERE line IS NOT NULL),
+m AS (SELECT * FROM l WHERE trim(t) <> '' AND t NOT LIKE '#%'), h AS (SELECT file_id, arg_min(t, line_no) AS hd, min(line_no) AS no FROM m GROUP BY 1),
+k AS (SELECT file_id, hd, no, CASE WHEN contains(hd, ';') THEN ';' ELSE ',' END AS dl FROM h),
+d AS (SELECT m.file_id, m.t, any_value(hd) AS hd, any_value(dl) AS dl, min(m.line_no) AS line_no FROM m JOIN k USING (file_id) WHERE m.line_no > no AND m.t <> hd GROUP BY 1, 2),
+c AS (SELECT d.file_id, d.line_no, i AS pos, lower(trim(string_split(hd, dl)[i])) AS nm, nullif(trim(string_split(t, dl)[i]), '') AS x FROM d, unnest(range(1, len(string_split(hd, dl)) + 1)) AS u(i)),
+f AS (SELECT *, CASE WHEN regexp_replace(nm, '[\s_\-]+', '', 'g') IN ('qualitycode', 'qc', 'qcode', 'qflag', 'grade', 'codequal') THEN 'quality_code'
+  WHEN regexp_replace(nm, '[\s_\-]+', '', 'g') IN ('qualityok', 'ok', 'valid', 'usableyn', 'passed', 'isgood') THEN 'quality_ok' ELSE nm END AS fld FROM c),
+g AS (SELECT *, CASE WHEN fld = 'value' THEN try_cast(x AS DOUBLE) END AS v, CASE WHEN fld = 'quality_code' THEN coalesce(try_cast(regexp_extract(x, '(?i)^q?\s*([+-]?\d+)(\.0*)?$', 1) AS INT),
+  CASE lower(x) WHEN 'good' THEN 254 WHEN 'fair' THEN 31 WHEN 'estimated' THEN 32 WHEN 'poor' THEN 42 WHEN 'suspect' THEN 99 WHEN 'unchecked' THEN 101 WHEN 'missing' THEN -1 END) END AS q,
+ CASE WHEN fld = 'quality_ok' THEN CASE WHEN lower(x) IN ('true', '1', '1.0', 'y', 'yes', 'pass', 'ok', 't') THEN true WHEN lower(x) IN ('false', '0', '0.0', 'n', 'no', 'fail', 'bad', 'f') THEN false END END AS o FROM f)"""
+_LOST = "x IS NOT NULL AND fld <> 'datetime' AND v IS NULL AND q IS NULL AND o IS NULL"
+ORACLE["p6_table"] = f"""WITH {TABLE} SELECT file_id, line_no, max(CASE WHEN fld = 'datetime' THEN x END) AS datetime, max(v) AS value, max(q) AS quality_code, bool_or(o) AS quality_ok,
+ '{{' || string_agg(CASE WHEN {_LOST} THEN to_json(fld) || ':' || to_json(x) END, ',' ORDER BY pos) || '}}' AS _rescued FROM g GROUP BY 1, 2"""
+ORACLE["p6_replay"] = f"WITH {TABLE} SELECT file_id, line_no, max(CASE WHEN fld = 'battery_v' THEN try_cast(x AS DOUBLE) END) AS battery FROM g GROUP BY 1, 2"
