@@ -67,3 +67,53 @@ def test_quadtree_leaves_cover_the_globe():
     lon, lat = rng.uniform(-180, 180, 1000), rng.uniform(-90, 90, 1000)
     at = boxes[S._leaf_of(starts, lon, lat)]
     assert ((at[:, 0] <= lon) & (lon <= at[:, 2]) & (at[:, 1] <= lat) & (lat <= at[:, 3])).all()
+
+
+def test_a_polar_point_does_not_widen_the_leaves_of_a_town():
+    rng = np.random.default_rng(3)
+    lat, lon, reach = rng.uniform(53.0, 53.2, 20_000), rng.uniform(-8.2, -8.0, 20_000), (1e-3, 1e-3)
+    largest = []
+    for extra in ((), (89.0,)):
+        starts = S.build_quadtree(np.append(lat, extra), np.append(lon, [1.0] * len(extra)), 128, reach)
+        largest.append(np.bincount(S._leaf_of(starts, lon, lat)).max())
+    assert largest[0] == largest[1] < 500
+    boxes = S.leaf_boxes(starts)
+    far = np.minimum(np.maximum(np.abs(boxes[:, 1]), np.abs(boxes[:, 3])), S.POLAR)
+    assert (boxes[:, 2] - boxes[:, 0] >= 1e-3 / np.cos(np.radians(far)) - 1e-12).all()
+
+
+def test_a_crowded_leaf_is_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS_PER_LEAF", 20)
+    rng = np.random.default_rng(4)
+    rows = [(f"{i:03d}", float(53 + 2e-4 * rng.random()), float(-8 + 2e-4 * rng.random())) for i in range(400)]
+    df = points(spark, rows)
+    classes = S.point_classes(df, "id", "lat", "lon")
+    tree = S.fit_quadtree(classes, 10.0)
+    assert tree.parts.max() > 1
+    assert {tuple(r) for r in S.near_pairs(df, "id", "lat", "lon", 10.0).collect()} == brute(rows, 10.0)
+    links = {r.class_key: (r.n, r.links, r.keys_linked) for r in S.class_links(classes, S.near_classes(classes, tree, 10.0)).collect()}
+    pairs = brute(rows, 10.0)
+    assert links == {k: (1, n := sum(k in p for p in pairs), n) for k, _, _ in rows}
+
+
+def test_clipped_regions_hold_what_whole_ones_hold():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        rings = []
+        for _ in range(rng.integers(1, 4)):
+            n = rng.integers(3, 30)
+            turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+            far = rng.uniform(0.1, 1, n) * rng.uniform(0.2, 3)
+            x, y = rng.normal(0, 0.5) + far * np.cos(turn), rng.normal(0, 0.5) + np.round(far * np.sin(turn), rng.integers(1, 9))
+            rings.append((np.append(x, x[0]), np.append(y, y[0])))
+        xs, ys = (np.concatenate([r[k] for r in rings]) for k in (0, 1))
+        sizes = np.array([len(r[0]) for r in rings])
+        left, foot = rng.uniform(-2, 1, 2)
+        box = np.array([left, foot, left + rng.uniform(0.05, 1.5), foot + rng.uniform(0.05, 1.5)])
+        lon, lat = rng.uniform(box[0], box[2], 200), np.round(rng.uniform(box[1], box[3], 200), rng.integers(1, 9)).clip(box[1], box[3])
+        odd = np.zeros(200, bool)
+        for x, y in rings:
+            for x0, y0, x1, y1 in zip(x[:-1], y[:-1], x[1:], y[1:]):
+                if y0 != y1:
+                    odd ^= ((y0 > lat) != (y1 > lat)) & (lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0)
+        assert (S.inside_clip(lat, lon, *S.clip_region(xs, ys, sizes, box)) == odd).all()

@@ -1,16 +1,19 @@
 """Points near other points, and the regions that hold them.
 
-A bounded sample of the points drives a quadtree whose leaves hold like numbers of points. Every point
-goes to its own leaf and, as a visitor, to each leaf its search box touches; regions go to each leaf
-their bounding box touches. Inside a leaf an R-tree, bulk-loaded by sort-tile-recursive packing, yields
-candidates and exact geometry decides. A pair is reported only in the leaf of its reference point, the
-smaller location, so replication never duplicates it.
+A bounded sample of the points drives a quadtree whose leaves hold like numbers of points; a leaf is never
+narrower than a search box at its own latitude. Every point goes to its own leaf and, as a visitor, to each
+leaf its search box touches; where the sample says that a smallest leaf holds too many, its own points are
+dealt to several parts of it, each with all its visitors. Regions go, clipped, to each leaf they touch: with
+the edges in the leaf and what the edges to the right of it add to a ray's crossings. Inside a leaf an R-tree,
+bulk-loaded by sort-tile-recursive packing, yields candidates and exact geometry decides. A pair is reported
+only in the leaf of its reference point, the smaller location, so replication never duplicates it.
 
 Defined results
 ---------------
 * points with a null, NaN or infinite coordinate, with both coordinates 0, or off the globe take no part;
 * points at equal coordinates form one class, so that a spot with a third of all rows is indexed once;
-  ``near_classes`` links classes, ``near_pairs`` expands them to keys; a key never pairs with itself;
+  ``near_classes`` links classes, ``class_links`` counts them, ``near_pairs`` expands them to keys; a key
+  never pairs with itself;
 * a null key takes no part; repeated rows count once; an empty table gives no rows;
 * a region holds the points inside an odd number of its rings (holes do not count), edges excluded on
   the upper side as by the even-odd rule; regions without a ring of three corners hold nothing.
@@ -19,12 +22,15 @@ Defined results
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 EARTH_M = 6_371_008.8
 #: The quadtree is fitted on about this many points at most; every point is then indexed.
 SAMPLE_POINTS = 20_000
@@ -33,6 +39,9 @@ MAX_DEPTH = 26
 #: Beyond this latitude points visit every leaf of their latitudes.
 POLAR = 89.0
 FANOUT = 16
+#: Degrees by which an edge must clear a leaf to count as beside it, far above any rounding.
+NUDGE = 1e-9
+CLIPPED = "region string, edges array<double>, turns array<double>, base boolean, x_lo double, y_lo double, x_hi double, y_hi double, leaf long"
 
 
 def usable(lat: Column, lon: Column) -> Column:
@@ -53,18 +62,22 @@ def _morton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def build_quadtree(lat: np.ndarray, lon: np.ndarray, leaves: int, least_deg: tuple[float, float]) -> np.ndarray:
-    """First z-order code of each leaf, ascending. Leaves are no smaller than least_deg (lat, lon)."""
+    """First z-order code of each leaf, ascending.
+
+    Leaves are no smaller than least_deg: degrees of latitude, and of longitude at the equator, which widen
+    with a leaf's own latitude.
+    """
     codes = np.sort(_morton(lon, lat))
-    deepest = MAX_DEPTH
-    while deepest > 0 and (360 / 2**deepest < least_deg[1] or 180 / 2**deepest < least_deg[0]):
-        deepest -= 1
-    cap, out, stack = max(1, len(codes) // max(1, leaves)), [], [(0, 0)]
+    cap, out, stack = max(1, len(codes) // max(1, leaves)), [], [(0, 0, -90.0)]
     while stack:
-        start, depth = stack.pop()
+        start, depth, south = stack.pop()
+        height = 180 / 2**depth
         size = 1 << (2 * (MAX_DEPTH - depth))
         a, b = np.searchsorted(codes, np.array([start, start + size - 1], "uint64"), side="left")
-        if depth < deepest and b - a > cap:
-            stack += [(start + k * (size // 4), depth + 1) for k in range(4)]
+        farthest = min(max(abs(south), abs(south + height)), POLAR)
+        fits = height / 2 >= least_deg[0] and height >= least_deg[1] / math.cos(math.radians(farthest))  # its quarters are as wide as it is high
+        if depth < MAX_DEPTH and b - a > cap and fits:
+            stack += [(start + k * (size // 4), depth + 1, south + (k >> 1) * height / 2) for k in range(4)]
         else:
             out.append(start)
     return np.array(sorted(out), "uint64")
@@ -86,18 +99,29 @@ def _leaf_of(starts: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray
     return np.searchsorted(starts, _morton(lon, lat), side="right") - 1
 
 
-def fit_quadtree(points: DataFrame, radius_m: float) -> np.ndarray:
+@dataclass(frozen=True)
+class Quadtree:
+    """Leaves by their first z-order codes, and the number of parts that each leaf's own points are dealt to."""
+
+    starts: np.ndarray
+    parts: np.ndarray
+
+    def leaf_of(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        return _leaf_of(self.starts, lon, lat)
+
+
+def fit_quadtree(points: DataFrame, radius_m: float) -> Quadtree:
     """Quadtree over a sample of points(lat, lon); the driver gets SAMPLE_POINTS rows or so, whatever the input."""
-    facts = points.agg(F.count("*").alias("n"), F.max(F.abs("lat")).alias("north")).first()
-    n, north = facts["n"], min(facts["north"] or 0.0, POLAR)
+    n = points.count()
     share = min(1.0, SAMPLE_POINTS / max(1, n))
     sample = points.select("lat", "lon")
     sample = sample if share == 1.0 else sample.filter(F.pmod(F.xxhash64("lat", "lon"), F.lit(1_000_000)) < int(share * 1_000_000))
     got = sample.toPandas()
     reach = math.degrees(radius_m / EARTH_M) * 1.01
-    return build_quadtree(
-        got["lat"].to_numpy(), got["lon"].to_numpy(), max(16, n // ROWS_PER_LEAF), (4 * reach, 4 * reach / math.cos(math.radians(north)))
-    )
+    lat, lon = got["lat"].to_numpy(), got["lon"].to_numpy()
+    starts = build_quadtree(lat, lon, max(16, n // ROWS_PER_LEAF), (4 * reach, 4 * reach))
+    held = np.bincount(_leaf_of(starts, lon, lat), minlength=len(starts)) / share
+    return Quadtree(starts, np.maximum(1, held // (4 * ROWS_PER_LEAF)).astype("int64"))
 
 
 class RTree:
@@ -139,19 +163,26 @@ def sphere_m(lat1, lon1, lat2, lon2):
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(1, h)))
 
 
+def members_of(rows: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
+    """k, lat and lon of every key at every usable location, each once."""
+    return rows.filter(F.col(key).isNotNull() & usable(F.col(lat), F.col(lon))).select(
+        F.col(key).alias("k"), (F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon")
+    ).distinct()
+
+
 def point_classes(rows: DataFrame, key: str, lat: str, lon: str) -> DataFrame:
-    """class_key (the smallest key there), lat and lon of every distinct usable location."""
-    ok = rows.filter(F.col(key).isNotNull() & usable(F.col(lat), F.col(lon)))
-    return ok.groupBy((F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon")).agg(F.min(key).alias("class_key"))
+    """class_key (the smallest key there), lat, lon and n (the number of keys) of every distinct usable location."""
+    return members_of(rows, key, lat, lon).groupBy("lat", "lon").agg(F.min("k").alias("class_key"), F.count("*").alias("n"))
 
 
-def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> DataFrame:
+def near_classes(classes: DataFrame, tree: Quadtree, radius_m: float) -> DataFrame:
     """class_key, lat and lon of both (_a, _b) and metres of locations less than radius_m apart, each pair once.
 
     A location is its coordinates: its smallest key may occur at other locations too.
     """
     reach = math.degrees(radius_m / EARTH_M) * 1.001
     key_type = dict(classes.dtypes)["class_key"]
+    starts, parts = tree.starts, tree.parts
     boxes = leaf_boxes(starts)
 
     def spread(batches):
@@ -171,7 +202,12 @@ def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> Dat
                 r, k = np.nonzero((boxes[None, :, 1] <= lat[polar, None] + reach) & (boxes[None, :, 3] >= lat[polar, None] - reach))
                 rest = ~np.isin(row, polar)
                 row, leaf = np.concatenate([row[rest], polar[r]]), np.concatenate([leaf[rest], k])
-            yield pdf.iloc[row].assign(leaf=leaf, native=home[row] == leaf)
+            # in a leaf of several parts a point is native to one of them, by its coordinates, and a visitor to the others
+            often = parts[leaf]
+            row, leaf = np.repeat(row, often), np.repeat(leaf, often)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(often) - often, often)
+            mine = np.abs(lat * 1e7 + lon * 1e6).astype("int64")[row] % parts[leaf] == part
+            yield pdf.iloc[row].assign(leaf=leaf, part=part, native=(home[row] == leaf) & mine)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         lat, lon, keys = (pdf[c].to_numpy() for c in ("lat", "lon", "class_key"))
@@ -196,21 +232,32 @@ def near_classes(classes: DataFrame, starts: np.ndarray, radius_m: float) -> Dat
         return pd.concat(out)
 
     spread_out = classes.select("class_key", "lat", "lon").mapInPandas(
-        spread, f"class_key {key_type}, lat double, lon double, leaf long, native boolean"
+        spread, f"class_key {key_type}, lat double, lon double, leaf long, part long, native boolean"
     )
-    return spread_out.groupBy("leaf").applyInPandas(
+    return spread_out.groupBy("leaf", "part").applyInPandas(
         pairs, f"class_a {key_type}, lat_a double, lon_a double, class_b {key_type}, lat_b double, lon_b double, metres double"
     )
 
 
+def class_links(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Every location with its keys, the other locations near it, and the keys there: one row a location, no pairs."""
+    here, there = classes.select("lat", "lon", "class_key", "n"), classes.select(F.col("lat").alias("lat_o"), F.col("lon").alias("lon_o"), F.col("n").alias("n_o"))
+    both = links.select("lat_a", "lon_a", "lat_b", "lon_b").unionByName(links.select(F.col("lat_b").alias("lat_a"), F.col("lon_b").alias("lon_a"), F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b")))
+    counted = both.join(there, (F.col("lat_b") == F.col("lat_o")) & (F.col("lon_b") == F.col("lon_o"))).groupBy("lat_a", "lon_a").agg(F.count("*").alias("links"), F.sum("n_o").alias("keys_linked"))
+    joined = here.join(counted, (F.col("lat") == F.col("lat_a")) & (F.col("lon") == F.col("lon_a")), "left")
+    return joined.select("lat", "lon", "class_key", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("keys_linked", F.lit(0)).alias("keys_linked"))
+
+
 def near_pairs(rows: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
     """key_a < key_b of all different keys less than radius_m apart."""
-    members = rows.filter(F.col(key).isNotNull() & usable(F.col(lat), F.col(lon))).select(
-        F.col(key).alias("k"), (F.col(lat) + 0.0).alias("lat"), (F.col(lon) + 0.0).alias("lon")
-    ).distinct()
-    classes = members.groupBy("lat", "lon").agg(F.min("k").alias("class_key"), F.count("*").alias("n"))
-    links = near_classes(classes, fit_quadtree(classes, radius_m), radius_m)
-    of = members.join(classes.filter("n > 1"), ["lat", "lon"]).select("lat", "lon", "k")  # only shared spots need expansion
+    members = members_of(rows, key, lat, lon)
+    classes = cut_lineage(members.groupBy("lat", "lon").agg(F.min("k").alias("class_key"), F.count("*").alias("n")))
+    return expand_pairs(members, classes, near_classes(classes, fit_quadtree(classes, radius_m), radius_m))
+
+
+def expand_pairs(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """key_a < key_b of linked locations and within locations; only locations of several keys are expanded."""
+    of = members.join(classes.filter("n > 1"), ["lat", "lon"]).select("lat", "lon", "k")
     a, b = (of.withColumnsRenamed({"lat": f"lat_{x}", "lon": f"lon_{x}", "k": f"k{x}"}) for x in "ab")
     end = lambda c, name: F.coalesce(F.col(name), F.col(c))
     across = links.join(a, ["lat_a", "lon_a"], "left").join(b, ["lat_b", "lon_b"], "left").select(end("class_a", "ka").alias("x"), end("class_b", "kb").alias("y"))
@@ -219,43 +266,74 @@ def near_pairs(rows: DataFrame, key: str, lat: str, lon: str, radius_m: float) -
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
-def holding_regions(classes: DataFrame, regions: DataFrame, starts: np.ndarray, region_key: str, rings: str) -> DataFrame:
+def clip_region(xs: np.ndarray, ys: np.ndarray, sizes: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """What a leaf needs of a region to tell its points' crossings of a ray to the right: edges, turns and base.
+
+    edges (x0, y0, x1, y1) touch the leaf. The others to its right are crossed or not by latitude alone: base says
+    whether a ray at the leaf's foot crosses an odd number of them, turns are the latitudes at which that changes.
+    """
+    ends = np.cumsum(sizes)
+    first = np.ones(len(xs), bool)
+    first[ends[ends < len(xs)]] = False  # the step from one ring to the next is no edge
+    keep = np.nonzero(first[1:])[0]
+    e = np.column_stack([xs[keep], ys[keep], xs[keep + 1], ys[keep + 1]])
+    left, foot, right, top = box
+    low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    e = e[(low <= top) & (high >= foot) & (low < high) & (np.maximum(e[:, 0], e[:, 2]) >= left - NUDGE)]
+    beyond = np.minimum(e[:, 0], e[:, 2]) > right + NUDGE
+    turns, often = np.unique(e[beyond][:, [1, 3]], return_counts=True)
+    turns = turns[often % 2 == 1]  # chains cancel but for their ends
+    # an edge is crossed at y if just one of its ends lies above y
+    base = bool((turns > foot).sum() % 2)
+    return e[~beyond], turns[(turns > foot) & (turns <= top)], base
+
+
+def inside_clip(lat: np.ndarray, lon: np.ndarray, edges: np.ndarray, turns: np.ndarray, base: bool) -> np.ndarray:
+    """Which points of a leaf lie inside a region clipped to it."""
+    odd = np.full(len(lat), base) ^ (np.searchsorted(turns, lat, side="right") % 2 == 1)
+    step = max(1, 2_000_000 // max(1, len(lat)))
+    for at in range(0, len(edges), step):
+        x0, y0, x1, y1 = edges[at : at + step].T
+        y = lat[:, None]
+        spans = (y0 > y) != (y1 > y)
+        odd ^= (spans & (lon[:, None] < (x1 - x0) * (y - y0) / (y1 - y0) + x0)).sum(1) % 2 == 1
+    return odd
+
+
+def holding_regions(classes: DataFrame, regions: DataFrame, tree: Quadtree, region_key: str, rings: str) -> DataFrame:
     """lat, lon and region of every location inside a region."""
-    boxes = leaf_boxes(starts)
+    boxes = leaf_boxes(tree.starts)
 
     def home(batches):
         for pdf in batches:
-            yield pdf.assign(leaf=_leaf_of(starts, pdf["lon"].to_numpy(), pdf["lat"].to_numpy()))
+            yield pdf.assign(leaf=tree.leaf_of(pdf["lon"].to_numpy(), pdf["lat"].to_numpy()))
 
     def touch(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if len(row.xs) >= 3:
-                    x, y = np.asarray(row.xs), np.asarray(row.ys)
-                    on = (boxes[:, 0] <= x.max()) & (boxes[:, 2] >= x.min()) & (boxes[:, 1] <= y.max()) & (boxes[:, 3] >= y.min())
-                    out += [(row.region, row.xs, row.ys, row.sizes, int(k)) for k in np.nonzero(on)[0]]
-            yield pd.DataFrame(out, columns=["region", "xs", "ys", "sizes", "leaf"])
+                if len(row.xs) < 3:
+                    continue
+                xs, ys = np.asarray(row.xs, "float64"), np.asarray(row.ys, "float64")
+                frame = (xs.min(), ys.min(), xs.max(), ys.max())
+                for k in np.nonzero((boxes[:, 0] <= frame[2]) & (boxes[:, 2] >= frame[0]) & (boxes[:, 1] <= frame[3]) & (boxes[:, 3] >= frame[1]))[0]:
+                    edges, turns, base = clip_region(xs, ys, np.asarray(row.sizes), boxes[k])
+                    if len(edges) or len(turns) or base:
+                        out.append((row.region, edges.ravel().tolist(), turns.tolist(), base, *frame, int(k)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CLIPPED.split(", ")])
 
     def refine(points: pd.DataFrame, shapes: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"lat": np.zeros(0), "lon": np.zeros(0), "region": np.array([], dtype=object)})
-        if points.empty or shapes.empty:
-            return none
-        lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
-        tree = RTree(np.column_stack([lon, lat, lon, lat]))
-        out = [none]
-        for s in shapes.itertuples(index=False):
-            xs, ys = np.asarray(s.xs, "float64"), np.asarray(s.ys, "float64")
-            _, e = tree.probe(np.array([[xs.min(), ys.min(), xs.max(), ys.max()]]))
-            odd, at = np.zeros(len(e), bool), 0
-            for size in s.sizes:
-                x, y = xs[at : at + size], ys[at : at + size]
-                at += size
-                for x0, y0, x1, y1 in zip(x[:-1], y[:-1], x[1:], y[1:]):
-                    if y0 != y1:
-                        spans = (y0 > lat[e]) != (y1 > lat[e])
-                        odd ^= spans & (lon[e] < (x1 - x0) * (lat[e] - y0) / (y1 - y0) + x0)
-            out.append(pd.DataFrame({"lat": lat[e][odd], "lon": lon[e][odd], "region": s.region}))
+        out = [pd.DataFrame({"lat": np.zeros(0), "lon": np.zeros(0), "region": np.array([], dtype=object)})]
+        if len(points) and len(shapes):
+            lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+            index = RTree(np.column_stack([lon, lat, lon, lat]))
+            q, e = index.probe(shapes[["x_lo", "y_lo", "x_hi", "y_hi"]].to_numpy("float64"))
+            by = np.argsort(q, kind="stable")
+            cuts = np.searchsorted(q[by], np.arange(len(shapes) + 1))
+            for i, s in enumerate(shapes.itertuples(index=False)):
+                at = e[by[cuts[i] : cuts[i + 1]]]
+                at = at[inside_clip(lat[at], lon[at], np.asarray(s.edges, "float64").reshape(-1, 4), np.asarray(s.turns, "float64"), s.base)]
+                out.append(pd.DataFrame({"lat": lat[at], "lon": lon[at], "region": s.region}))
         return pd.concat(out)
 
     flat = F.flatten(rings)
@@ -264,6 +342,6 @@ def holding_regions(classes: DataFrame, regions: DataFrame, starts: np.ndarray,
         F.transform(flat, lambda p: p["x"]).alias("xs"), F.transform(flat, lambda p: p["y"]).alias("ys"),
         F.transform(rings, lambda r: F.size(r)).alias("sizes"),
     )
-    shapes = shapes.mapInPandas(touch, "region string, xs array<double>, ys array<double>, sizes array<int>, leaf long")
+    clipped = shapes.mapInPandas(touch, CLIPPED)
     points = classes.select("lat", "lon").mapInPandas(home, "lat double, lon double, leaf long")
-    return points.groupBy("leaf").cogroup(shapes.groupBy("leaf")).applyInPandas(refine, "lat double, lon double, region string")
+    return points.groupBy("leaf").cogroup(clipped.groupBy("leaf")).applyInPandas(refine, "lat double, lon double, region string")

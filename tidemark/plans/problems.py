@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import drift, implausible, profile, regular_grid, rolling, spatial, timestamps
 from tidemark.plans.instants_sql import INSTANTS
 from tidemark.plans.tidy import near, tidy
-from tidemark.session import table
+from tidemark.session import cut_lineage, table
 
 QUARTER_S = 900
 LEVEL_LOW, LEVEL_HIGH = 0.0, 125.0
@@ -56,28 +56,44 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
 NEAR_M = 25.0
 
 
-def _located_gauges(spark: SparkSession, d: str) -> DataFrame:
-    """Each gauge's location with the polygon that holds it, one row per gauge, location and polygon."""
-    rows = table(spark, d, "catchment_level_shortlist").select("station_id", "latitude", "longitude", "subcatchment_id")
-    classes = spatial.point_classes(rows, "station_id", "latitude", "longitude")
-    tree = spatial.fit_quadtree(classes, NEAR_M)
-    held = spatial.holding_regions(classes, table(spark, d, "subcatchments"), tree, "subcatchment_id", "rings")
-    gauges = rows.filter(F.col("station_id").isNotNull()).distinct()
-    return gauges.join(held, (F.col("latitude") + 0.0 == F.col("lat")) & (F.col("longitude") + 0.0 == F.col("lon")))
+def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, spatial.Quadtree]:
+    """Gauges at usable locations, the locations as classes (written once), and one quadtree for both halves."""
+    rows = table(spark, d, "catchment_level_shortlist").select("station_id", "latitude", "longitude")
+    members = spatial.members_of(rows, "station_id", "latitude", "longitude")
+    classes = cut_lineage(members.groupBy("lat", "lon").agg(F.min("k").alias("class_key"), F.count("*").alias("n")))
+    return members, classes, spatial.fit_quadtree(classes, NEAR_M)
+
+
+def _held(spark: SparkSession, d: str, classes: DataFrame, tree: spatial.Quadtree) -> DataFrame:
+    return spatial.holding_regions(classes, table(spark, d, "subcatchments"), tree, "subcatchment_id", "rings")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "catchment_level_shortlist").select("station_id", "latitude", "longitude")
-    near = spatial.near_pairs(rows, "station_id", "latitude", "longitude", NEAR_M)
-    wrong = _located_gauges(spark, d).filter(~F.col("subcatchment_id").eqNullSafe(F.col("region")))
+    members, classes, tree = _located(spark, d)
+    near = spatial.expand_pairs(members, classes, spatial.near_classes(classes, tree, NEAR_M))
+    recorded = table(spark, d, "catchment_level_shortlist").filter("station_id is not null").select(
+        "station_id", (F.col("latitude") + 0.0).alias("lat"), (F.col("longitude") + 0.0).alias("lon"), "subcatchment_id"
+    )
+    wrong = recorded.distinct().join(_held(spark, d, classes, tree), ["lat", "lon"]).filter(~F.col("subcatchment_id").eqNullSafe(F.col("region")))
     return near.select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(
         wrong.select(F.lit("region").alias("kind"), F.col("station_id").alias("key_a"), F.col("region").alias("key_b")).distinct()
     )
 
 
 def p1_regions(spark: SparkSession, d: str) -> DataFrame:
-    """For each gauge with coordinates the polygon that holds it."""
-    return _located_gauges(spark, d).select("station_id", F.col("region").alias("subcatchment_id")).distinct()
+    """Every gauge with the polygon that holds it, the first by id where several do (ambiguous), null where none does."""
+    members, classes, tree = _located(spark, d)
+    held = _held(spark, d, classes, tree).groupBy("lat", "lon").agg(F.min("region").alias("region"), F.count("*").alias("regions"))
+    placed = members.join(held, ["lat", "lon"], "left").select(F.col("k").alias("station_id"), "region", "regions")
+    gauges = table(spark, d, "catchment_level_shortlist").filter("station_id is not null").select("station_id").distinct()
+    ambiguous = F.coalesce(F.col("regions") > 1, F.lit(False))
+    return gauges.join(placed, "station_id", "left").select("station_id", F.col("region").alias("subcatchment_id"), ambiguous.alias("ambiguous_match")).distinct()
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every location as a class: its smallest key, its keys, and the locations and keys near it; no pair is written out."""
+    _, classes, tree = _located(spark, d)
+    return spatial.class_links(classes, spatial.near_classes(classes, tree, NEAR_M)).select("class_key", F.col("n").alias("n_keys"), "links", "keys_linked")
 
 
 PERIODS = [7, 30]
@@ -159,8 +175,17 @@ def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p1_links, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
 
+NEAR = """g AS (SELECT DISTINCT station_id AS k, latitude + 0 AS y, longitude + 0 AS x, subcatchment_id AS s FROM catchment_level_shortlist
+  WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
+p AS (SELECT DISTINCT k, y, x, CAST(floor(CASE WHEN isnan(y) THEN 0 ELSE y END * 2000) AS BIGINT) AS c FROM g),
+n AS (SELECT a.k AS a, b.k AS b FROM p a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM p) b ON a.c = b.cc AND a.k < b.k AND abs(a.x - b.x) < 0.01
+  WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25)"""
+HELD = """r AS (SELECT subcatchment_id AS id, bbox, unnest(rings) AS ring FROM subcatchments),
+e AS (SELECT id, bbox, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM r, unnest(range(1, len(ring))) AS u(i)),
+h AS (SELECT g.k, g.s, g.x, g.y, e.id FROM g JOIN e ON g.x BETWEEN e.bbox.xmin AND e.bbox.xmax AND g.y BETWEEN e.bbox.ymin AND e.bbox.ymax
+  WHERE (e.y0 > g.y) <> (e.y1 > g.y) AND g.x < (e.x1 - e.x0) * (g.y - e.y0) / (e.y1 - e.y0) + e.x0 GROUP BY ALL HAVING count(*) % 2 = 1)"""
 # SQL for the problems that SQL can state; the others are tested against brute force.
 ORACLE = {
     "p2_found": rf"""WITH {INSTANTS} SELECT reading_id, utc_us // 1000 AS utc_ms FROM placed JOIN gauge_readings USING (reading_id)
@@ -168,16 +193,13 @@ WHERE utc IS NOT NULL AND NOT regexp_full_match(datetime, '\d{{4}}-\d\d-\d\d(T\d
     "p2_instants": f"WITH {INSTANTS} SELECT reading_id, utc_us // 1000 AS utc_ms FROM placed",
     "p4_found": f"""WITH {INSTANTS}, q AS (SELECT DISTINCT station_ref, utc_us // 900000000 AS slot FROM placed JOIN gauge_readings USING (reading_id) WHERE utc IS NOT NULL AND value BETWEEN 0 AND 125 AND station_ref IS NOT NULL),
 h AS (SELECT *, lead(slot) OVER (PARTITION BY station_ref ORDER BY slot) AS nxt FROM q) SELECT station_ref, (slot + 1) * 900000 AS gap_start_ms, nxt - slot - 1 AS n_slots FROM h WHERE nxt > slot + 1""",
-    "p1_found": """WITH g AS (SELECT DISTINCT station_id AS k, latitude AS y, longitude AS x, subcatchment_id AS s FROM catchment_level_shortlist
-  WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
-p AS (SELECT DISTINCT k, y, x, CAST(floor(CASE WHEN isnan(y) THEN 0 ELSE y END * 2000) AS BIGINT) AS c FROM g),
-n AS (SELECT a.k AS a, b.k AS b FROM p a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM p) b ON a.c = b.cc AND a.k < b.k AND abs(a.x - b.x) < 0.01
-  WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25),
-r AS (SELECT subcatchment_id AS id, bbox, unnest(rings) AS ring FROM subcatchments),
-e AS (SELECT id, bbox, ring[i].x AS x0, ring[i].y AS y0, ring[i + 1].x AS x1, ring[i + 1].y AS y1 FROM r, unnest(range(1, len(ring))) AS u(i)),
-h AS (SELECT g.k, g.s, g.x, g.y, e.id FROM g JOIN e ON g.x BETWEEN e.bbox.xmin AND e.bbox.xmax AND g.y BETWEEN e.bbox.ymin AND e.bbox.ymax
-  WHERE (e.y0 > g.y) <> (e.y1 > g.y) AND g.x < (e.x1 - e.x0) * (g.y - e.y0) / (e.y1 - e.y0) + e.x0 GROUP BY ALL HAVING count(*) % 2 = 1)
-SELECT 'near' AS kind, a AS key_a, b AS key_b FROM n UNION SELECT 'region', k, id FROM h WHERE s IS DISTINCT FROM id""",
+    "p1_found": f"""WITH {NEAR}, {HELD} SELECT 'near' AS kind, a AS key_a, b AS key_b FROM n UNION SELECT 'region', k, id FROM h WHERE s IS DISTINCT FROM id""",
+    "p1_regions": f"""WITH {NEAR}, {HELD}, w AS (SELECT k, y, x, min(id) AS id, count(DISTINCT id) AS m FROM h GROUP BY ALL), q AS (SELECT DISTINCT k, y, x FROM g)
+SELECT DISTINCT s.station_id, w.id AS subcatchment_id, coalesce(m > 1, false) AS ambiguous_match FROM (SELECT DISTINCT station_id FROM catchment_level_shortlist WHERE station_id IS NOT NULL) s LEFT JOIN q ON q.k = s.station_id LEFT JOIN w ON w.k = q.k AND w.y = q.y AND w.x = q.x""",
+    "p1_links": f"""WITH {NEAR}, c AS (SELECT y, x, min(k) AS ck, count(*) AS m, min(c) AS c FROM p GROUP BY y, x),
+o AS (SELECT a.y, a.x, count(*) AS links, sum(b.m) AS linked FROM c a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM c) b ON a.c = b.cc AND (a.y <> b.y OR a.x <> b.x) AND abs(a.x - b.x) < 0.01
+  WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25 GROUP BY 1, 2)
+SELECT ck AS class_key, m AS n_keys, coalesce(links, 0) AS links, CAST(coalesce(linked, 0) AS BIGINT) AS keys_linked FROM c LEFT JOIN o ON o.y = c.y AND o.x = c.x""",
     "p5_found": """WITH d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN isfinite(mean_level) THEN mean_level END) AS v, max(CASE WHEN isfinite(recession_rate_7d) THEN recession_rate_7d END) AS r
   FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT s, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY s), x AS (SELECT c.s, c.t, v, r FROM c LEFT JOIN d USING (s, t)),
