@@ -39,6 +39,7 @@ CODES = ["254", "31", "32", "42", "99", "101", "-1"]
 CODE_WORDS = {"good": 254, "fair": 31, "estimated": 32, "poor": 42, "suspect": 99, "unchecked": 101, "missing": -1}
 TRUE_WORDS, FALSE_WORDS = ["true", "1", "1.0", "y", "yes", "pass", "ok", "t"], ["false", "0", "0.0", "n", "no", "fail", "bad", "f"]
 GOOD_CODE = 254
+BOM = "\ufeff"
 WHOLE = r"^[+-]?\d+$"
 #: Share of a column's non-empty cells that must read like a field to be taken for it under an unknown header.
 CONTENT_SHARE = 0.9
@@ -54,7 +55,7 @@ def split_files(lines: DataFrame, distinct: bool = False) -> tuple[DataFrame, Da
 
     distinct: whether repeated lines of a file count once; the first stays, by partial aggregation.
     """
-    clean = F.regexp_replace(F.regexp_replace("line", "^﻿", ""), r"[\r\n ]+$", "")
+    clean = F.rtrim(F.ltrim("line", F.lit(BOM)), F.lit("\r\n "))
     text = lines.filter(F.col("file_id").isNotNull() & F.col("line").isNotNull()).select(
         "file_id", "line_no", clean.alias("text")
     ).filter((F.trim("text") != "") & ~F.col("text").startswith("#"))

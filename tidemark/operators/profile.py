@@ -8,10 +8,10 @@ Decisions fall chunk by chunk (one column of one row group), in tasks that Spark
   with them the extrema of floats; only a float dictionary that holds NaN leaves their number open;
 * the other chunks are scanned, and no other. ``chunk_sources`` counts which way each chunk went.
 
-The loads' tests need the number of rows a value, which no footer holds: there a chunk is settled only if it
-is all null and of one load, and the others are scanned for the audited columns alone. Values are counted by
-load in the task that reads them, and merged by partial aggregation; the tests work on these counts. The
-largest difference of two distribution functions is found by ranges of values: running totals of at most
+The loads' tests need the number of rows a value, which no footer holds. There footers give the rows of each
+load, if every row group holds but one, and let Spark's reader pass over row groups that hold no value of an
+audited column; the values of the others are scanned, one audited column at a time, and counted by load at
+once, by partial aggregation. The largest difference of two distribution functions is found by ranges of values: running totals of at most
 ``RANGES`` ranges, then windows inside a range.
 
 Defined results
@@ -26,6 +26,7 @@ Defined results
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -94,52 +95,42 @@ def sufficient(column: Column | str = "column") -> Column:
     return one_load & exact
 
 
+def load_rows(table: DataFrame, load: str, foot: DataFrame) -> DataFrame:
+    """load and n, its rows: from the footers if every row group holds one load, else from a scan of that column alone."""
+    own = foot.filter(F.col("column") == load)
+    one = F.coalesce(F.col("load_lo") == F.col("load_hi"), F.lit(False))
+    if own.filter(~one).isEmpty() and not own.isEmpty():
+        return own.groupBy(F.col("load_lo").cast(dict(table.dtypes)[load]).alias("load")).agg(F.sum("rows").alias("n"))
+    return table.groupBy(F.col(load).alias("load")).agg(F.count("*").alias("n"))
+
+
 def value_counts(spark: SparkSession, path: str, load: str, audits: list[Audit]) -> DataFrame:
     """column, load, value (null for nulls and NaN), n, possible_n, rough (more decimals than allowed).
 
-    Chunks whose footer settles them (all null, of one load) enter as a count; the others are scanned in their
-    row group's task, the audited columns with the load beside them, and counted there first.
+    Each audited column is scanned for its values alone, a filter that the reader holds against the footers, so
+    that row groups which are all null there are not read. Nulls and NaN are what a load's rows leave over.
     """
-    load_type = dict(spark.read.parquet(path).dtypes)[load]
-    foot = cut_lineage(read_footers(spark, path, load))
-    mine = F.col("column").isin([a.column for a in audits])
-    settled = sufficient() & (F.col("nulls") == F.col("rows"))
-    done = foot.filter(mine & settled).groupBy("column", F.col("load_lo").cast(load_type).alias("load")).agg(
-        F.lit(None).cast("double").alias("value"), F.sum("rows").alias("n"), F.lit(0).cast("bigint").alias("possible_n")
-    )
-    units = foot.groupBy("path", "row_group").agg(F.collect_set(F.when(mine & settled, F.col("column"))).alias("settled"))
-
-    def count(batches):
-        for pdf in batches:
-            for uri, group, known in zip(pdf["path"], pdf["row_group"], pdf["settled"]):
-                left = [a for a in audits if a.column not in set(known)]
-                wanted = dict.fromkeys([load, *(a.column for a in left), *(a.high for a in left if isinstance(a.high, str))])
-                for batch in chunks.scanned(uri, int(group), list(wanted)) if left else ():
-                    for a in left:
-                        yield _counted(batch, load, a)
-
-    counted = units.repartition(_tasks(units), "path", "row_group").mapInPandas(count, f"column string, load {load_type}, value double, n long, possible_n long")
-    merged = counted.unionByName(done).groupBy("column", "load", "value").agg(F.sum("n").alias("n"), F.sum("possible_n").alias("possible_n"))
+    table = spark.read.parquet(path)
+    rows = load_rows(table, load, cut_lineage(read_footers(spark, path, load)))
+    counted = []
+    for a in audits:
+        v = F.col(a.column).cast("double") + 0.0
+        top = F.col(a.high) if isinstance(a.high, str) else F.lit(a.high)
+        fine = F.coalesce((v >= a.low) & ((v <= top) | top.isNull()) & (F.abs(v) != float("inf")), F.lit(False))
+        held = table.filter(F.col(a.column).isNotNull() & ~F.isnan(a.column)).select(F.col(load).alias("load"), v.alias("value"), fine.alias("fine"))
+        held = held.groupBy("load", "value").agg(F.count("*").alias("n"), F.count_if("fine").alias("possible_n"))
+        counted.append(held.select(F.lit(a.column).alias("column"), "*"))
+    none, zero = F.lit(None).cast("double").alias("value"), F.lit(0).cast("bigint").alias("possible_n")
+    both = F.array(F.struct("value", "n", "possible_n"), F.struct(none, (-F.col("n")).alias("n"), zero))
+    parts = reduce(DataFrame.unionByName, counted).select("column", "load", F.inline(both))
+    whole = rows.select(F.explode(F.array(*[F.lit(a.column) for a in audits])).alias("column"), "load", none, "n", zero)
+    merged = parts.unionByName(whole).groupBy("column", "load", "value").agg(F.sum("n").alias("n"), F.sum("possible_n").alias("possible_n")).filter("n > 0")
     scale = F.try_element_at(F.create_map(*[F.lit(x) for a in audits for x in (a.column, 10.0**a.decimals)]), "column")
     w = F.col("value")
     rough = F.coalesce(F.when(F.abs(w) != float("inf"), F.rint(w * scale) / scale != w), F.lit(False))
     return merged.withColumn("rough", rough)
 
 
-def _counted(batch, load: str, audit: Audit) -> pd.DataFrame:
-    """Rows and possible values of one audited column of a batch, by load and value."""
-    value = batch[audit.column].cast(pa.float64())
-    value = pc.add(pc.if_else(pc.is_nan(value), None, value), 0.0)
-    fine = pc.and_(pc.greater_equal(value, audit.low), pc.is_finite(value))
-    top = batch[audit.high].cast(pa.float64()) if isinstance(audit.high, str) else pa.scalar(float(audit.high))
-    above = pc.and_(pc.greater(value, top), pc.invert(pc.is_nan(top)))
-    fine = pc.and_(pc.fill_null(fine, False), pc.invert(pc.fill_null(above, False)))
-    table = pa.table({"load": batch[load], "value": value, "possible_n": fine.cast(pa.int64()), "n": fine.cast(pa.int64())})
-    got = table.group_by(["load", "value"], use_threads=False).aggregate([("n", "count"), ("possible_n", "sum")])
-    got = pa.table({"column": pa.array([audit.column] * len(got)), "load": got["load"], "value": got["value"], "n": got["n_count"], "possible_n": got["possible_n_sum"]})
-    return got.to_pandas()
-
-
 def _tasks(units: DataFrame) -> int:
     """Tasks for files or row groups; their rows are tiny, so that their bytes would gather them in one."""
     return max(1, min(units.count(), MOST_TASKS))

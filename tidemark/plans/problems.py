@@ -178,7 +178,7 @@ def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p1_links, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
 
 NEAR = """g AS (SELECT DISTINCT station_id AS k, latitude + 0 AS y, longitude + 0 AS x, subcatchment_id AS s FROM catchment_level_shortlist
-  WHERE station_id IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
+  WHERE station_id IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
 p AS (SELECT DISTINCT k, y, x, CAST(floor(CASE WHEN isnan(y) THEN 0 ELSE y END * 2000) AS BIGINT) AS c FROM g),
 n AS (SELECT a.k AS a, b.k AS b FROM p a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM p) b ON a.c = b.cc AND a.k < b.k AND abs(a.x - b.x) < 0.01
   WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25)"""
