@@ -1 +1 @@
-
+"""Functions over columns that Spark lacks."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of sums that a task holds before it passes them on, and partial sums added at once.
+HELD_BYTES, MERGED = 128_000_000, 64
+
 
 def usable_vector(v: str) -> Column:
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -96,36 +101,110 @@ def run_agreement(a: DataFrame, b: DataFrame, keys: list[str], v: str) -> DataFr
     return both.select(*keys, worst.alias("max_abs_diff"), F.try_divide(dot("va", "vb"), norm("va") * norm("vb")).alias("cosine"))
 
 
+def moments(vectors: DataFrame, group: list[str], v: str) -> DataFrame:
+    """group, d and sums (packed: n, x, xx') of the usable vectors of each group.
+
+    Tasks multiply whole batches and hand on one sum a group; sums are added in two steps, so that no group of
+    rows grows with the number of vectors.
+    """
+    types = dict(vectors.dtypes)
+    keys = "".join(f"{g} {types[g]}, " for g in group)
+    schema = f"{keys}__part int, d int, sums binary"
+    rows = vectors.filter(usable_vector(v)).select(*group, F.col(v).alias("__v"), F.spark_partition_id().alias("__part"))
+
+    def packed(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+    def partial(batches):
+        held: dict[tuple, np.ndarray] = {}
+        part = 0
+
+        def flushed() -> pd.DataFrame:
+            out = pd.DataFrame([(*k[:-1], part, k[-1], s.tobytes()) for k, s in held.items()], columns=[*group, "__part", "d", "sums"])
+            held.clear()
+            return out
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            part = int(pdf["__part"].iloc[0])
+            pdf = pdf.assign(d=pdf["__v"].map(len))
+            for key, mine in pdf.groupby([*group, "d"], dropna=False, sort=False):
+                sums = packed(np.stack(mine["__v"].to_numpy()).astype("float64"))
+                held[key] = held[key] + sums if key in held else sums
+            if sum(s.nbytes for s in held.values()) > HELD_BYTES:
+                yield flushed()
+        yield flushed()
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum((np.frombuffer(s, "float64") for s in pdf["sums"]), 0.0)
+        return pdf.iloc[:1].assign(sums=[total.tobytes()])
+
+    got = rows.mapInPandas(partial, schema)
+    for _ in range(2):
+        got = got.withColumn("__part", F.floor(F.col("__part") / MERGED).cast("int")).groupBy(*group, "d", "__part").applyInPandas(added, schema)
+    return got.withColumn("__part", F.lit(0)).groupBy(*group, "d", "__part").applyInPandas(added, schema).drop("__part")
+
+
+def _unpacked(raw: bytes, d: int) -> tuple[float, np.ndarray, np.ndarray]:
+    s = np.frombuffer(raw, "float64")
+    return s[0], s[1 : 1 + d], s[1 + d :].reshape(d, d)
+
+
 def gram(vectors: DataFrame, group: list[str], v: str) -> DataFrame:
-    """Mean products of vector elements i <= j per group, by partial sums; n times d squared additions, no row leaves its task."""
-    pairs = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(F.col(v), i + 1, F.size(v)), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x.cast("double") * y.cast("double")).alias("p")))))
-    return vectors.filter(usable_vector(v)).select(*group, F.inline(pairs)).groupBy(*group, "i", "j").agg(F.avg("p").alias("mean_product"), F.count("*").alias("n"))
+    """Mean products of vector elements i <= j per group, and the number of vectors."""
+    types = dict(vectors.dtypes)
 
+    def cells(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                n, _, xx = _unpacked(row["sums"], row["d"])
+                i, j = np.triu_indices(row["d"])
+                yield pd.DataFrame({**{g: [row[g]] * len(i) for g in group}, "i": i, "j": j, "mean_product": xx[i, j] / n, "n": int(n)})
 
-def principal_components(vectors: DataFrame, v: str, k: int) -> tuple[DataFrame, list[float]]:
-    """Scores of the first k components and the variances of all; the driver sees one d x d matrix, whatever the rows.
+    schema = "".join(f"{g} {types[g]}, " for g in group) + "i int, j int, mean_product double, n long"
+    return moments(vectors, group, v).mapInPandas(cells, schema)
+
+
+def _covariance(vectors: DataFrame, v: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number, means and covariance of the vectors of the commonest length; the driver sees one d x d matrix, whatever the rows."""
+    best = max(moments(vectors, [], v).collect(), key=lambda r: np.frombuffer(r["sums"], "float64", 1)[0], default=None)
+    if best is None:
+        return 0.0, np.zeros(0), np.zeros((0, 0))
+    n, x, xx = _unpacked(best["sums"], best["d"])
+    return n, x / n, xx / n - np.outer(x / n, x / n)
 
-    Moments are summed by Spark over element pairs; the components come back as literals of a projection.
-    """
-    import numpy as np
 
-    rows = vectors.filter(usable_vector(v))
-    means = {r["pos"]: r["m"] for r in rows.select(F.posexplode(v).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m")).collect()}
-    d = len(means)
+def principal_components(vectors: DataFrame, v: str, k: int) -> tuple[DataFrame, list[float]]:
+    """Scores of the first k components and the variances of all; the components come back as literals of a projection."""
+    _, m, cov = _covariance(vectors, v)
+    d = len(m)
+    rows = vectors.filter(usable_vector(v) & (F.size(v) == d))
     if not d:
         return rows.limit(0).withColumn("scores", F.array().cast("array<double>")), []
-    m = np.array([means[i] for i in range(d)])
-    cov = np.zeros((d, d))
-    for r in gram(rows, [], v).collect():
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["mean_product"] - m[r["i"]] * m[r["j"]]
     lam, u = np.linalg.eigh(cov)
     centre = F.array(*[F.lit(float(x)) for x in m])
     centred = F.zip_with(v, centre, lambda x, c: x.cast("double") - c)
-    axes = [F.array(*[F.lit(float(x)) for x in u[:, d - 1 - i]]) for i in range(k)]
+    axes = [F.array(*[F.lit(float(x)) for x in u[:, d - 1 - i]]) for i in range(min(k, d))]
     scores = [F.aggregate(F.zip_with("__c", a, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for a in axes]
     return rows.withColumn("__c", centred).withColumn("scores", F.array(*scores)).drop("__c"), lam[::-1].tolist()
 
 
+def vector_health(vectors: DataFrame, v: str, share: float = 0.9) -> DataFrame:
+    """One row: vectors, share of dimensions that do not vary, spread over mean length, variance shares of three components, components for ``share``."""
+    n, _, cov = _covariance(vectors, v)
+    schema = "n long, dead_share double, relative_spread double, pc1 double, pc2 double, pc3 double, components long"
+    if not n:
+        return vectors.sparkSession.createDataFrame([], schema)
+    length = vectors.filter(usable_vector(v) & (F.size(v) == len(cov))).agg(F.avg(norm(v)).alias("m")).first()["m"]
+    lam = np.maximum(np.linalg.eigvalsh(cov)[::-1], 0)
+    part = lam / lam.sum() if lam.sum() > 0 else np.zeros(len(lam))
+    first = [float(x) for x in np.pad(part, (0, 3))[:3]]
+    dead = float((np.sqrt(np.maximum(np.diag(cov), 0)) < 1e-6).mean())
+    spread = float(np.sqrt(max(np.trace(cov), 0.0)) / length) if length else None
+    return vectors.sparkSession.createDataFrame([(int(n), dead, spread, *first, int(np.searchsorted(np.cumsum(part), share - 1e-12) + 1))], schema)
+
+
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that only one side has, or that a side has more than once."""
     a = left.groupBy(*keys).agg(F.count("*").alias("n_left"))

@@ -61,3 +61,28 @@ def safe_to_delete(units: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def raw_ready(manifest: DataFrame, key: list[str]) -> DataFrame:
     """Whether every job of a unit was downloaded."""
     return manifest.groupBy(*key).agg(F.bool_and(F.coalesce(F.col("status") == "DOWNLOADED", F.lit(False))).alias("ready"), F.count("*").alias("jobs"))
+
+
+def ready_units(units: DataFrame, manifest: DataFrame, images: DataFrame, key: list[str], least: int = 5) -> DataFrame:
+    """Whether a unit's raw data are there: by its manifest if it has one, else if any sensor brought enough images.
+
+    images: key and sensor, a row an image.
+    """
+    listed = raw_ready(manifest, key).select(*key, F.col("ready").alias("__listed"))
+    found = images.groupBy(*key, "sensor").agg(F.count("*").alias("__n")).groupBy(*key).agg(F.max("__n").alias("__most"))
+    rows = units.join(listed, key, "left").join(found, key, "left")
+    return rows.withColumn("ready", F.coalesce("__listed", F.col("__most") >= least, F.lit(False))).drop("__listed", "__most")
+
+
+def submissions(units: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """The first units of a run, cap at most; the rest waits for the next run."""
+    return units.orderBy(*order).limit(cap)
+
+
+def breaker_stops(log: DataFrame, group: str, order: list[str], failed: Column, most: int) -> DataFrame:
+    """The row of each group at which a breaker stops: the first that ends ``most`` failures in a row."""
+    w = Window.partitionBy(group).orderBy(*order)
+    rows = log.withColumn("__bad", F.coalesce(failed, F.lit(False)).cast("int")).withColumn("__run", F.sum("__bad").over(w.rowsBetween(1 - most, 0)))
+    stops = rows.filter(F.col("__run") == most).drop("__bad", "__run")
+    first = F.min_by(F.struct(*stops.columns), F.struct(*order)).alias("row")
+    return stops.groupBy(F.col(group).alias("__g")).agg(first).select("row.*")

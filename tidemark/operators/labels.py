@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ALPHA = 0.925
+#: Days of equal levels in a row from which a station is to be looked at.
+STUCK_DAYS = 14
 
 
 def every_day(days: DataFrame) -> DataFrame:
@@ -77,18 +79,18 @@ def baseflow_index(days: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("day")
-        x = x[x["filled"].notna()]
-        v = x["filled"].to_numpy("float64")
-        out = np.full(len(v), np.nan)
+        has = x["filled"].notna().to_numpy()
+        v = x["filled"].to_numpy("float64")[has]
+        out = np.full(len(pdf), np.nan)
+        at = np.nonzero(has)[0]
         if len(v) > 10:
             base = (_base(v, alpha) + _base(v[::-1], alpha)[::-1]) / 2
             ok = v > 0
-            out[ok] = np.clip(base[ok] / v[ok], 0, 1)
+            out[at[ok]] = np.clip(base[ok] / v[ok], 0, 1)
         return pd.DataFrame({"station_id": x["station_id"], "day": x["day"], "baseflow_index": out})
 
     got = filled.groupBy("station_id").applyInPandas(kernel, schema)
-    got = got.withColumn("baseflow_index", F.when(~F.isnan("baseflow_index"), F.col("baseflow_index")))
-    return filled.select("station_id", "day").join(got, ["station_id", "day"], "left")
+    return got.withColumn("baseflow_index", F.when(~F.isnan("baseflow_index"), F.col("baseflow_index")))
 
 
 def _base(v: np.ndarray, alpha: float) -> np.ndarray:
@@ -165,14 +167,14 @@ def stuck_run(days: DataFrame) -> DataFrame:
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
-    """Counts, ranges, out-of-range values and extremes of a label table per station."""
+    """Counts, ranges, out-of-range values, missing shares and the extreme of a label table per station, null days per peak without one."""
     def clean(c: str) -> Column:
         return F.when(~F.isnan(c), F.col(c))
 
     z, b = clean("standardized_anomaly"), clean("baseflow_index")
     p = clean("level_percentile")
     n = F.count("*")
-    rows = labels.filter("station_id is not null").withColumns({"z": z, "b": b, "p": p, "level": clean("mean_level")})
+    rows = labels.filter("station_id is not null").withColumns({"z": z, "b": b, "p": p, "r": clean("recession_rate_7d"), "level": clean("mean_level")})
     return rows.groupBy("station_id").agg(
         n.alias("n_rows"), F.count_distinct("label_date").alias("n_days"), F.min("label_date").alias("date_min"), F.max("label_date").alias("date_max"),
         (F.datediff(F.max("label_date"), F.min("label_date")) + 1 - F.count_distinct("label_date")).cast("bigint").alias("n_missing_days"),
@@ -180,6 +182,9 @@ def label_quality(labels: DataFrame) -> DataFrame:
         F.count_if((F.col("p") < 0) | (F.col("p") > 100)).alias("percentile_out"), F.count_if((F.col("b") < -1e-6) | (F.col("b") > 1 + 1e-6)).alias("baseflow_out"),
         F.bround(100 * F.count_if(F.col("b").isNull()) / n, 2).alias("baseflow_nan_pct"), F.count_if(F.abs("z") > 8).alias("anomaly_extremes"),
         F.count_if(F.col("days_since_last_peak") == 0).alias("n_peaks"),
+        (100 * F.count_if(F.col("z").isNull()) / n).alias("anomaly_nan_pct"), (100 * F.count_if(F.col("r").isNull()) / n).alias("recession_nan_pct"),
+        F.try_divide(n, F.count_if(F.col("days_since_last_peak") == 0)).alias("days_per_peak"),
+        F.max_by("z", F.when(F.col("z").isNotNull(), F.struct(F.abs("z"), -F.unix_date("label_date")))).alias("extreme_signed"),
         F.max_by("label_date", F.when(F.col("z").isNotNull(), F.struct(F.abs("z"), -F.unix_date("label_date")))).alias("extreme_date"),
         F.max(F.abs("z")).alias("anomaly_max_abs"),
     )
@@ -194,3 +199,10 @@ def label_range(days: DataFrame) -> DataFrame:
     )
     worst = F.when(F.col("seen") < F.col("b") - F.col("a") + 1, 0).otherwise(F.col("least"))
     return years.select("station_id", worst.alias("label_days_min_year")).join(spread, "station_id")
+
+
+def needs_review(quality: DataFrame, stuck: DataFrame, least_stuck: int = STUCK_DAYS) -> DataFrame:
+    """Stations with percentiles or base-flow indices out of range, a long run of equal levels, or an extreme anomaly."""
+    rows = quality.join(stuck, "station_id", "left").withColumn("longest_stuck_run_days", F.coalesce("longest_stuck_run_days", F.lit(0)))
+    bad = (F.col("percentile_out") > 0) | (F.col("baseflow_out") > 0) | (F.col("longest_stuck_run_days") >= least_stuck) | (F.col("anomaly_extremes") > 0)
+    return rows.filter(bad).select("station_id", "percentile_out", "baseflow_out", "longest_stuck_run_days", "anomaly_extremes")

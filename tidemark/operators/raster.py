@@ -72,10 +72,14 @@ def sample_pixels(pixels: DataFrame, k: int) -> DataFrame:
 def temporal_bins(targets: DataFrame, observed: DataFrame, steps: int = 12, step_days: int = 30) -> DataFrame:
     """Mean of each series' observations in causal bins before each target day; the newest bin is the last step.
 
-    Each observation goes to the targets of its site only; sites are the equi-key of the range join.
+    A target is written once for each stretch of step_days that its bins reach into, so that site and stretch
+    are an equi-key and observations meet only targets within reach.
     """
     age = F.datediff("target_day", "day")
-    pairs = targets.join(observed, "site").filter((age >= 0) & (age < steps * step_days))
+    stretch = lambda day: F.floor(F.unix_date(day) / step_days)
+    reached = F.sequence(stretch(F.date_sub("target_day", steps * step_days - 1)), stretch("target_day"))
+    wide = targets.select("site", "target_day", F.explode(reached).alias("__stretch"))
+    pairs = wide.join(observed.withColumn("__stretch", stretch("day")), ["site", "__stretch"]).filter((age >= 0) & (age < steps * step_days))
     step = F.lit(steps - 1) - F.floor(age / step_days)
     return pairs.groupBy("site", "target_day", "series", step.cast("int").alias("step")).agg(F.avg("v").alias("value"), F.count("v").alias("n"))
 
@@ -134,8 +138,8 @@ def gated_pool(bins: DataFrame, observed: DataFrame, min_series: int = 20, min_s
 
 
 def coordinate_groups(cube: DataFrame, digits: int = 6) -> DataFrame:
-    """Years of a site whose pixels lie at equal (rounded) coordinates share a group; only those may be joined into one series."""
+    """Years of a site whose pixels lie at equal (rounded) coordinates share a group, named by its first year; only those may be joined into one series."""
     spot = F.struct("series", F.round("x", digits), F.round("y", digits))
     print_ = F.xxhash64(F.sort_array(F.collect_set(spot)))
     per = cube.groupBy("site", "year").agg(print_.alias("print"), F.count_distinct("series").alias("pixels"))
-    return per.withColumn("group", F.dense_rank().over(Window.partitionBy("site").orderBy("print")))
+    return per.withColumn("group", F.min("year").over(Window.partitionBy("site", "print")))

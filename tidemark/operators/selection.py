@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def match_flags(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left rows with whether the right side has their key; the right side is reduced to its keys first."""
@@ -24,10 +26,11 @@ def meets_thresholds(rows: DataFrame, days: float = 5 * 365, pct: float = 70, ga
     return rows.withColumn("meets", F.coalesce(ok, F.lit(False)))
 
 
-def eligibility(rows: DataFrame, rules: dict[str, object]) -> DataFrame:
-    """Reasons (array) for which a row fails; a rule that is null fails, an empty array is eligible."""
+def eligibility(rows: DataFrame, rules: dict[str, object], forced: Column | None = None) -> DataFrame:
+    """Reasons (array) for which a row fails; a rule that is null fails, an empty array is eligible, and so is a forced row."""
     failed = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]
-    return rows.withColumn("reasons", F.array_compact(F.array(*failed))).withColumn("eligible", F.size("reasons") == 0)
+    ok = F.size("reasons") == 0
+    return rows.withColumn("reasons", F.array_compact(F.array(*failed))).withColumn("eligible", ok if forced is None else ok | F.coalesce(forced, F.lit(False)))
 
 
 def best_per_group(rows: DataFrame, group: str, order: list) -> DataFrame:
@@ -36,30 +39,45 @@ def best_per_group(rows: DataFrame, group: str, order: list) -> DataFrame:
     return rows.groupBy(F.col(group).alias("__g")).agg(first, F.count("*").alias("candidates")).select("row.*", "candidates")
 
 
-def standard_scores(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """z scores with population deviation; deviation 0 counts as 1, nulls score 0. Two numbers a column come to the driver."""
-    finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in columns}
+def standard_scores(rows: DataFrame, columns: list[str], filled: tuple[str, ...] = ()) -> DataFrame:
+    """z scores with population deviation; deviation 0 counts as 1, nulls score 0, or the median's score where ``filled``.
+
+    A few numbers a column come to the driver.
+    """
+    finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double")) for c in columns}
+    if filled:
+        medians = rows.agg(*[F.median(finite[c]).alias(c) for c in filled]).first()
+        finite |= {c: F.coalesce(finite[c], F.lit(medians[c]).cast("double")) for c in filled}
     facts = rows.agg(*[f(finite[c]).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return rows.withColumns({
         f"z_{c}": F.coalesce((finite[c] - F.lit(facts[f"m_{c}"])) / F.lit(facts[f"s_{c}"] or 1.0), F.lit(0.0)) for c in columns
     })
 
 
-def farthest_points(rows: DataFrame, key: str, coords: list[str], region: str, quality: str, n: int) -> DataFrame:
-    """key and rank of n rows chosen greedily, each the furthest from those chosen; another region adds 1 to a distance.
+def farthest_points(
+    rows: DataFrame, key: str, coords: list[str], region: str, quality: str, n: int, reserve: int = 0, include: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, rank and role (selected, or reserve after the first n) of rows chosen greedily, each the furthest from those chosen.
 
-    Every round is one pass that folds the newest choice into each row's distance and takes the maximum, so
-    only the chosen row reaches the driver. Starts with the best quality; ties go to quality, then key.
+    Another region adds 1 to a distance. Starts with the included keys that there are, in their order, else with
+    the best quality; ties go to quality, then key. Every round is one pass over the narrow rows, written once,
+    that measures each row against all chosen so far; only the chosen row reaches the driver.
     """
-    rows = rows.select(key, region, quality, *coords).withColumn("d", F.lit(float("inf"))).cache()
-    chosen: list = []
-    for rank in range(1, n + 1):
-        best = F.struct(F.round("d", 6).alias("d"), F.col(quality).alias("q"), F.struct(key, region, *coords).alias("row"))
-        top = rows.filter(~F.col(key).isin([c[key] for c in chosen]) if chosen else F.lit(True)).agg(F.max(best).alias("b")).first()["b"]
+    held = cut_lineage(rows.select(key, region, quality, *coords))
+    wanted = {r[key]: r for r in held.filter(F.col(key).isin(list(include))).orderBy(key).collect()} if include else {}
+    chosen = [wanted[k] for k in dict.fromkeys(include) if k in wanted]
+
+    def far(c) -> Column:
+        apart = F.sqrt(sum(((F.col(x) - F.lit(float(c[x]))) ** 2 for x in coords), F.lit(0.0)))
+        return apart + F.when(F.col(region).eqNullSafe(F.lit(c[region])), 0.0).otherwise(1.0)
+
+    while len(chosen) < n + reserve:
+        d = F.least(*[far(c) for c in chosen], F.lit(float("inf"))) if chosen else F.lit(float("inf"))
+        best = F.struct(F.round(d, 6).alias("d"), F.col(quality).alias("q"), F.struct(key, region, *coords).alias("row"))
+        left = held.filter(~F.col(key).isin([c[key] for c in chosen])) if chosen else held
+        top = left.agg(F.max(best).alias("b")).first()["b"]
         if top is None:
             break
-        pick = top["row"]
-        chosen.append(pick)
-        far = F.sqrt(sum(((F.col(c) - float(pick[c])) ** 2 for c in coords), F.lit(0.0))) + F.when(F.col(region).eqNullSafe(F.lit(pick[region])), 0.0).otherwise(1.0)
-        rows = rows.withColumn("d", F.least("d", far))
-    return rows.sparkSession.createDataFrame([(c[key], i) for i, c in enumerate(chosen, 1)], f"{key} string, rank int")
+        chosen.append(top["row"])
+    ranked = [(c[key], i, "selected" if i <= n else "reserve") for i, c in enumerate(chosen, 1)]
+    return rows.sparkSession.createDataFrame(ranked, f"{key} string, rank int, role string")

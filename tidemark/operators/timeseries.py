@@ -124,18 +124,11 @@ def availability(readings: DataFrame, era_s: int, digits: int | None = 2) -> Dat
     return out.withColumn("usable", F.coalesce(usable, F.lit(False))).drop("cadence_s", "longest_s", "ok_share")
 
 
-def download_summary(readings: DataFrame) -> DataFrame:
-    s = epoch_s("ts")
-    return readings.filter("ts is not null").groupBy("station_id").agg(
-        F.count("*").alias("n_rows"), F.min(s).alias("first_s"), F.max(s).alias("last_s"),
-        F.bround(100 * F.count_if(F.col("value").isNull()) / F.count("*"), 2).alias("missing_pct"), F.bround(F.avg("value"), 3).alias("mean_value"),
-    )
-
-
 def modal_gap(days: DataFrame) -> DataFrame:
     """Most frequent, median and largest distance of successive days, and the share of the most frequent."""
     step = F.datediff("day", F.lag("day").over(Window.partitionBy("station_id").orderBy("day")))
     n = days.withColumn("step", step).filter("step is not null").groupBy("station_id", "step").agg(F.count("*").alias("n"))
     return n.groupBy("station_id").agg(
         F.max_by("step", F.struct("n", -F.col("step"))).alias("mode_days"), (F.max("n") / F.sum("n")).alias("mode_share"), F.max("step").alias("max_days"),
+        F.percentile("step", 0.5, F.col("n")).alias("median_days"),
     )

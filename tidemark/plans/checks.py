@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import encoders
 from tidemark.operators import features as X
+from tidemark.operators import jobs as J
 from tidemark.operators import labels as L
 from tidemark.operators import raster as P
+from tidemark.operators import selection as C
 from tidemark.operators import timeseries as S
 from tidemark.operators.places import numbered, running_total
-from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, SIMPLE, _pixels, _predictions, _scenes, _series, _short
+from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, SIMPLE, _jobs, _pixels, _predictions, _scenes, _series, _short
 from tidemark.plans.series import DAYS, READ, _days, _readings, also_named_all
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
@@ -115,14 +118,14 @@ def gated_pooling(spark, d):
 
 
 @add("""WITH y AS (SELECT station_ref AS site, year(downloaded_at) AS year, seq_no AS series, longitude AS x, latitude AS y FROM gauge_files JOIN (SELECT station_id, max(longitude) AS longitude, max(latitude) AS latitude FROM catchment_level_shortlist GROUP BY 1) ON station_id = station_ref)
-SELECT site, year, count(DISTINCT series) AS pixels FROM y GROUP BY 1, 2""")
+SELECT site, year, pixels, min(year) OVER (PARTITION BY site, p) AS "group" FROM (SELECT site, year, count(DISTINCT series) AS pixels, list_sort(list(DISTINCT concat_ws('|', series, round(x, 6) + 0.0, round(y, 6) + 0.0)))::VARCHAR AS p FROM y GROUP BY 1, 2)""")
 def cube_groups(spark, d):
-    """Series of each unit; which units may be joined is a hash of their coordinates and left out of the comparison."""
+    """Series of each unit, and the first year of the site whose series lie at the same coordinates."""
     at = table(spark, d, "catchment_level_shortlist").groupBy("station_id").agg(F.max("longitude").alias("x"), F.max("latitude").alias("y"))
     cube = table(spark, d, "gauge_files").join(at, F.col("station_id") == F.col("station_ref")).select(
         F.col("station_ref").alias("site"), F.year("downloaded_at").alias("year"), F.col("seq_no").alias("series"), "x", "y"
     )
-    return P.coordinate_groups(cube).select("site", "year", "pixels")
+    return P.coordinate_groups(cube).select("site", "year", "pixels", "group")
 
 
 @add(f"""WITH {SHORT}, b AS (SELECT station_id, load_no, pct, gap FROM s WHERE pct IS NOT NULL AND gap IS NOT NULL)
@@ -164,6 +167,75 @@ def principal_scores(spark, d):
     return X.principal_components(_scenes(spark, d), "embedding", 3)[0].select("vec_id", F.col("scores")[0].alias("s0"), F.col("scores")[1].alias("s1"), F.col("scores")[2].alias("s2"))
 
 
+@add()
+def vector_health(spark, d):
+    """Dead dimensions, spread and explained variance of all vectors."""
+    return X.vector_health(_scenes(spark, d), "embedding")
+
+
+@add(f"""WITH {CELLS}, s AS (SELECT pos, stddev_pop(x) AS sd, var_pop(x) AS v FROM k GROUP BY 1), l AS (SELECT avg(l) AS l, count(*) AS n FROM (SELECT vec_id, sqrt(sum(x * x)) AS l FROM k GROUP BY 1))
+SELECT n, {near('(SELECT avg(CASE WHEN sd < 1e-6 THEN 1.0 ELSE 0.0 END) FROM s)')} AS dead_share, {near('(SELECT sqrt(sum(v)) FROM s) / l')} AS relative_spread FROM l""")
+def vector_spread(spark, d):
+    return X.vector_health(_scenes(spark, d), "embedding").select("n", "dead_share", "relative_spread")
+
+
+@add(f"""WITH {SCENES}, k AS (SELECT vec_id, (i - 1) // 16 AS band, CAST(embedding[i] AS DOUBLE) AS x FROM z, unnest(range(1, len(embedding) + 1)) AS u(i)), m AS (SELECT vec_id, band, avg(x) AS a, stddev_pop(x) AS s FROM k GROUP BY 1, 2)
+SELECT vec_id, band AS pos, {near('a')} AS x FROM m UNION ALL SELECT vec_id, 4 + band, {near('s')} FROM m""")
+def dummy_embedding(spark, d):
+    """Mean and deviation of each of four bands by the encoder that needs no weights."""
+    return _scenes(spark, d).select("vec_id", F.posexplode(encoders.encode("embedding", 4)).alias("pos", "x"))
+
+
+FORCED = "07"
+
+
+@add(f"""WITH {SHORT}, {DAYS}, y AS (SELECT station_id, year(day) AS y, count(*) AS n FROM d WHERE value IS NOT NULL GROUP BY 1, 2),
+lb AS (SELECT station_id, CASE WHEN count(*) < max(y) - min(y) + 1 THEN 0 ELSE min(n) END AS least FROM y GROUP BY 1),
+q AS (SELECT s.station_id, load_no, least, CASE WHEN coalesce(pct >= 70, false) THEN '' ELSE 'incomplete,' END || CASE WHEN coalesce(least >= 100, false) THEN '' ELSE 'labels,' END AS reasons FROM s LEFT JOIN lb USING (station_id))
+SELECT station_id, load_no, least AS label_days_min_year, reasons, coalesce(reasons = '' OR right(station_id, 2) = '{FORCED}', false) AS eligible FROM q""")
+def eligible_with_labels(spark, d):
+    """Eligibility joined with the labels' yearly counts; forced stations stay in whatever they fail."""
+    stats = L.label_range(_days(spark, d)).select("station_id", "label_days_min_year")
+    rules = {"incomplete": F.col("pct") >= 70, "labels": F.col("label_days_min_year") >= 100}
+    rows = C.eligibility(_short(spark, d).join(stats, "station_id", "left"), rules, F.right("station_id", F.lit(2)) == FORCED)
+    return rows.select("station_id", "load_no", "label_days_min_year", F.concat_ws("", F.transform("reasons", lambda r: F.concat(r, F.lit(",")))).alias("reasons"), "eligible")
+
+
+@add(f"""WITH {SHORT}, {DAYS}, q AS (SELECT station_id, CASE WHEN count(*) > 20 THEN quantile_cont(value, 0.95) - quantile_cont(value, 0.05) END AS r FROM d WHERE value IS NOT NULL GROUP BY 1),
+f AS (SELECT station_id, load_no, log10(subcatchment_area_km2) AS a, CASE WHEN NOT isnan(latitude) THEN latitude END AS y, r FROM s LEFT JOIN q USING (station_id)), g AS (SELECT * REPLACE (coalesce(r, (SELECT median(r) FROM f)) AS r) FROM f),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(y) AS my, stddev_pop(y) AS sy, avg(r) AS mr, CASE WHEN stddev_pop(r) > 0 THEN stddev_pop(r) ELSE 1 END AS sr FROM g)
+SELECT station_id, load_no, {near('coalesce((a - ma) / sa, 0)')} AS z_area, {near('coalesce((y - my) / sy, 0)')} AS z_lat, {near('coalesce((r - mr) / sr, 0)')} AS z_range FROM g, m""")
+def diversity_features(spark, d):
+    """Scores of the features by which catchments are chosen; a missing label range counts as the median."""
+    stats = L.label_range(_days(spark, d)).select("station_id", F.col("label_range").alias("range"))
+    rows = _short(spark, d).join(stats, "station_id", "left").withColumns({"area": F.log10("subcatchment_area_km2"), "lat": F.col("latitude")})
+    return C.standard_scores(rows, ["area", "lat", "range"], ("range",)).select("station_id", "load_no", "z_area", "z_lat", "z_range")
+
+
+@add("""WITH m AS (SELECT o_custkey AS unit, bool_and(o_orderstatus = 'F') AS listed FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), i AS (SELECT unit, max(n) AS most FROM (SELECT user_id AS unit, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1)
+SELECT c_custkey AS unit, coalesce(listed, most >= 5, false) AS ready FROM customer LEFT JOIN m ON m.unit = c_custkey LEFT JOIN i ON i.unit = c_custkey""")
+def ready_units(spark, d):
+    """Units whose raw data are there: by their manifest, or by enough images of one sensor where they have none."""
+    units = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"))
+    manifest = _jobs(spark, d, "o_orderpriority = '1-URGENT'").select("unit", "status")
+    images = table(spark, d, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("sensor"))
+    return J.ready_units(units, manifest, images, ["unit"]).select("unit", "ready")
+
+
+@add("""WITH f AS (SELECT DISTINCT o_custkey AS unit FROM orders WHERE o_orderstatus IN ('F', 'O')) SELECT c_custkey AS unit FROM customer WHERE c_custkey NOT IN (SELECT unit FROM f) ORDER BY 1 LIMIT 50""")
+def submissions(spark, d):
+    """The open units of one run, fifty at most, as a run submits no more."""
+    open_ = J.open_work(table(spark, d, "customer").select(F.col("c_custkey").alias("unit")), _jobs(spark, d).select("unit", "status"), ["unit"])
+    return J.submissions(open_, ["unit"], 50)
+
+
+@add("""WITH e AS (SELECT user_id, event_id, ts, sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING) AS r FROM events)
+SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e WHERE r = 3) WHERE k = 1""")
+def breaker_stops(spark, d):
+    """The event of each log at which three failures in a row stop it."""
+    return J.breaker_stops(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") < 20, 3).select("user_id", "event_id")
+
+
 @add()
 def model_fold_wins(spark, d):
     scores = X.fit_quality(_predictions(spark, d), ["target", "model", "f"], "y", "p")

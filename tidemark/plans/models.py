@@ -117,13 +117,13 @@ def feature_scores(spark, d):
 
 @add()
 def diverse_selection(spark, d):
-    """Ten catchments chosen for diversity; each choice is one pass over the candidates."""
+    """Ten catchments chosen for diversity, and three in reserve; each choice is one pass over the candidates."""
     rows = _short(spark, d).filter("station_id is not null").groupBy("station_id").agg(
         F.max("rbd").alias("rbd"), F.coalesce(F.max("pct"), F.lit(0.0)).alias("pct"), F.coalesce(F.min("gap"), F.lit(1e4)).alias("gap"),
         F.coalesce(F.max(F.ln("subcatchment_area_km2")), F.lit(0.0)).alias("area"),
     )
     scored = C.standard_scores(rows, ["pct", "gap", "area"])
-    return C.farthest_points(scored, "station_id", ["z_pct", "z_gap", "z_area"], "rbd", "pct", 10)
+    return C.farthest_points(scored, "station_id", ["z_pct", "z_gap", "z_area"], "rbd", "pct", 10, reserve=3)
 
 
 @add(f"WITH {SHORT} SELECT rbd, count(*) AS n, {near('min(subcatchment_area_km2)')} AS least, {near('max(subcatchment_area_km2)')} AS most, count(DISTINCT catchment_id) AS catchments FROM s GROUP BY 1")
@@ -432,9 +432,9 @@ def pivot_metrics(spark, d):
 JOBS = "j AS (SELECT o_orderkey AS job, o_custkey AS unit, year(o_orderdate) AS y, epoch(o_orderdate) AS stamp, CASE o_orderstatus WHEN 'F' THEN 'DOWNLOADED' WHEN 'O' THEN 'queued' ELSE 'SUBMIT_ERROR: busy' END AS status FROM orders)"
 
 
-def _jobs(spark: SparkSession, d: str) -> DataFrame:
+def _jobs(spark: SparkSession, d: str, of: str = "true") -> DataFrame:
     s = F.col("o_orderstatus")
-    return table(spark, d, "orders").select(
+    return table(spark, d, "orders").filter(of).select(
         F.col("o_orderkey").alias("job"), F.col("o_custkey").alias("unit"), F.year("o_orderdate").alias("y"), F.col("o_orderdate").alias("at"),
         F.when(s == "F", "DOWNLOADED").when(s == "O", "queued").otherwise("SUBMIT_ERROR: busy").alias("status"),
     )

@@ -224,17 +224,35 @@ def stuck_run(spark, d):
     return L.stuck_run(_days(spark, d))
 
 
+SIGNED = "arg_max(z, CASE WHEN z IS NOT NULL THEN {'a': abs(z), 'b': -epoch(label_date)} END)"
+
+
 @add(f"""WITH x AS (SELECT *, CASE WHEN NOT isnan(standardized_anomaly) THEN standardized_anomaly END AS z, CASE WHEN NOT isnan(baseflow_index) THEN baseflow_index END AS b,
- CASE WHEN NOT isnan(level_percentile) THEN level_percentile END AS p, CASE WHEN NOT isnan(mean_level) THEN mean_level END AS l FROM antecedent_labels)
+ CASE WHEN NOT isnan(level_percentile) THEN level_percentile END AS p, CASE WHEN NOT isnan(recession_rate_7d) THEN recession_rate_7d END AS r, CASE WHEN NOT isnan(mean_level) THEN mean_level END AS l FROM antecedent_labels)
 SELECT station_id, count(*) AS n_rows, count(DISTINCT label_date) AS n_days, CAST(min(label_date) AS VARCHAR) AS date_min, CAST(max(label_date) AS VARCHAR) AS date_max,
  max(label_date) - min(label_date) + 1 - count(DISTINCT label_date) AS n_missing_days, {near('min(l)')} AS level_min, {near('max(l)')} AS level_max,
  count(*) FILTER (WHERE p < 0 OR p > 100) AS percentile_out, count(*) FILTER (WHERE b < -1e-6 OR b > 1 + 1e-6) AS baseflow_out, {near('100.0 * count(*) FILTER (WHERE b IS NULL) / count(*)', 1)} AS baseflow_nan_pct,
  count(*) FILTER (WHERE abs(z) > 8) AS anomaly_extremes, count(*) FILTER (WHERE days_since_last_peak = 0) AS n_peaks,
+ {near('100.0 * count(*) FILTER (WHERE z IS NULL) / count(*)', 1)} AS anomaly_nan_pct, {near('100.0 * count(*) FILTER (WHERE r IS NULL) / count(*)', 1)} AS recession_nan_pct,
+ {near('count(*) / nullif(count(*) FILTER (WHERE days_since_last_peak = 0), 0)', 1)} AS days_per_peak,
+ CASE WHEN isinf(max(abs(z))) THEN NULL ELSE {near(SIGNED)} END AS extreme_signed,
  CAST(arg_max(label_date, CASE WHEN z IS NOT NULL THEN {{'a': abs(z), 'b': -epoch(label_date)}} END) AS VARCHAR) AS extreme_date, CASE WHEN isinf(max(abs(z))) THEN NULL ELSE {near('max(abs(z))')} END AS anomaly_max_abs FROM x WHERE station_id IS NOT NULL GROUP BY 1""")
 def label_qa(spark, d):
     got = L.label_quality(table(spark, d, "antecedent_labels"))
     top = F.col("anomaly_max_abs")
-    return tidy(got.withColumn("anomaly_max_abs", F.when(top < float("inf"), top)), baseflow_nan_pct=1)
+    finite = got.withColumn("extreme_signed", F.when(top < float("inf"), F.col("extreme_signed"))).withColumn("anomaly_max_abs", F.when(top < float("inf"), top))
+    return tidy(finite, baseflow_nan_pct=1, anomaly_nan_pct=1, recession_nan_pct=1, days_per_peak=1)
+
+
+@add(f"""WITH {DAYS}, v AS (SELECT *, lag(value) OVER (PARTITION BY station_id ORDER BY day) AS p FROM d WHERE value IS NOT NULL),
+k AS (SELECT *, sum(CASE WHEN abs(value - p) <= 1e-6 + 1e-5 * abs(p) THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY day) AS run FROM v),
+n AS (SELECT station_id, run, count(*) AS n FROM k GROUP BY 1, 2), s AS (SELECT station_id, CASE WHEN sum(n) < 2 THEN 0 ELSE max(n) END AS stuck FROM n GROUP BY 1),
+q AS (SELECT station_id, count(*) FILTER (WHERE NOT isnan(level_percentile) AND (level_percentile < 0 OR level_percentile > 100)) AS po, count(*) FILTER (WHERE NOT isnan(baseflow_index) AND (baseflow_index < -1e-6 OR baseflow_index > 1 + 1e-6)) AS bo,
+ count(*) FILTER (WHERE NOT isnan(standardized_anomaly) AND abs(standardized_anomaly) > 8) AS ae FROM antecedent_labels WHERE station_id IS NOT NULL GROUP BY 1)
+SELECT station_id, po AS percentile_out, bo AS baseflow_out, coalesce(stuck, 0) AS longest_stuck_run_days, ae AS anomaly_extremes FROM q LEFT JOIN s USING (station_id) WHERE po > 0 OR bo > 0 OR coalesce(stuck, 0) >= 14 OR ae > 0""")
+def label_review(spark, d):
+    """Stations that fail any of the four label checks."""
+    return L.needs_review(L.label_quality(table(spark, d, "antecedent_labels")), L.stuck_run(_days(spark, d)))
 
 
 @add(f"""WITH {DAYS}, y AS (SELECT station_id, year(day) AS y, count(*) AS n FROM d WHERE value IS NOT NULL GROUP BY 1, 2),
@@ -247,7 +265,7 @@ def label_range(spark, d):
 
 @add(f"""WITH {DAYS}, s AS (SELECT station_id, day - lag(day) OVER (PARTITION BY station_id ORDER BY day) AS step FROM d),
 n AS (SELECT station_id, step, count(*) AS n FROM s WHERE step IS NOT NULL GROUP BY 1, 2)
-SELECT station_id, arg_max(step, n * 100000 - step) AS mode_days, {near('max(n) / sum(n)')} AS mode_share, max(step) AS max_days FROM n GROUP BY 1""")
+SELECT station_id, arg_max(step, n * 100000 - step) AS mode_days, {near('max(n) / sum(n)')} AS mode_share, max(step) AS max_days, max(med) AS median_days FROM n JOIN (SELECT station_id, median(step) AS med FROM s WHERE step IS NOT NULL GROUP BY 1) USING (station_id) GROUP BY 1""")
 def gap_mode(spark, d):
     return S.modal_gap(_days(spark, d))
 

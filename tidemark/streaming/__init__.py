@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources.sinks import exists
+
 
 def windowed_means(readings: DataFrame, width: str, late: str) -> DataFrame:
     """Tumbling means per station over a stream with a watermark; a batch gives the same rows."""
@@ -29,10 +31,8 @@ def append_available(stream: DataFrame, folder: str, checkpoint: str, keys: list
     def write(batch: DataFrame, _: int) -> None:
         fresh = batch.dropDuplicates(keys)
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(folder).select(*keys)
-        except Exception:
-            seen = None
-        (fresh if seen is None else fresh.join(seen, keys, "left_anti")).write.mode("append").parquet(folder)
+        if exists(spark, folder):  # any other trouble with reading it ends the batch, rather than appending all again
+            fresh = fresh.join(spark.read.parquet(folder).select(*keys), keys, "left_anti")
+        fresh.write.mode("append").parquet(folder)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
