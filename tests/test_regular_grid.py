@@ -72,3 +72,19 @@ def test_holes_only_and_empty(spark):
     assert [(r.slot, r.n_slots) for r in G.smoothed_runs(slots, 900, holes_only=True).collect()] == [(1, 4)]
     none = G.fill_slots(instants(spark, rows).limit(0), "source", "us", "value", 900, 0.0, 125.0)
     assert G.to_grid(G.smoothed_runs(none, 900), 900).count() == 0
+
+
+def test_rates_are_fitted_to_each_source():
+    rng = np.random.default_rng(2)
+    n, made, levels = 6000, [0.004, 0.05, 0.5], []
+    for q in made:
+        x = s = 0.0
+        out = np.empty(n)
+        noise = rng.normal(0, 1, (n, 2)) @ np.linalg.cholesky(q * np.array([[1 / 3, 1 / 2], [1 / 2, 1]])).T
+        for k in range(n):
+            x, s = x + s + noise[k, 0], s + noise[k, 1]
+            out[k] = x
+        levels.append(out + rng.normal(0, 1, n))
+    got = G.fitted_rates(np.tile(np.arange(n), 3), np.concatenate(levels), np.array([0, n, 2 * n]))
+    assert np.all(np.abs(np.log(got / made)) < np.log([4, 1.8, 1.5]))
+    assert G.fitted_rates(np.arange(10) * 3, np.arange(10.0), np.array([0])).tolist() == [G.RATE]

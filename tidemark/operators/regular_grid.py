@@ -2,12 +2,14 @@
 
 Readings are first averaged inside each grid slot (partial aggregation before the shuffle, so that a
 gauge holding a third of all readings shrinks to at most one row per slot). Sorted by source and slot,
-the slots run through a forward filter and a backward smoother of an integrated Wiener process; holes
-are then evaluated in closed form between the smoothed states at their two ends.
+the slots run through a forward filter and a backward smoother of an integrated Wiener process, whose rate
+against the readings' noise is fitted to each source; holes are then evaluated in closed form between the
+smoothed states at their two ends.
 
 A long series is smoothed in windows of ``WINDOW`` slots with ``MARGIN`` slots of context on both sides;
 the influence of an observation decays geometrically with the observations between, so the seams agree
-with the unbroken smoother to well under a thousandth of the level's noise (tested).
+with the unbroken smoother to well under a thousandth of the level's noise (tested, and counted over whole
+tables by ``seams``). ``window=None`` smooths every series unbroken.
 
 Defined results
 ---------------
@@ -26,7 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MARGIN = 256, 48
+WINDOW, MARGIN = 512, 96
+#: Variance that a source's slope gains per slot, in units of a reading's noise variance: without a fit, and the bounds of one.
+RATE, LEAST_RATE, MOST_RATE = 0.01, 1e-3, 1.0
+#: Slots of the longer of the two steps over which a source's second differences are taken.
+LONG = 8
 #: Rows a task gathers before it smooths them together.
 BATCH_ROWS = 200_000
 
@@ -41,7 +47,34 @@ def fill_slots(instants: DataFrame, source: str, us: str, value: str, slot_s: in
     )
 
 
-def smooth(t: np.ndarray, v: np.ndarray, r: np.ndarray, real: np.ndarray, q: float) -> tuple[np.ndarray, ...]:
+def fitted_rates(slot: np.ndarray, v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rate of each source (its rows begin at first) from the variances of second differences over short and long steps.
+
+    Over steps of L slots, with noise r and rate q, these have variance 6r + 2qL³/3. Sources with under 20
+    long ones over unbroken slots get RATE.
+    """
+    ends = np.append(first[1:], len(v))
+    rates = np.full(len(first), RATE)
+
+    def variance(a: int, b: int, step: int) -> float | None:
+        unbroken = slot[a + 2 * step : b] - slot[a : b - 2 * step] == 2 * step
+        if unbroken.sum() < 20:
+            return None
+        d = (v[a + 2 * step : b] - 2 * v[a + step : b - step] + v[a : b - 2 * step])[unbroken]
+        top = 6 * np.median(np.abs(d)) + 1e-12  # a few leaps must not set the rate
+        return float((np.clip(d, -top, top) ** 2).mean())
+
+    for k, (a, b) in enumerate(zip(first, ends)):
+        far = variance(a, b, LONG) if b - a > 2 * LONG else None
+        near = variance(a, b, 1) if far is not None else None
+        if near is not None:
+            q = max(0.0, 1.5 * (far - near) / (LONG**3 - 1))
+            r = (near - 2 * q / 3) / 6
+            rates[k] = np.clip(q / r, LEAST_RATE, MOST_RATE) if r > 0 else MOST_RATE
+    return rates
+
+
+def smooth(t: np.ndarray, v: np.ndarray, r: np.ndarray, real: np.ndarray, q: float | np.ndarray) -> tuple[np.ndarray, ...]:
     """Level, slope and level variance (in units of the noise) of an integrated Wiener process at the observations.
 
     All arguments are matrices, a row per series, padded on the right where real is False. Time is in slots.
@@ -89,20 +122,24 @@ def smooth(t: np.ndarray, v: np.ndarray, r: np.ndarray, real: np.ndarray, q: flo
     return out_x.T, out_s.T, np.maximum(out_a.T, 0.0)
 
 
-def smooth_sources(pdf: pd.DataFrame, q: float) -> pd.DataFrame:
-    """Adds level, slope (per slot) and sd to sorted slots of whole sources, window by window at once."""
+def smooth_sources(pdf: pd.DataFrame, q: float | None = None, window: int | None = WINDOW) -> pd.DataFrame:
+    """Adds level, slope (per slot), sd and rate to sorted slots of whole sources, window by window at once."""
     n = len(pdf)
+    window = window or n + 1
     codes = pd.factorize(pdf["source"])[0]
     first = np.searchsorted(codes, np.arange(codes[-1] + 1))
     ends = np.append(first[1:], n)
+    slots = pdf["slot"].to_numpy()
+    rates = fitted_rates(slots, pdf["level"].to_numpy("float64"), first) if q is None else np.full(len(first), q)
     starts, lo, hi = [], [], []
     for a, b in zip(first, ends):
-        s = np.arange(a, b, WINDOW)
+        s = np.arange(a, b, window)
         starts.append(s)
         lo.append(np.maximum(s - MARGIN, a))
-        hi.append(np.minimum(s + WINDOW + MARGIN, b))
+        hi.append(np.minimum(s + window + MARGIN, b))
+    rate = np.repeat(rates, list(map(len, starts)))
     starts, lo, hi = map(np.concatenate, (starts, lo, hi))
-    stop = np.minimum(starts + WINDOW, hi)
+    stop = np.minimum(starts + window, hi)
     t = pdf["slot"].to_numpy("float64") + pdf["t"].to_numpy()
     v, r = pdf["level"].to_numpy(), 1.0 / pdf["n"].to_numpy("float64")
     x, s, var, scale = np.empty(n), np.empty(n), np.empty(n), np.empty(n)
@@ -114,19 +151,19 @@ def smooth_sources(pdf: pd.DataFrame, q: float) -> pd.DataFrame:
         at = np.minimum(at, hi[part][:, None] - 1)
         tt = t[at] - t[lo[part]][:, None]
         mid = v[lo[part]][:, None]
-        wx, ws, wa = smooth(tt, v[at] - mid, r[at], real, q)
+        wx, ws, wa = smooth(tt, v[at] - mid, r[at], real, rate[part])
         rest = np.where(real, (v[at] - mid - wx) ** 2 / r[at], 0.0).sum(1) / real.sum(1)
         for i, w in enumerate(part):
             k = slice(starts[w] - lo[w], stop[w] - lo[w])
             o = slice(starts[w], stop[w])
             x[o], s[o], var[o], scale[o] = wx[i, k] + mid[i], ws[i, k], wa[i, k], max(rest[i], 1e-8)
-    return pdf.assign(x=x, s=s, var=var, scale=scale)
+    return pdf.assign(x=x, s=s, var=var, scale=scale, q=np.repeat(rates, ends - first))
 
 
-def _runs(slot_s: int, q: float, holes_only: bool):
+def _runs(slot_s: int, q: float | None, holes_only: bool, window: int | None):
     def to_runs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(t=pdf["offset_s"] / slot_s)
-        z = smooth_sources(pdf, q)
+        z = smooth_sources(pdf, q, window)
         slot = z["slot"].to_numpy()
         src = z["source"].to_numpy()
         follows = np.append(src[1:] == src[:-1], False)
@@ -143,7 +180,7 @@ def _runs(slot_s: int, q: float, holes_only: bool):
             "t0": t[h] - 1.0, "t1": gap[h] - 1 + t[h + 1], "x0": z["x"].to_numpy()[h], "x1": z["x"].to_numpy()[h + 1],
             "s0": z["s"].to_numpy()[h], "s1": z["s"].to_numpy()[h + 1],
             "v0": (z["scale"] * z["var"]).to_numpy()[h], "v1": (z["scale"] * z["var"]).to_numpy()[h + 1],
-            "w": q * z["scale"].to_numpy()[h],
+            "w": (z["q"] * z["scale"]).to_numpy()[h],
         }
         holes = pd.DataFrame(hole | ends)
         return holes if holes_only or filled.empty else pd.concat([filled, holes]) if len(holes) else filled.assign(**dict.fromkeys(ends, np.nan))
@@ -172,14 +209,14 @@ COLUMNS = ["source", "slot", "n_slots", "missing", "value", "sd", *ENDS]
 RUNS = "source string, slot long, n_slots long, missing boolean, value double, sd double, " + ", ".join(f"{c} double" for c in ENDS)
 
 
-def smoothed_runs(slots: DataFrame, slot_s: int, q: float = 0.01, holes_only: bool = False) -> DataFrame:
+def smoothed_runs(slots: DataFrame, slot_s: int, q: float | None = None, holes_only: bool = False, window: int | None = WINDOW) -> DataFrame:
     """Filled slots and holes of every source, each hole one row with the smoothed states at its ends.
 
-    q: variance that the slope gains per slot, in units of a reading's noise variance.
+    q: variance that the slope gains per slot, in units of a reading's noise variance; None fits it to each source.
     After fill_slots a source has one row per slot at most, so its rows are bounded by the calendar.
     """
     ordered = slots.repartition("source").sortWithinPartitions("source", "slot")
-    return ordered.mapInPandas(_runs(slot_s, q, holes_only), RUNS)
+    return ordered.mapInPandas(_runs(slot_s, q, holes_only, window), RUNS)
 
 
 def to_grid(runs: DataFrame, slot_s: int) -> DataFrame:
@@ -202,3 +239,12 @@ def to_grid(runs: DataFrame, slot_s: int) -> DataFrame:
         F.when(F.col("missing"), F.sqrt(var)).otherwise(F.col("sd")).alias("sd"),
         "missing",
     )
+
+
+def seams(slots: DataFrame, slot_s: int, tolerance: float = 1e-3) -> DataFrame:
+    """Per source the filled slots, and how many of them windows and the unbroken smoother level more than tolerance of an sd apart."""
+    keys = ["source", "slot"]
+    broken, whole = (smoothed_runs(slots, slot_s, window=w).filter("not missing").select(*keys, "value", "sd") for w in (WINDOW, None))
+    both = broken.join(whole.withColumnsRenamed({"value": "v", "sd": "s"}), keys)
+    off = F.abs(F.col("value") - F.col("v")) > tolerance * F.greatest(F.col("s"), F.lit(1e-9))
+    return both.groupBy("source").agg(F.count("*").alias("filled"), F.count_if(off).alias("off"))

@@ -53,6 +53,17 @@ def p4_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.withColumnRenamed("source", "station_ref")
 
 
+def p4_seams(spark: SparkSession, d: str) -> DataFrame:
+    """Filled quarters of each gauge, and how many the windows of the smoother level otherwise than the unbroken one."""
+    return regular_grid.seams(cut_lineage(_quarters(spark, d)), QUARTER_S).withColumnRenamed("source", "station_ref")
+
+
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Per gauge the grid's rows, those marked missing, and those without a value or its deviation."""
+    without = F.col("value").isNull() | F.isnan("value") | F.col("sd").isNull() | F.isnan("sd")
+    return p4_grid(spark, d).groupBy("station_ref").agg(F.count("*").alias("n_rows"), F.count_if("missing").alias("n_missing"), F.count_if(without).alias("n_without"))
+
+
 NEAR_M = 25.0
 
 
@@ -175,7 +186,7 @@ def p7_chunks(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p1_links, p2_found, p2_instants, p3_found, p4_found, p4_grid, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_regions, p1_links, p2_found, p2_instants, p3_found, p4_found, p4_grid, p4_seams, p4_flags, p5_found, p5_rolling, p6_found, p6_table, p6_replay, p7_found, p7_loads, p7_profile, p7_chunks)}
 
 NEAR = """g AS (SELECT DISTINCT station_id AS k, latitude + 0 AS y, longitude + 0 AS x, subcatchment_id AS s FROM catchment_level_shortlist
   WHERE station_id IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude) AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0)),
@@ -200,6 +211,9 @@ SELECT DISTINCT s.station_id, w.id AS subcatchment_id, coalesce(m > 1, false) AS
 o AS (SELECT a.y, a.x, count(*) AS links, sum(b.m) AS linked FROM c a JOIN (SELECT *, unnest([c - 1, c, c + 1]) AS cc FROM c) b ON a.c = b.cc AND (a.y <> b.y OR a.x <> b.x) AND abs(a.x - b.x) < 0.01
   WHERE 2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))) < 25 GROUP BY 1, 2)
 SELECT ck AS class_key, m AS n_keys, coalesce(links, 0) AS links, CAST(coalesce(linked, 0) AS BIGINT) AS keys_linked FROM c LEFT JOIN o ON o.y = c.y AND o.x = c.x""",
+    "p4_seams": f"""WITH {INSTANTS} SELECT station_ref, count(DISTINCT utc_us // 900000000) AS filled, 0 AS off FROM placed JOIN gauge_readings USING (reading_id) WHERE utc IS NOT NULL AND value BETWEEN 0 AND 125 AND station_ref IS NOT NULL GROUP BY 1""",
+    "p4_flags": f"""WITH {INSTANTS}, q AS (SELECT station_ref, count(DISTINCT utc_us // 900000000) AS n, max(utc_us // 900000000) - min(utc_us // 900000000) + 1 AS m FROM placed JOIN gauge_readings USING (reading_id) WHERE utc IS NOT NULL AND value BETWEEN 0 AND 125 AND station_ref IS NOT NULL GROUP BY 1)
+SELECT station_ref, m AS n_rows, m - n AS n_missing, 0 AS n_without FROM q""",
     "p5_found": """WITH d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN isfinite(mean_level) THEN mean_level END) AS v, max(CASE WHEN isfinite(recession_rate_7d) THEN recession_rate_7d END) AS r
   FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
 c AS (SELECT s, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY s), x AS (SELECT c.s, c.t, v, r FROM c LEFT JOIN d USING (s, t)),
