@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import encoders
+from tidemark.operators import drift
 from tidemark.operators import features as X
 from tidemark.operators import jobs as J
 from tidemark.operators import raster as P
 from tidemark.operators import selection as C
-from tidemark.sources import sinks
+from tidemark.sources import archives, readings, sinks
 
 
 def test_readiness_by_manifest_or_by_images(spark):
@@ -125,3 +126,35 @@ def test_a_fault_in_the_text_operators_is_no_missing_subpackage(tmp_path):
         assert "nothing_of_this_name" in run().stderr
         shutil.rmtree(tmp_path / "tidemark" / "llm")
     assert run().stdout.strip() == "0"
+
+
+def test_members_of_archives_by_suffix(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/DATA.TSValues.CSV", "\ufeff#k;v\ndatetime;value\n2020;1.5\n")
+        z.writestr("readme.txt", "no")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("readme.txt", "no")
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    (tmp_path / "d.csv").write_text("no archive either")
+    lines = archives.archive_lines(spark, str(tmp_path), ".tsvalues.csv")
+    got = lines.collect()
+    assert sorted((r.line_no, r.line) for r in got if r.error is None) == [(1, "\ufeff#k;v"), (2, "datetime;value"), (3, "2020;1.5")]
+    assert sorted(r.path[-5:] for r in got if r.error) == ["b.zip", "c.zip"]
+    table = drift.consistent_table(archives.with_file_ids(lines), spark.createDataFrame([], "file_id long, station_ref string, seq_no int"))
+    assert [(r.datetime, r.value) for r in table.collect()] == [("2020", 1.5)]
+
+
+def test_preferred_files_and_files_without_data(spark):
+    files = spark.createDataFrame([("a", "wl_a_1.csv"), ("a", "best_a.csv"), ("b", "wl_b_2.csv"), ("b", "wl_b_1.csv"), ("c", "other.csv"), (None, "wl_1.csv")], "st string, f string")
+    got = {r.st: (r.f, r.priority) for r in readings.preferred_file(files, "st", "f", ["^best_{station}", r"^wl_{station}_\d"]).collect()}
+    assert got == {"a": ("best_a.csv", 0), "b": ("wl_b_1.csv", 1)}
+    lines = spark.createDataFrame([(1, 1, "#k;v"), (1, 2, "datetime;value"), (2, 1, "datetime;value"), (2, 2, "d;1"), (3, 1, None)], "file_id int, line_no int, line string")
+    assert {r.file_id: (r.form, r.n_data, r.status) for r in drift.file_status(lines).collect()} == {1: ("headed", 0, "no_data"), 2: ("plain", 1, "ok")}
+
+
+def test_sensors_that_units_lack(spark):
+    units = spark.createDataFrame([(k,) for k in "abc"], "u string")
+    have = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("b", "s2"), ("b", "s9"), ("b", None)], "u string, s string")
+    assert {r.u: (r.missing, r.complete) for r in J.complete_over(units, have, ["u"], "s", ["s1", "s2"]).collect()} == {"a": ("", True), "b": ("s1", False), "c": ("s1,s2", False)}

@@ -232,3 +232,14 @@ def replay(rows: DataFrame, field: str, header: str, cast: str) -> DataFrame:
     """Reads a rescued header into a typed column, newly approved or left null; the rescued JSON stays as evidence."""
     found = F.get_json_object("_rescued", f"$['{header}']").try_cast(cast)
     return rows.withColumn(field, F.coalesce(F.col(field), found) if field in rows.columns else found)
+
+
+def file_status(lines: DataFrame) -> DataFrame:
+    """file_id, form (headed by #key;value lines, or plain), their number, data rows and status: ok or no_data, an error row a file."""
+    _, data = split_files(lines, distinct=True)
+    text = F.ltrim("line", F.lit(BOM))
+    seen = lines.filter("file_id is not null and line is not null").groupBy("file_id").agg(F.count_if(text.startswith("#")).alias("n_meta"))
+    rows = seen.join(data.groupBy("file_id").agg(F.count("*").alias("n_data")), "file_id", "left").withColumn("n_data", F.coalesce("n_data", F.lit(0)))
+    return rows.select(
+        "file_id", F.when(F.col("n_meta") > 0, "headed").otherwise("plain").alias("form"), "n_meta", "n_data", F.when(F.col("n_data") > 0, "ok").otherwise("no_data").alias("status")
+    )

@@ -86,3 +86,10 @@ def breaker_stops(log: DataFrame, group: str, order: list[str], failed: Column,
     stops = rows.filter(F.col("__run") == most).drop("__bad", "__run")
     first = F.min_by(F.struct(*stops.columns), F.struct(*order)).alias("row")
     return stops.groupBy(F.col(group).alias("__g")).agg(first).select("row.*")
+
+
+def complete_over(units: DataFrame, present: DataFrame, key: list[str], sensor: str, wanted: list[str]) -> DataFrame:
+    """Units with the wanted sensors they lack, and whether they lack none."""
+    have = present.filter(F.col(sensor).isin(wanted)).groupBy(*key).agg(F.collect_set(sensor).alias("__have"))
+    missing = F.array_except(F.array(*[F.lit(w) for w in wanted]), F.coalesce("__have", F.array().cast("array<string>")))
+    return units.join(have, key, "left").withColumn("missing", F.array_join(missing, ",")).withColumn("complete", F.col("missing") == "").drop("__have")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,23 @@ def zonal(pixels: DataFrame) -> DataFrame:
     )
 
 
+def zonal_bands(pixels: DataFrame, bands: list[str]) -> DataFrame:
+    """Per site and day the valid share and, of each band, mean, deviation and the mean of the decibels; a pixel is valid if all bands are."""
+    ok = reduce(lambda a, b: a & b, [F.coalesce(F.col(b) > 0, F.lit(False)) for b in bands])
+    stats = [
+        f(F.when(ok, decibel(F.col(b)) if db else F.col(b))).alias(f"{b}_{name}")
+        for b in bands for name, f, db in (("mean", F.avg, False), ("std", F.stddev_pop, False), ("db_mean", F.avg, True))
+    ]
+    return pixels.groupBy("site", "day").agg((F.count_if(ok) / F.count("*")).alias("valid_frac"), *stats)
+
+
+def index_means(pixels: DataFrame, a: str, b: str, scl: str) -> DataFrame:
+    """Per site and day the mean normalised difference of two bands over clear pixels, and their share."""
+    ok = clear_sky(F.col(scl))
+    index = difference_index(F.col(a), F.col(b))
+    return pixels.groupBy("site", "day").agg(F.avg(F.when(ok, index)).alias("index_mean"), (F.count_if(ok) / F.count("*")).alias("valid_frac"))
+
+
 def tiles(pixels: DataFrame, size: int, rows: int, cols: int, least: float = 0.5) -> DataFrame:
     """Full tiles without overlap that are valid for at least a share; partial edge tiles drop out."""
     r, c = F.floor(F.col("row") / size), F.floor(F.col("col") / size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import encoders
+from tidemark.operators import drift
 from tidemark.operators import features as X
 from tidemark.operators import jobs as J
 from tidemark.operators import labels as L
@@ -16,6 +17,7 @@ from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, SIMPLE, _jobs, _
 from tidemark.plans.series import DAYS, READ, _days, _readings, also_named_all
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
+from tidemark.sources import readings as R
 from tidemark.sources import sinks
 
 QUERIES: dict = {}
@@ -186,6 +188,61 @@ def dummy_embedding(spark, d):
     return _scenes(spark, d).select("vec_id", F.posexplode(encoders.encode("embedding", 4)).alias("pos", "x"))
 
 
+BANDS = f"{SCENES}, w AS (SELECT vec_id, site, day, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS vv, CAST(embedding[i + 32] AS DOUBLE) AS vh FROM z, unnest(range(1, 33)) AS u(i))"
+
+
+def _bands(spark, d):
+    """The halves of a vector as two bands of the same pixels."""
+    both = F.arrays_zip(F.slice("embedding", 1, 32).alias("vv"), F.slice("embedding", 33, 32).alias("vh"))
+    cells = _scenes(spark, d).select("vec_id", "site", "day", F.posexplode(both).alias("i", "b"))
+    return cells.select("vec_id", "site", "day", "i", F.col("b.vv").cast("double").alias("vv"), F.col("b.vh").cast("double").alias("vh"))
+
+
+@add(f"""WITH {BANDS}, k AS (SELECT *, coalesce(vv > 0 AND vh > 0, false) AS ok FROM w) SELECT site, CAST(day AS VARCHAR) AS day, {near('count(*) FILTER (WHERE ok) / count(*)')} AS valid_frac,
+ {near('avg(vv) FILTER (WHERE ok)')} AS vv_mean, {near('stddev_pop(vv) FILTER (WHERE ok)')} AS vv_std, {near('avg(10 * log10(greatest(vv, 1e-6))) FILTER (WHERE ok)', 4)} AS vv_db_mean,
+ {near('avg(vh) FILTER (WHERE ok)')} AS vh_mean, {near('stddev_pop(vh) FILTER (WHERE ok)')} AS vh_std, {near('avg(10 * log10(greatest(vh, 1e-6))) FILTER (WHERE ok)', 4)} AS vh_db_mean FROM k GROUP BY site, day""")
+def zonal_bands(spark, d):
+    """Statistics of two bands over the pixels that are valid in both."""
+    from tidemark.plans.tidy import tidy
+
+    return tidy(P.zonal_bands(_bands(spark, d), ["vv", "vh"]), vv_db_mean=4, vh_db_mean=4)
+
+
+@add(f"""WITH {BANDS}, k AS (SELECT *, (i + vec_id) % 12 NOT IN (0, 1, 3, 8, 9, 10) AS ok, CASE WHEN vv + vh <> 0 THEN (vv - vh) / (vv + vh) END AS nd FROM w)
+SELECT site, CAST(day AS VARCHAR) AS day, {near('avg(nd) FILTER (WHERE ok)', 3)} AS index_mean, {near('count(*) FILTER (WHERE ok) / count(*)')} AS valid_frac FROM k GROUP BY site, day""")
+def index_means(spark, d):
+    """Mean index of two bands over clear pixels, with their share."""
+    from tidemark.plans.tidy import tidy
+
+    rows = _bands(spark, d).withColumn("scl", ((F.col("i") + F.col("vec_id")) % 12).cast("int"))
+    return tidy(P.index_means(rows, "vv", "vh", "scl"), index_mean=3)
+
+
+@add(r"""SELECT station_ref, file_name, CASE WHEN regexp_full_match(file_name, 'wl_' || station_ref || '_002\.csv') THEN 0 ELSE 1 END AS priority FROM (SELECT *, row_number() OVER (PARTITION BY station_ref ORDER BY CASE WHEN regexp_full_match(file_name, 'wl_' || station_ref || '_002\.csv') THEN 0 ELSE 1 END, file_name) AS k
+ FROM gauge_files WHERE regexp_full_match(file_name, 'wl_' || station_ref || '_\d+\.csv')) WHERE k = 1""")
+def preferred_file(spark, d):
+    """The file of each gauge by patterns in order of preference."""
+    got = R.preferred_file(table(spark, d, "gauge_files"), "station_ref", "file_name", [r"^wl_{station}_002\.csv$", r"^wl_{station}_\d+\.csv$"])
+    return got.select("station_ref", "file_name", "priority")
+
+
+@add(r"""WITH l AS (SELECT file_id, line_no, rtrim(ltrim(line, chr(65279)), chr(13) || chr(10) || ' ') AS t FROM raw_gauge_lines WHERE line IS NOT NULL AND file_id IS NOT NULL),
+m AS (SELECT * FROM l WHERE trim(t) <> '' AND t NOT LIKE '#%'), h AS (SELECT file_id, arg_min(t, line_no) AS hd, min(line_no) AS no FROM m GROUP BY 1),
+n AS (SELECT file_id, count(DISTINCT t) AS n FROM m JOIN h USING (file_id) WHERE line_no > no AND t <> hd GROUP BY 1), q AS (SELECT file_id, count(*) FILTER (WHERE t LIKE '#%') AS n_meta FROM l GROUP BY 1)
+SELECT file_id, CASE WHEN n_meta > 0 THEN 'headed' ELSE 'plain' END AS form, n_meta, coalesce(n, 0) AS n_data, CASE WHEN n > 0 THEN 'ok' ELSE 'no_data' END AS status FROM q LEFT JOIN n USING (file_id)""")
+def landed_files(spark, d):
+    """The form of each landed file, its rows, and an error status for files without any."""
+    return drift.file_status(table(spark, d, "raw_gauge_lines"))
+
+
+@add("""WITH h AS (SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type = 'click') AS c, count(DISTINCT event_type) FILTER (WHERE event_type = 'view') AS v FROM events GROUP BY 1)
+SELECT c_custkey AS unit, concat_ws(',', CASE WHEN coalesce(c, 0) = 0 THEN 'click' END, CASE WHEN coalesce(v, 0) = 0 THEN 'view' END) AS missing, coalesce(c, 0) > 0 AND coalesce(v, 0) > 0 AS complete FROM customer LEFT JOIN h ON h.user_id = c_custkey""")
+def complete_sensors(spark, d):
+    """Units that have every wanted sensor, and which they lack."""
+    units = table(spark, d, "customer").select(F.col("c_custkey").alias("unit"))
+    return J.complete_over(units, table(spark, d, "events").select(F.col("user_id").alias("unit"), "event_type"), ["unit"], "event_type", ["click", "view"]).select("unit", "missing", "complete")
+
+
 FORCED = "07"
 
 

@@ -71,3 +71,15 @@ def station_of_file(name: str) -> Column:
 def area_number(c: str) -> Column:
     """The number in a text such as '148.00 km²', null where there is none."""
     return F.nullif(F.regexp_replace(F.regexp_replace(c, "km²", ""), r"[^\d.]", ""), F.lit("")).try_cast("double")
+
+
+def preferred_file(files: DataFrame, station: str, name: str, patterns: list[str]) -> DataFrame:
+    """The file of each station whose name matches the first of the patterns that any of its files matches; ties go to the name.
+
+    Patterns may hold ``{station}``; a station without a match has no row.
+    """
+    matches = [F.regexp_like(F.col(name), F.replace(F.lit(p), F.lit("{station}"), F.col(station))) for p in patterns]
+    rank = F.coalesce(*[F.when(m, k) for k, m in enumerate(matches)])
+    ranked = files.withColumn("__rank", rank).filter("__rank is not null")
+    best = F.min_by(F.struct(*files.columns, F.col("__rank").alias("priority")), F.struct("__rank", name)).alias("row")
+    return ranked.groupBy(F.col(station).alias("__st")).agg(best).select("row.*")
