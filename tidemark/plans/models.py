@@ -1,8 +1,8 @@
 """Queries of the selection, raster, feature, model and job operators, with the SQL that checks them.
 
-Where the given tables lack a kind of data, they stand in for it: a vector of ``embeddings`` is a scene
-of a site (its label) on a day (its number), its elements are the pixels of an 8 x 8 grid; ``orders`` are
-jobs of a manifest, ``events`` the log of a batch.
+Where the given tables lack a kind of data, they stand in for it: a vector is a scene of a site (its label)
+on a day (its number), its elements are the pixels of an 8 x 8 grid; ``orders`` are jobs of a manifest,
+``events`` the log of a batch.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ add = query(QUERIES, ORACLE)
 
 ANCHOR = "DATE '2015-01-01'"
 WIDTH = 8
+#: The given table of vectors.
+VECTORS = "embeddings"
 
 
 def _day(c: str = "vec_id"):
@@ -32,17 +34,17 @@ def _day(c: str = "vec_id"):
 
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
+    e = table(spark, d, VECTORS)
     return e.select("vec_id", F.col("label").alias("site"), _day().alias("day"), "embedding")
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of positive power; the negative ones are invalid."""
-    px = P.as_pixels(table(spark, d, "embeddings"), "label", _day(), "embedding", WIDTH)
+    px = P.as_pixels(table(spark, d, VECTORS), "label", _day(), "embedding", WIDTH)
     return px.withColumn("v", F.when(F.col("v") > 0, F.col("v")))
 
 
-SCENES = f"z AS (SELECT vec_id, label AS site, {ANCHOR} + CAST(vec_id AS INT) AS day, embedding FROM embeddings)"
+SCENES = f"z AS (SELECT vec_id, label AS site, {ANCHOR} + CAST(vec_id AS INT) AS day, embedding FROM {VECTORS})"
 PIXELS = f"""{SCENES}, px AS (SELECT vec_id, site, day, (i - 1) // 8 AS row, (i - 1) % 8 AS col, CASE WHEN embedding[i] > 0 THEN CAST(embedding[i] AS DOUBLE) END AS v FROM z, unnest(range(1, len(embedding) + 1)) AS u(i))"""
 CELLS = f"{SCENES}, k AS (SELECT vec_id, site, day, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS x FROM z, unnest(range(1, len(embedding) + 1)) AS u(i))"
 SHORT = """s AS (SELECT *, CASE WHEN NOT isnan(sentinel_era_completeness_pct) AND NOT isinf(sentinel_era_completeness_pct) THEN sentinel_era_completeness_pct END AS pct,
