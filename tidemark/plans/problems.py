@@ -127,7 +127,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_rolling(spark: SparkSession, d: str) -> DataFrame:
     """All days with totals and averages over both periods."""
-    return _trailing(spark, d)
+    return tidy(_trailing(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -233,6 +233,14 @@ z AS (SELECT o.file_id, q.fld, a.pl AS pa, b.pl AS pb, a.kd AS ka, b.kd AS kb FR
 SELECT file_id, fld AS field_name, 'added' AS change FROM z WHERE pa IS NOT NULL AND pb IS NULL UNION ALL SELECT file_id, fld, 'removed' FROM z WHERE pa IS NULL AND pb IS NOT NULL
 UNION ALL SELECT file_id, fld, 'renamed' FROM z WHERE pa <> pb UNION ALL SELECT file_id, fld, 'retyped' FROM z WHERE ka <> kb""",
 }
+_SPANS = [(m, c, u, p) for m, c, u in (("mm", "v", "1000"), ("um", "r", "1e6")) for p in PERIODS]
+_DAYS = """d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN isfinite(mean_level) THEN mean_level END) AS v, max(CASE WHEN isfinite(recession_rate_7d) THEN recession_rate_7d END) AS r
+  FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT s, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY s), x AS (SELECT c.s, c.t, v, r FROM c LEFT JOIN d USING (s, t))"""
+ORACLE["p5_rolling"] = f"""WITH {_DAYS}, w AS (SELECT *, {", ".join(f"count({c}) OVER w{p} AS n_{m}_{p}, CAST(coalesce(sum(round({c} * {u})) OVER w{p}, 0) AS BIGINT) AS total_{m}_{p}" for m, c, u, p in _SPANS)} FROM x
+ WINDOW {", ".join(f"w{p} AS (PARTITION BY s ORDER BY t ROWS {p - 1} PRECEDING)" for p in PERIODS)})
+SELECT s AS station_id, CAST(t AS VARCHAR) AS label_date, v IS NOT NULL AS has_mm, r IS NOT NULL AS has_um,
+ {", ".join(f"n_{m}_{p}, total_{m}_{p}, {near(f'total_{m}_{p} / nullif(n_{m}_{p}, 0)')} AS avg_{m}_{p}" for m, _, _, p in _SPANS)} FROM w"""
 _LOADS = """SELECT '{t}' AS tn, '{c}' AS cn, load_no AS l, CASE WHEN NOT isnan({c}) THEN {c} END AS v, coalesce(NOT isnan({c}) AND {c} >= 0 AND {c} <= {hi}, false) AS ok, {dec} AS dec FROM {t}"""
 _ALL = " UNION ALL ".join(
     _LOADS.format(t=t, c=a.column, hi=a.high, dec=a.decimals) for t, audits in AUDITS.items() for a in audits
