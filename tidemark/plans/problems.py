@@ -94,7 +94,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_regions(spark: SparkSession, d: str) -> DataFrame:
     """Every gauge with the polygon that holds it, the first by id where several do (ambiguous), null where none does."""
     members, classes, tree = _located(spark, d)
-    held = _held(spark, d, classes, tree).groupBy("lat", "lon").agg(F.min("region").alias("region"), F.count("*").alias("regions"))
+    held = _held(spark, d, classes, tree).groupBy("lat", "lon").agg(F.min("region").alias("region"), F.count_distinct("region").alias("regions"))
     placed = members.join(held, ["lat", "lon"], "left").select(F.col("k").alias("station_id"), "region", "regions")
     gauges = table(spark, d, "catchment_level_shortlist").filter("station_id is not null").select("station_id").distinct()
     ambiguous = F.coalesce(F.col("regions") > 1, F.lit(False))
