@@ -14,7 +14,7 @@ from tidemark.operators import selection as C
 from tidemark.operators import timeseries as S
 from tidemark.operators.places import numbered, running_total
 from tidemark.plans.models import CELLS, PIXELS, SCENES, SHORT, SIMPLE, _jobs, _pixels, _predictions, _scenes, _series, _short
-from tidemark.plans.series import DAYS, READ, _days, _readings, also_named_all
+from tidemark.plans.series import DAYS, READ, _days, _grid, _readings, also_named_all
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
 from tidemark.sources import readings as R
@@ -299,7 +299,12 @@ def model_fold_wins(spark, d):
     return X.fold_wins(scores, {m.name: m.matched for m in SIMPLE if m.matched})
 
 
-@add()
+@add(f"""WITH {READ}, {_grid(900)}, i AS (SELECT *, count(value) OVER (PARTITION BY station_id ORDER BY bin_s) AS k, max(bin_s) OVER (PARTITION BY station_id) AS z FROM g),
+h AS (SELECT station_id, min(bin_s) AS start_s, least(max(bin_s) + 900, max(z)) AS end_s FROM i WHERE value IS NULL GROUP BY station_id, k HAVING least(max(bin_s) + 900, max(z)) - min(bin_s) >= 21600),
+l AS (SELECT station_id, count(*) AS n, max(end_s - start_s) / 3600 AS most, list({{'hours': (end_s - start_s) / 3600, 'start_s': start_s, 'end_s': end_s}} ORDER BY end_s - start_s DESC, start_s DESC) AS gaps FROM h GROUP BY 1),
+c AS (SELECT station_id, count(*) AS n, count(value) AS v FROM g GROUP BY 1)
+SELECT CAST(to_json({{'station_id': station_id, 'total': c.n, 'available': v, 'missing': c.n - v, 'completeness_pct': round_even(100 * (v / c.n), 2), 'passes': v / c.n >= 0.7,
+ 'n_gaps': coalesce(l.n, 0), 'longest_gap_h': most, 'gaps': gaps}}) AS VARCHAR) AS json FROM c LEFT JOIN l USING (station_id)""")
 def gap_reports(spark, d):
     """Nested coverage reports as JSON, one text a station."""
     return sinks.json_report(S.gap_report(S.resample(_readings(spark, d), 900), 900, 6 * 3600))

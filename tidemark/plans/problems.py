@@ -233,6 +233,34 @@ z AS (SELECT o.file_id, q.fld, a.pl AS pa, b.pl AS pb, a.kd AS ka, b.kd AS kb FR
 SELECT file_id, fld AS field_name, 'added' AS change FROM z WHERE pa IS NOT NULL AND pb IS NULL UNION ALL SELECT file_id, fld, 'removed' FROM z WHERE pa IS NULL AND pb IS NOT NULL
 UNION ALL SELECT file_id, fld, 'renamed' FROM z WHERE pa <> pb UNION ALL SELECT file_id, fld, 'retyped' FROM z WHERE ka <> kb""",
 }
+# Problem 3 by its rules alone, without the filter. The usual change of a gauge is the least u that no step exceeds but those
+# beside excursions of over 2u; u is the largest change far from any excursion or the change of a step beside one.
+_EXCURSION = """SELECT s, t, {n} AS days, {least} AS least FROM e WHERE NOT b AND NOT b{n} AND b IS NOT NULL AND b{n} IS NOT NULL AND p IS NOT NULL AND v{n} IS NOT NULL
+  AND {known} AND {least} > 0 AND abs(v{n} - p) < greatest({least}, 1e-12)"""
+
+
+def _excursion(n: int) -> str:
+    least = "least(" + ", ".join(f"abs(v{j} - p), abs(v{j} - v{n})" for j in range(n)) + ")"
+    return _EXCURSION.format(n=n, least=least, known=" AND ".join(f"v{j} IS NOT NULL" for j in range(n)))
+
+
+ORACLE["p3_found"] = f"""WITH d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN NOT isnan(mean_level) THEN mean_level END) AS r, max(CASE WHEN NOT isnan(standardized_anomaly) THEN standardized_anomaly END) AS a, max(quality_code) AS q
+  FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT s, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY s),
+x AS (SELECT c.s, c.t, CASE WHEN isfinite(r) THEN r END AS v, coalesce(r < {LEVEL_LOW} OR r > {LEVEL_HIGH}, false) AS bad FROM c LEFT JOIN d USING (s, t)),
+e AS (SELECT s, t, lag(v) OVER w AS p, lag(bad) OVER w AS b, v AS v0, {", ".join(f"lead(v, {n}) OVER w AS v{n}, lead(bad, {n}) OVER w AS b{n}" for n in (1, 2, 3))}, bad FROM x WINDOW w AS (PARTITION BY s ORDER BY t)),
+k AS ({" UNION ALL ".join(_excursion(n) for n in (1, 2, 3))}),
+kd AS (SELECT s, t + CAST(j AS INT) AS t, least FROM k, unnest(range(0, days)) AS u(j)), cv AS (SELECT s, t, max(least) AS m FROM kd GROUP BY 1, 2),
+st AS (SELECT e.s, abs(e.v0 - e.p) AS st, greatest(a.m, z.m) AS m FROM e LEFT JOIN cv a ON a.s = e.s AND a.t = e.t LEFT JOIN cv z ON z.s = e.s AND z.t = e.t - 1 WHERE e.v0 IS NOT NULL AND e.p IS NOT NULL AND NOT e.bad AND NOT e.b),
+u0 AS (SELECT s, max(st) AS u FROM st WHERE m IS NULL GROUP BY 1), cu AS (SELECT s, u, u AS far FROM u0 UNION SELECT s, st, u FROM st JOIN u0 USING (s) WHERE m IS NOT NULL AND st > u),
+fu AS (SELECT cu.s, cu.u FROM cu LEFT JOIN st ON st.s = cu.s AND st.m <= 2 * cu.u GROUP BY cu.s, cu.u, cu.far HAVING greatest(cu.far, max(st.st)) <= cu.u), us AS (SELECT s, min(u) AS u FROM fu GROUP BY 1),
+y AS (SELECT *, v IS NOT DISTINCT FROM lag(v) OVER (PARTITION BY s ORDER BY t) AS same, lag(t) OVER (PARTITION BY s ORDER BY t) IS NULL AS head FROM x WHERE v IS NOT NULL AND NOT bad),
+yr AS (SELECT *, count(*) FILTER (WHERE NOT same OR head) OVER (PARTITION BY s ORDER BY t) AS run FROM y), yl AS (SELECT *, count(*) OVER (PARTITION BY s, run) >= 10 AS long FROM yr),
+yp AS (SELECT *, lag(long) OVER (PARTITION BY s ORDER BY t) AS was FROM yl), mv AS (SELECT s FROM yp WHERE NOT head AND NOT (long AND was) GROUP BY 1 HAVING avg(CAST(same AS INT)) <= 0.5),
+f AS (SELECT s, t, 'mean_level' AS f FROM d WHERE r < {LEVEL_LOW} OR r > {LEVEL_HIGH} UNION SELECT s, t, 'mean_level' FROM kd JOIN us USING (s) WHERE least > 2 * u UNION SELECT s, t, 'mean_level' FROM yl SEMI JOIN mv USING (s) WHERE long
+  UNION SELECT s, t, 'standardized_anomaly' FROM d WHERE abs(a) > 8
+  UNION SELECT s, t, 'quality_code' FROM (SELECT *, count(*) OVER (PARTITION BY s, q) / count(*) OVER (PARTITION BY s) AS share FROM d) WHERE q IS NOT NULL AND share < 0.03)
+SELECT s AS station_id, CAST(t AS VARCHAR) AS label_date, f AS field_name FROM f"""
 _SPANS = [(m, c, u, p) for m, c, u in (("mm", "v", "1000"), ("um", "r", "1e6")) for p in PERIODS]
 _DAYS = """d AS (SELECT station_id AS s, label_date AS t, max(CASE WHEN isfinite(mean_level) THEN mean_level END) AS v, max(CASE WHEN isfinite(recession_rate_7d) THEN recession_rate_7d END) AS r
   FROM antecedent_labels WHERE station_id IS NOT NULL AND label_date IS NOT NULL GROUP BY 1, 2),
