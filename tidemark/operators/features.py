@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.places import medians
+
 #: Bytes of sums that a task holds before it passes them on, and partial sums added at once.
 HELD_BYTES, MERGED = 128_000_000, 64
 
@@ -28,7 +30,7 @@ def long_vectors(vectors: DataFrame, keys: list[str], v: str) -> DataFrame:
 def normalise(cells: DataFrame, station: str, phase_: str) -> DataFrame:
     """Element less its station and phase mean, over the population deviation of what is left; under 1e-9 counts as 1.
 
-    Where any phase of the table is negative, the station's mean alone is taken off.
+    Where any phase of a station is negative, the station's mean alone is taken off.
     """
     known = F.when(F.min(phase_).over(Window.partitionBy(station, "pos")) >= 0, F.col(phase_)).otherwise(-1)
     phased = cells.withColumn("__ph", known)
@@ -78,12 +80,14 @@ def eta_squared(rows: DataFrame, group: list[str], part: str, value: str, least:
 
 
 def mad_outliers(rows: DataFrame, group: str, value: str, limit: float = 6.0) -> DataFrame:
-    """Robust distance from the group's median, in scaled median absolute deviations."""
-    centre = rows.groupBy(group).agg(F.median(value).alias("med"))
-    off = rows.join(centre, group).withColumn("off", F.abs(F.col(value) - F.col("med")))
-    spread = off.groupBy(group).agg(F.median("off").alias("mad"))
+    """Robust distance from the group's median, in scaled median absolute deviations.
+
+    Rows without a group are dropped, those without a value score null. Groups may be of any size.
+    """
+    off = rows.join(medians(rows, group, value, "med"), group, "left").withColumn("off", F.abs(F.col(value) - F.col("med")))
     score = F.col("off") / F.greatest(1.4826 * F.col("mad"), F.lit(1e-12))
-    return off.join(spread, group).withColumn("score", score).withColumn("outlier", F.col("score") > limit)
+    scored = off.join(medians(off, group, "off", "mad"), group, "left").filter(F.col(group).isNotNull())
+    return scored.withColumn("score", score).withColumn("outlier", F.col("score") > limit)
 
 
 def norm(v: str | Column) -> Column:

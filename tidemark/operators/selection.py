@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.places import medians
 from tidemark.session import cut_lineage
 
 
@@ -46,8 +47,8 @@ def standard_scores(rows: DataFrame, columns: list[str], filled: tuple[str, ...]
     """
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c).cast("double")) for c in columns}
     if filled:
-        medians = rows.agg(*[F.median(finite[c]).alias(c) for c in filled]).first()
-        finite |= {c: F.coalesce(finite[c], F.lit(medians[c]).cast("double")) for c in filled}
+        middle = {c: medians(rows.select(F.lit(0).alias("all"), finite[c].alias("v")), "all", "v", "m").first() for c in filled}
+        finite |= {c: F.coalesce(finite[c], F.lit(m["m"] if m else None).cast("double")) for c, m in middle.items()}
     facts = rows.agg(*[f(finite[c]).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return rows.withColumns({
         f"z_{c}": F.coalesce((finite[c] - F.lit(facts[f"m_{c}"])) / F.lit(facts[f"s_{c}"] or 1.0), F.lit(0.0)) for c in columns

@@ -15,6 +15,7 @@ from tidemark.operators import features as X
 from tidemark.operators import jobs as J
 from tidemark.operators import raster as P
 from tidemark.operators import selection as C
+from tidemark.operators.places import numbered
 from tidemark.plans.tidy import near, query
 from tidemark.session import table
 from tidemark.sources import readings as R
@@ -239,11 +240,13 @@ def mad_outlier(spark, d):
 SELECT vec_id, {near('list_max(list_transform(list_zip(va, vb), lambda p: abs(CAST(p[1] AS DOUBLE) - p[2])))')} AS max_abs_diff,
  {near('list_sum(list_transform(list_zip(va, vb), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(va, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(vb, lambda x: CAST(x AS DOUBLE) * x))))')} AS cosine FROM a WHERE vb IS NOT NULL""")
 def cosine_compare(spark, d):
-    from pyspark.sql.window import Window
-
+    """Each vector against the next of its site; ids alone are put in order, the vectors meet by id."""
     z = _scenes(spark, d)
-    nxt = z.withColumn("vb", F.lead("embedding").over(Window.partitionBy("site").orderBy("vec_id"))).filter("vb is not null")
-    return X.run_agreement(z, nxt.select("vec_id", F.col("vb").alias("embedding")), ["vec_id"], "embedding")
+    ids = numbered(z.select("site", "vec_id"), ["site", "vec_id"])
+    following = ids.select("site", (F.col("place") - 1).alias("place"), F.col("vec_id").alias("next_id"))
+    pairs = ids.join(following, ["site", "place"]).select("vec_id", "next_id")
+    nxt = pairs.join(z.select(F.col("vec_id").alias("next_id"), "embedding"), "next_id")
+    return X.run_agreement(z, nxt, ["vec_id"], "embedding")
 
 
 @add(f"""WITH {CELLS}, a AS (SELECT a.site, a.pos AS i, b.pos AS j, avg(a.x * b.x) AS p, count(*) AS n FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY ALL) SELECT site, i, j, {near('p')} AS mean_product, n FROM a""")
