@@ -2,10 +2,11 @@
 
 Each source's days, in order, run through a local-level Kalman filter scaled to that source's own usual
 daily change. The update of a standardised innovation above ``THRESHOLD`` is withheld (for
-``SPIKE_DAYS`` at most, then the filter accepts the new level); an innovation that has vanished by the
-``STUCK_DAYS``-th equal level, as it always has, marks a stuck run, which is then held to the exact rule.
-Excursions are found by their exact rule over all days: no threshold on the innovations is sure to flag
-every one of them.
+``SPIKE_DAYS`` at most, then the filter accepts the new level). Its innovations propose, and the exact rules
+of excursions and stuck runs look at what is proposed only: days about a large innovation, and days whose
+innovation has vanished. Neither loses a case. The innovation has always vanished by the ``STUCK_DAYS``-th
+equal level; and the limit of a large one falls, source by source, until an ordinary change of the source
+shows that an excursion entered below the limit would be too small for the rule.
 
 Rules: a level below ``low``, above ``high`` or infinite; an excursion of one to three days whose every
 day is further from the days directly before and after than twice the largest daily change the source
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 4.0
 SPIKE_DAYS = 3
+SLACK = 1.1
 STUCK_DAYS = 10
 STUCK_SHARE = 0.5
 ANOMALY = 8.0
@@ -62,18 +64,15 @@ def innovations(y: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return size
 
 
-def spikes(v: np.ndarray, impossible: np.ndarray) -> np.ndarray:
-    """Days of excursions of one calendar series v (NaN where absent); the rule alone decides, over all days.
+def excursions(v: np.ndarray, impossible: np.ndarray, about: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First day, days and least distance of the excursions of v, of any size, that cover or touch the days ``about``.
 
-    No flag of the filter bars a day: its scale is the usual change, the rule's the largest, and neither bounds the other.
+    These are all that hold one of these days or the day before it, and all that are entered on one or on the day after.
     """
-    n = len(v)
-    step = np.abs(np.diff(v))
-    parts = []
+    starts = np.unique(about[:, None] + np.arange(-SPIKE_DAYS, 2))
+    parts = [np.empty((3, 0))]
     for length in range(1, SPIKE_DAYS + 1):
-        if n < length + 2:
-            break
-        s = np.arange(1, n - length)
+        s = starts[(starts >= 1) & (starts < len(v) - length)]
         ok = ~np.isnan(v[s - 1]) & ~np.isnan(v[s + length]) & ~impossible[s - 1] & ~impossible[s + length]
         least = np.full(len(s), np.inf)
         for j in range(length):
@@ -81,15 +80,48 @@ def spikes(v: np.ndarray, impossible: np.ndarray) -> np.ndarray:
             least = np.minimum(least, np.minimum(np.abs(v[s + j] - v[s - 1]), np.abs(v[s + j] - v[s + length])))
         ok &= (least > 0) & (np.abs(v[s + length] - v[s - 1]) < np.maximum(least, 1e-12))
         parts.append(np.stack([s[ok], np.full(ok.sum(), length), least[ok]]))
-    case = np.zeros(n, bool)
-    if not parts:
-        return case
     first, days, least = np.concatenate(parts, axis=1)
-    first, days = first.astype(int), days.astype(int)
+    return first.astype(int), days.astype(int), least
+
+
+def _covered(n: int, first: np.ndarray, days: np.ndarray) -> np.ndarray:
+    case = np.zeros(n, bool)
+    for j in range(SPIKE_DAYS):
+        case[first[days > j] + j] = True
+    return case
+
+
+def proposed(v: np.ndarray, impossible: np.ndarray, size: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The excursions about days of a large innovation, or impossible ones, among which are all that the rule can keep.
+
+    Where neither the day before an excursion nor its first day has an innovation above the limit, the filter has taken over
+    the level before but for a hundredth, so that the excursion is entered by little more than the limit. The rule drops it if
+    a change in no excursion is over half of that, as one about the proposed days mostly is; else the limit falls.
+    Below a limit of 0 the level has not changed at all.
+    """
+    step = np.abs(np.diff(v))
+    for limit in (THRESHOLD * scale, scale, 0.0):
+        large = np.flatnonzero(size > limit)
+        first, days, least = excursions(v, impossible, np.append(large, np.flatnonzero(impossible)))
+        plain = ~(_covered(len(v), first, days) | impossible)
+        k = large[large > 0]
+        ordinary = step[k - 1][plain[k] & plain[k - 1]]
+        if (2 * ordinary > SLACK * limit).any():
+            break
+    return first, days, least
+
+
+def spikes(v: np.ndarray, impossible: np.ndarray, size: np.ndarray, scale: float) -> np.ndarray:
+    """Days of excursions of one calendar series v (NaN where absent), given the size of its innovations.
+
+    The filter says where to look; the rule decides, by the largest change: the filter's scale is the usual one.
+    """
+    n = len(v)
+    step = np.abs(np.diff(v))
+    first, days, least = proposed(v, impossible, size, scale)
+    case = np.zeros(n, bool)
     while len(first):
-        case[:] = False
-        for j in range(SPIKE_DAYS):
-            case[first[days > j] + j] = True
+        case = _covered(n, first, days)
         plain = ~(case | impossible)
         usual = step[plain[1:] & plain[:-1] & ~np.isnan(step)]
         kept = least > 2 * (usual.max() if len(usual) else np.inf)
@@ -102,13 +134,12 @@ def spikes(v: np.ndarray, impossible: np.ndarray) -> np.ndarray:
 
 def stuck(v: np.ndarray, still: np.ndarray) -> np.ndarray:
     """Days of runs of equal levels. v: the levels in a row, still: whether the innovation has vanished there."""
-    if len(v) < STUCK_DAYS:
-        return np.zeros(len(v), bool)
-    run = np.cumsum(np.append(True, v[1:] != v[:-1])) - 1
-    size = np.bincount(run)
+    long = np.zeros(len(v), bool)
     # the step into a run is withheld for SPIKE_DAYS at most, and its rest shrinks a hundredfold a day: gone by the tenth
-    nth = np.arange(len(v)) - (np.cumsum(size) - size)[run] + 1
-    long = (np.bincount(run, weights=still & (nth >= STUCK_DAYS)) > 0)[run]
+    at = np.flatnonzero(still)
+    at = at[at >= STUCK_DAYS - 1]
+    back = np.arange(STUCK_DAYS)
+    long[at[(v[at[:, None] - back] == v[at][:, None]).all(axis=1)][:, None] - back] = True
     other = ~(long[1:] & long[:-1])
     if not other.any() or (v[1:] == v[:-1])[other].mean() > STUCK_SHARE:
         return np.zeros(len(v), bool)
@@ -143,7 +174,7 @@ def _level_cases(pdf: pd.DataFrame, low: float, high: float) -> pd.DataFrame:
             full[at] = np.where(np.isinf(value[a:b]), np.nan, value[a:b])
             bad = np.zeros(span, bool)
             bad[at] = impossible[a:b]
-            case[a:b] |= spikes(full, bad)[at]
+            case[a:b] |= spikes(full, bad, size[j, :span], scale[j])[at]
             has = ~np.isnan(value[a:b]) & ~impossible[a:b]
             inno = np.nan_to_num(size[j, at[has]], nan=np.inf)
             case[a:b][has] |= stuck(value[a:b][has], inno <= 1e-3 * scale[j] + 1e-9)
